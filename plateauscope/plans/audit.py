@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import bias as B
 from ..operators import plateau as P
 from ..operators import quality as Q
 from ..operators import space as S
@@ -144,6 +145,14 @@ class Audit:
     def power(self) -> DataFrame:
         return P.power_check(self.cells, self.radius, self.plateaus, self.thresholds)
 
+    @cached_property
+    def threshold_stability(self) -> DataFrame:
+        return stage(B.threshold_stability(self, stage), "threshold_stability")
+
+    @cached_property
+    def gate_stability(self) -> DataFrame:
+        return stage(B.gate_stability(self, stage), "gate_stability")
+
     def slots(self) -> DataFrame:
         """Observed neighbours, free slots and gaps around every representative."""
         r = self.representatives.select("study_id", "component", "row_idx").join(

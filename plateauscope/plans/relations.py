@@ -2,11 +2,12 @@
 
 ``sweep_metrics`` turns ``lineitem`` into a parameter sweep: discount, tax and
 quantity band are the parameters of a pass, each line is one trade, and lines
-shipped before 2000 are the optimised period. Five studies share the grid:
+shipped before 2000 are the optimised period. Six studies share the grid:
 
 * ``bump``     a planted plateau around (5, 4, 2)
 * ``noise``    no planted edge
 * ``loser``    a cost so high that nothing can pass
+* ``flip``     an edge on the first parameter that moves away in the forward
 * ``solo``     ``bump`` without a forward period
 * ``partial``  ``bump`` with a forward for a part of the passes only
 """
@@ -75,10 +76,14 @@ def _period_metrics(trades: DataFrame, keys: list[str], capital: int) -> DataFra
 def _variants(lines: DataFrame) -> DataFrame:
     ridge = F.greatest(F.lit(0), 6 - F.abs(F.col("p0") - 5) - F.abs(F.col("p1") - 4)
                        - F.abs(F.col("p2") - 2)).cast("long")
+    moving = F.greatest(F.lit(0), 6 - F.abs(F.col("p0") - F.when(
+        F.col("period") == "is", 3).otherwise(9))).cast("long")
     return (lines.withColumn("v", F.explode(F.array(
         F.struct(F.lit("bump").alias("study_id"),
                  (F.col("px") - 6000000 + 500000 * ridge).alias("pnl")),
         F.struct(F.lit("noise").alias("study_id"), (F.col("px") - 6000000).alias("pnl")),
+        F.struct(F.lit("flip").alias("study_id"),
+                 (F.col("px") - 6000000 + 600000 * moving).alias("pnl")),
         F.struct(F.lit("loser").alias("study_id"), (F.col("px") - 9000000).alias("pnl")))))
         .select("v.*", *[c for c in lines.columns if c != "px"]))
 
