@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("sweep",)
+AREAS = ("sweep", "stats", "evidence")
 
 
 def load() -> None:

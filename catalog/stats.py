@@ -186,29 +186,32 @@ def _with_units(last: str) -> str:
     return chain(last).rstrip() + ",\n" + _units
 
 
-@register("f10_units", "study_id:s row_idx:i xi:d ti:d xo:d to:d", 'SELECT * FROM units',
+@register("f10_units", "study_id:s row_idx:i xi:d ti:d xo:d t_o:d",
+          'SELECT *, "to" t_o FROM units',
           _with_units("edges"))
 def f10(spark, sf):
     a = audit(spark, sf)
-    return B.units(a.cells, a.edges)
+    return B.units(a.cells, a.edges).withColumnRenamed("to", "t_o")
 
 
 @register("f11_shrinkage_model", "study_id:s beta:d a:d b:d k:d v:d family:d units:i "
-          "forward_units:i", "SELECT *, nf forward_units FROM model", _with_units("edges"))
+          "forward_units:i", "SELECT * REPLACE (k/1e6 AS k, v/1e6 AS v), nf forward_units FROM model", _with_units("edges"))
 def f11(spark, sf):
     a = audit(spark, sf)
-    return B.shrink_model(B.units(a.cells, a.edges))
+    m = B.shrink_model(B.units(a.cells, a.edges))
+    return m.withColumn("k", F.col("k") / 1e6).withColumn("v", F.col("v") / 1e6)
 
 
 @register("f12_posterior", "study_id:s row_idx:i expected:d variance:d", """
  SELECT study_id, row_idx, CASE WHEN xo IS NOT NULL AND v > 0
    THEN a+b*xi + v/(v+k/"to")*(xo-a-b*xi) ELSE a+b*xi END expected,
-  CASE WHEN xo IS NOT NULL AND v > 0 THEN v*(1-v/(v+k/"to")) ELSE v END variance
+  CASE WHEN xo IS NOT NULL AND v > 0 THEN v*(1-v/(v+k/"to")) ELSE v END / 1e6 variance
  FROM units JOIN model USING (study_id)""", _with_units("edges"))
 def f12(spark, sf):
     a = audit(spark, sf)
     u = B.units(a.cells, a.edges)
-    return B.posterior(u.join(B.shrink_model(u), "study_id"))
+    p = B.posterior(u.join(B.shrink_model(u), "study_id"))
+    return p.withColumn("variance", F.col("variance") / 1e6)
 
 
 def _expectation(spark, sf):
@@ -234,7 +237,7 @@ def f14(spark, sf):
  SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY expected DESC, component) AS rank FROM (
  SELECT study_id, component, CASE WHEN xo IS NOT NULL AND v > 0
    THEN a+b*xi + v/(v+k/"to")*(xo-a-b*xi) ELSE a+b*xi END expected,
-  CASE WHEN xo IS NOT NULL AND v > 0 THEN v*(1-v/(v+k/"to")) ELSE v END variance
+  CASE WHEN xo IS NOT NULL AND v > 0 THEN v*(1-v/(v+k/"to")) ELSE v END / 1e6 variance
  FROM (SELECT m.study_id, component, avg(is_expected_payoff) xi, count(*)/sum(1/is_trades) ti,
   avg(oos_expected_payoff) FILTER (known) xo,
   count(*) FILTER (known)/sum(1/oos_trades) FILTER (known) "to"
@@ -242,7 +245,8 @@ def f14(spark, sf):
  JOIN model USING (study_id))""", _with_units("members"))
 def e15(spark, sf):
     a = audit(spark, sf)
-    return B.rank_by_expectation(a.members, a.cells, B.units(a.cells, a.edges))
+    r = B.rank_by_expectation(a.members, a.cells, B.units(a.cells, a.edges))
+    return r.withColumn("variance", F.col("variance") / 1e6)
 
 
 RATES = ("study_id:s draws:i with_plateau:i same_region:i same_representative:i plateau_rate:d "

@@ -332,9 +332,6 @@ KEYS = ("floor_quality", "min_robust", "min_frac_pass", "core_quality", "core_ro
         "min_support", "min_size")
 JOINT_DRAWS = 36
 GATE_DRAWS = 24
-_AT = {"floor_quality": "floor_quality", "min_robust": "min_robust",
-       "min_frac_pass": "min_frac_pass", "core_quality": "core_quality",
-       "core_robust": "core_robust", "min_support": "min_support", "min_size": "min_size"}
 
 
 def threshold_draws(spark, base: P.Thresholds = P.Thresholds(), seed: int = THRESHOLD_SEED,
@@ -432,7 +429,7 @@ def threshold_stability(audit, stage, joint: int = JOINT_DRAWS) -> DataFrame:
     ok = (F.col("known") & (F.size("fails_oos") == 0)).alias("ok")
     val = audit.cells.join(audit.plateaus.select("study_id").distinct(), "study_id", "left_semi")
     val = val.select("study_id", "row_idx", "has_forward", ok, F.explode(
-        F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("draw_id"))
+        F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("draw_id"))
     rows = stage(rows, "draw_rows")
     t = {k: F.col(k) for k in KEYS}
     return _tally(_winners(rows, t, audit, stage, val), n, audit)
@@ -444,7 +441,7 @@ def gate_stability(audit, stage, total: int = GATE_DRAWS) -> DataFrame:
     spark = audit.cells.sparkSession
     found = audit.plateaus.select("study_id").distinct()
     pol = audit.studies.select("study_id", "require_profit", "min_profit_factor",
-                               "max_drawdown_pct", "min_trades", "min_trades_oos")
+                               "max_drawdown_pct")
     c = attach(audit.cells.join(found, "study_id", "left_semi"), pol, ["study_id"], "inner",
                "row_idx")
     table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()])
