@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("sweep", "stats", "evidence")
+AREAS = ("sweep", "stats", "evidence", "trades")
 
 
 def load() -> None:
