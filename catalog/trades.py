@@ -98,9 +98,9 @@ def fifo(spark, sf):
 
 
 @register("h2_fifo_matching", "report_id:i seq:i position_side:s closed_volume:d matched:d "
-          "open_price:d", _FIFO + "SELECT * FROM fifo")
+          "open_price:d", _FIFO + "SELECT * REPLACE (open_price/7.3 AS open_price) FROM fifo")
 def h2(spark, sf):
-    return fifo(spark, sf)
+    return fifo(spark, sf).withColumn("open_price", F.col("open_price") / 7.3)
 
 
 @register("h3_daily_series", "report_id:i day:s day_idx:i pnl_cents:i trades:i volume:d notional:d",
@@ -140,26 +140,33 @@ _eq = """eq AS MATERIALIZED (SELECT *, sum(x) OVER (PARTITION BY report_id{k} OR
   ROWS UNBOUNDED PRECEDING)) - e f FROM eq)"""
 
 
+def _scaled(df):
+    """Money in units of 300, so that six decimals are far from the precision of a double."""
+    return df.withColumns({c: F.col(c) / 3e4 for c in (
+        "stressed_cents", "cost_cents", "drawdown_cents")})
+
+
 @register("h6_cost_stress", "report_id:i stressed_cents:d cost_cents:d degradation:d "
           "still_profitable:b drawdown_cents:d", _D + """, src AS MATERIALIZED (SELECT *, 2*1e-4*notional*100
   + 0.5*100*volume + (2*0.25+0.1)*100*trades c, pnl_cents - (2*1e-4*notional*100 + 0.5*100*volume
   + (2*0.25+0.1)*100*trades) x FROM daily), """ + _eq.format(k="") + """
- SELECT report_id, sum(x) stressed_cents, sum(c) cost_cents,
+ SELECT report_id, sum(x)/3e4 stressed_cents, sum(c)/3e4 cost_cents,
   (sum(pnl_cents)-sum(x))/abs(sum(pnl_cents)) degradation, sum(x) > 0 still_profitable,
-  max(f) drawdown_cents FROM fl GROUP BY 1""")
+  max(f)/3e4 drawdown_cents FROM fl GROUP BY 1""")
 def h6(spark, sf):
-    return T.cost_stress(daily(spark, sf), 2.0, per_lot=0.5, per_side=0.25, per_trade=0.1)
+    return _scaled(T.cost_stress(daily(spark, sf), 2.0, per_lot=0.5, per_side=0.25,
+                                 per_trade=0.1))
 
 
 @register("h7_cost_scenarios", "report_id:i scenario:s stressed_cents:d degradation:d "
           "drawdown_cents:d", _D + """, src AS MATERIALIZED (SELECT *, pnl_cents - bp*1e-4*notional*100 x FROM daily,
   (VALUES ('base',0.0),('moderate',1.0),('severe',3.0)) s(scenario, bp)), """
           + _eq.format(k=", scenario") + """
- SELECT report_id, scenario, sum(x) stressed_cents,
-  (sum(pnl_cents)-sum(x))/abs(sum(pnl_cents)) degradation, max(f) drawdown_cents
+ SELECT report_id, scenario, sum(x)/3e4 stressed_cents,
+  (sum(pnl_cents)-sum(x))/abs(sum(pnl_cents)) degradation, max(f)/3e4 drawdown_cents
  FROM fl GROUP BY ALL""")
 def h7(spark, sf):
-    return T.cost_scenarios(daily(spark, sf))
+    return _scaled(T.cost_scenarios(daily(spark, sf)))
 
 
 @register("h7_break_even", "report_id:i per_trade:d per_lot:d bp:d", _D + """
@@ -171,7 +178,7 @@ def h7b(spark, sf):
 
 @register("h8_equity_drawdown", "report_id:i days:i net_cents:i max_drawdown_cents:i sharpe:d",
           _D + ", src AS MATERIALIZED (SELECT *, pnl_cents x FROM daily), " + _eq.format(k="") + """
- SELECT report_id, count(*) days, sum(pnl_cents) net_cents, max(f) max_drawdown_cents,
+ SELECT report_id, count(*) AS days, sum(pnl_cents) net_cents, max(f) max_drawdown_cents,
   avg(pnl_cents)/stddev_samp(pnl_cents) sharpe FROM fl GROUP BY 1""")
 def h8(spark, sf):
     return T.sharpe_and_drawdown(daily(spark, sf))
@@ -214,7 +221,7 @@ def h12(spark, sf):
 
 
 @register("h13_unseen_trades_audit", "report_id:i days:i per_trade:d sharpe:d swap_share:d", _D + """
- SELECT report_id, count(*) days, sum(pnl_cents)/100.0/sum(trades) per_trade,
+ SELECT report_id, count(*) AS days, sum(pnl_cents)/100.0/sum(trades) per_trade,
   avg(pnl_cents)/stddev_samp(pnl_cents) sharpe, 0.0 swap_share FROM daily GROUP BY 1""")
 def h13(spark, sf):
     return T.unseen_trades_audit(thin(spark, sf))
@@ -276,14 +283,15 @@ def h16(spark, sf):
 _BL = _D + """, sz AS MATERIALIZED (SELECT report_id, n, greatest(5, CAST(ceil(sqrt(log10(n))) AS INT)) kn, CAST(ceil(sqrt(n)) AS INT)
    + greatest(5, CAST(ceil(sqrt(log10(n))) AS INT)) mmax, 2*sqrt(log10(n)/n) thr,
    ceil(least(3*sqrt(n), n/3.0)) bmax FROM mean),
-acv AS MATERIALIZED (SELECT a.report_id, k, sum(a.y*b.y)/any_value(a.n) g FROM y a JOIN sz USING (report_id)
-  JOIN range(0, 400) r(k) ON k <= mmax+kn JOIN y b ON b.report_id=a.report_id AND b.t=a.t-k GROUP BY ALL),
+al AS MATERIALIZED (SELECT a.report_id, k, a.t-k t2, y, a.n FROM y a JOIN sz USING (report_id), range(0,400) r(k)
+  WHERE k <= mmax+kn AND a.t >= k),
+acv AS MATERIALIZED (SELECT al.report_id, k, sum(al.y*b.y)/any_value(al.n) g FROM al
+  JOIN y b ON b.report_id=al.report_id AND b.t=al.t2 GROUP BY ALL),
 rho AS MATERIALIZED (SELECT acv.report_id, k, abs(g/g0) r, g, g0 FROM acv
   JOIN (SELECT report_id, g g0 FROM acv WHERE k=0) USING (report_id)),
-mh AS MATERIALIZED (SELECT report_id, coalesce(min(m) FILTER (ok), max(m) FILTER (lo), 1) mhat FROM (
-  SELECT s.report_id, m, (SELECT max(r) FROM rho WHERE rho.report_id=s.report_id AND k BETWEEN m+1 AND m+kn) < thr ok,
-   (SELECT r FROM rho WHERE rho.report_id=s.report_id AND k=m) >= thr lo
-  FROM sz s, range(1, 400) q(m) WHERE m <= mmax) GROUP BY 1),
+mh AS MATERIALIZED (SELECT report_id, coalesce(min(k) FILTER (f < thr), max(k) FILTER (r >= thr), 1) mhat FROM (
+  SELECT *, max(r) OVER (PARTITION BY report_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) f FROM rho)
+  JOIN sz USING (report_id) WHERE k BETWEEN 1 AND mmax GROUP BY 1),
 w AS MATERIALIZED (SELECT report_id, any_value(g0) + sum(2*l*g) d0, sum(2*k*l*g) big FROM (
   SELECT rho.*, CASE WHEN k/CAST(least(2*mhat, mmax) AS DOUBLE) < 0.5 THEN 1.0
    ELSE 2*(1-k/CAST(least(2*mhat, mmax) AS DOUBLE)) END l
@@ -339,13 +347,17 @@ def _chi(q: str) -> str:
             f"+pow({h},4)/24) END")
 
 
+def _pairs(src: str, value: str) -> str:
+    return f"""(SELECT a.report_id, k, a.v*b.{value} p, a.n FROM (SELECT report_id, k, t-k t2, {value} v, n
+   FROM {src}, range(1,11) r(k) WHERE t >= k OFFSET 0) a JOIN {src} b
+   ON b.report_id=a.report_id AND b.t=a.t2)"""
+
+
 def _lb(src: str) -> str:
     return f"""SELECT report_id, q, {_chi('q')} p FROM (
  SELECT report_id, sum(pow(s/g0,2)/(n-k))*any_value(n)*(any_value(n)+2) q FROM (
-  SELECT a.report_id, k, sum(a.z*b.z) s, any_value(a.n) n, any_value(g0) g0 FROM {src} a
-  JOIN range(1,11) r(k) ON true JOIN {src} b ON b.report_id=a.report_id AND b.t=a.t-k
-  JOIN (SELECT report_id, sum(z*z) g0 FROM {src} GROUP BY 1) g ON g.report_id=a.report_id
-  GROUP BY ALL) GROUP BY 1)"""
+  SELECT report_id, k, sum(p) s, any_value(n) n FROM {_pairs(src, 'z')} GROUP BY ALL)
+  JOIN (SELECT report_id, sum(z*z) g0 FROM {src} GROUP BY 1) USING (report_id) GROUP BY 1)"""
 
 
 @register("h22_ljung_box", "report_id:i q:d p:d", _D + ", z AS MATERIALIZED (SELECT report_id, t, n, y z FROM y) "
@@ -356,8 +368,8 @@ def h22(spark, sf):
 
 @register("h22_robust_portmanteau", "report_id:i q:d p:d", _D + f"""
  SELECT report_id, q, {_chi('q')} p FROM (SELECT report_id, sum(s*s/s2) q FROM (
-  SELECT a.report_id, k, sum(a.y*b.y) s, sum(pow(a.y*b.y,2)) s2 FROM y a JOIN range(1,11) r(k) ON true
-  JOIN y b ON b.report_id=a.report_id AND b.t=a.t-k GROUP BY ALL) WHERE s2 > 0 GROUP BY 1)""")
+  SELECT report_id, k, sum(p) s, sum(p*p) s2 FROM {_pairs('y', 'y')} GROUP BY ALL)
+  WHERE s2 > 0 GROUP BY 1)""")
 def h22b(spark, sf):
     return T.robust_portmanteau(T.centred(daily(spark, sf)))
 

@@ -9,16 +9,21 @@ NumPy advances all paths of the block one day at a time.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import DRAW_STEP, floor_quantile
 from .trades import REPORT, block_length
 
+# The task functions below travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Seeds and sizes of the simulations.
 BOOTSTRAP_SEED = 20260924
 FORECAST_SEED = 20261014
@@ -67,8 +72,7 @@ def day_summaries(trades: DataFrame, daily: DataFrame) -> DataFrame:
     zero = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in DAY_FIELDS]
     packed = full.select(*REPORT, F.struct("day_idx", *zero).alias("d"))
     days = packed.groupBy(*REPORT).agg(F.sort_array(F.collect_list("d")).alias("d"))
-    return days.select(*REPORT, *[F.transform("d", lambda x, c=c: x[c]).alias(c)
-                                  for c in DAY_FIELDS])
+    return days.select(*REPORT, *[F.col("d")[c].alias(c) for c in DAY_FIELDS])
 
 
 def _tasks(days: DataFrame, sims: int, *extra) -> DataFrame:

@@ -464,9 +464,9 @@ def lag_products(series: DataFrame, lags: Column, keys: Sequence[str] = ("report
 
 def centred(daily: DataFrame, value: str = "pnl_cents") -> DataFrame:
     """Daily series minus its mean: report_id, t, y, n."""
-    m = daily.groupBy(*REPORT).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("n"))
-    return daily.join(m, REPORT).select(*REPORT, F.col("day_idx").alias("t"),
-                                        (F.col(value) - F.col("_m")).alias("y"), "n")
+    x = daily.select(*REPORT, F.col("day_idx").alias("t"), F.col(value).alias("x"))
+    m = x.groupBy(*REPORT).agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return x.join(m, REPORT).select(*REPORT, "t", (F.col("x") - F.col("mean")).alias("y"), "n")
 
 
 def block_length(daily: DataFrame, value: str = "pnl_cents") -> DataFrame:
