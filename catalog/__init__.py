@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("sweep", "stats", "evidence", "trades")
+AREAS = ("sweep", "stats", "evidence", "trades", "exports", "decisions")
 
 
 def load() -> None:

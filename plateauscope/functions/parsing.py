@@ -49,6 +49,11 @@ def strip_number(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[\\s   ']", ""), "%$", "")
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, so long rules stay short in the plan."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def plain_double(text: Column) -> Column:
     return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
@@ -60,59 +65,65 @@ def to_number(text: Column) -> Column:
     thousands mark when it repeats or when it leaves exactly three digits behind a
     short, non-zero head; otherwise it is the decimal mark.
     """
-    s = strip_number(F.trim(text))
+    return let(strip_number(F.trim(text)), _read_number)
+
+
+def _read_number(s: Column) -> Column:
     dot, comma = s.contains("."), s.contains(",")
-    last_comma = F.length(s) - F.locate(",", F.reverse(s))
-    last_dot = F.length(s) - F.locate(".", F.reverse(s))
+    comma_last = s.rlike(r"\.[^,]*,[^.]*$")
     no_comma = F.regexp_replace(s, ",", "")
     comma_decimal = F.regexp_replace(F.regexp_replace(s, "\\.", ""), ",", ".")
     thousands = s.rlike(r"^[^,]*(,[^,]*){2,}$") | (
-        s.rlike(r"^[^,]{0,3},\d{3}$") & (F.length(s) > 4) & ~s.rlike("^0"))
-    normal = (F.when(dot & comma & (last_comma > last_dot), comma_decimal)
-              .when(dot & comma, no_comma)
-              .when(comma & thousands, no_comma)
-              .when(comma, F.regexp_replace(s, ",", "."))
-              .otherwise(s))
-    return plain_double(normal)
+        s.rlike(r"^\d{0,3},\d{3}$") & (F.length(s) > 4) & ~s.rlike("^0"))
+    normal = (F.when(~comma, s)
+              .when(dot & comma_last, comma_decimal)
+              .when(dot | thousands, no_comma)
+              .otherwise(F.regexp_replace(s, ",", ".")))
+    return let(normal, plain_double)
 
 
 def text_to_number(text: Column, decimal: Column) -> Column:
     """Number of a text once its column's decimal mark is known."""
-    s = strip_number(F.trim(text))
-    normal = F.when(decimal == ",", F.regexp_replace(F.regexp_replace(s, "\\.", ""), ",", ".")
-                    ).otherwise(F.regexp_replace(s, ",", ""))
-    return F.when(s.rlike(NUMERIC_TEXT), plain_double(normal))
+    def read(s: Column) -> Column:
+        normal = F.when(decimal == ",", F.regexp_replace(F.regexp_replace(s, "\\.", ""), ",", ".")
+                        ).otherwise(F.regexp_replace(s, ",", ""))
+        return F.when(s.rlike(NUMERIC_TEXT), let(normal, plain_double))
+    return let(strip_number(F.trim(text)), read)
+
+
+def _vote(text: Column, own: str, other: str, own_last: bool) -> Column:
+    """A text votes for ``own`` as decimal mark when no other reading is possible.
+
+    Both marks: the last one. One mark: it is decimal unless three digits follow it;
+    repeated, it groups thousands and the other mark is decimal.
+    """
+    def rule(s: Column) -> Column:
+        last = s.rlike(r"\.[^,]*,[^.]*$")
+        n_own, n_other = F.regexp_count(s, F.lit(own)), F.regexp_count(s, F.lit(other))
+        return s.rlike(NUMERIC_TEXT) & (
+            ((n_own > 0) & (n_other > 0) & (last if own_last else ~last))
+            | ((n_other == 0) & (n_own == 1) & ~s.rlike(own + r"\d{3}$"))
+            | ((n_own == 0) & (n_other > 1)))
+    return let(strip_number(F.trim(text)), rule)
 
 
 def comma_vote(text: Column) -> Column:
     """True when a text can only be read with a decimal comma."""
-    s = strip_number(F.trim(text))
-    dots, commas = F.regexp_count(s, F.lit("\\.")), F.regexp_count(s, F.lit(","))
-    both_comma = s.rlike(r"\.[^,]*,[^.]*$")
-    return s.rlike(NUMERIC_TEXT) & (
-        ((dots > 0) & (commas > 0) & both_comma)
-        | ((dots == 0) & (commas == 1) & ~s.rlike(r",\d{3}$"))
-        | ((commas == 0) & (dots > 1)))
+    return _vote(text, ",", "\\.", True)
 
 
 def dot_vote(text: Column) -> Column:
     """True when a text can only be read with a decimal dot."""
-    s = strip_number(F.trim(text))
-    dots, commas = F.regexp_count(s, F.lit("\\.")), F.regexp_count(s, F.lit(","))
-    both_comma = s.rlike(r"\.[^,]*,[^.]*$")
-    return s.rlike(NUMERIC_TEXT) & (
-        ((dots > 0) & (commas > 0) & ~both_comma)
-        | ((commas == 0) & (dots == 1) & ~s.rlike(r"\.\d{3}$"))
-        | ((dots == 0) & (commas > 1)))
+    return _vote(text, "\\.", ",", False)
 
 
 def canonical(text: Column) -> Column:
     """Struct (kind, num, txt) of a parameter value; NULL when empty."""
-    t = F.trim(text)
-    number = to_number(t)
-    flag = F.lower(t).rlike(BOOL_PATTERN)
-    kind = F.when(flag, "bool").when(number.isNotNull(), "number").otherwise("text")
-    txt = (F.when(flag, F.when(F.lower(t).rlike(TRUE_PATTERN), "true").otherwise("false"))
-           .when(number.isNotNull(), number.cast("string")).otherwise(t))
-    return F.when(t.isNotNull() & (t != ""), F.struct(
-        kind.alias("kind"), F.when(~flag, number).alias("num"), txt.alias("txt")))
+    def read(t: Column) -> Column:
+        flag = F.lower(t).rlike(BOOL_PATTERN)
+        return let(to_number(t), lambda number: F.when(t != "", F.struct(
+            F.when(flag, "bool").when(number.isNotNull(), "number").otherwise("text").alias("kind"),
+            F.when(~flag, number).alias("num"),
+            F.when(flag, F.when(F.lower(t).rlike(TRUE_PATTERN), "true").otherwise("false"))
+            .when(number.isNotNull(), number.cast("string")).otherwise(t).alias("txt"))))
+    return let(F.trim(text), read)

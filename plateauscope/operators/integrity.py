@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.parsing import (KEY_METRICS, canonical, is_id_header, metric_role, to_number)
+from ..functions.parsing import (KEY_METRICS, canonical, is_id_header, let, metric_role,
+                                 to_number)
 from .ordering import attach
 
 TABLE = ["study_id", "period"]
@@ -69,8 +70,8 @@ def pass_ids(cells: DataFrame) -> DataFrame:
 
 def impossible_number(text: Column) -> Column:
     """Subnormal or absurdly large integers: signs of a broken export."""
-    v = F.abs(to_number(text))
-    return F.coalesce((v > 0) & ((v < 1e-300) | ((v == F.floor(v)) & (v > 1e15))), F.lit(False))
+    return let(F.abs(to_number(text)), lambda v: F.coalesce(
+        (v > 0) & ((v < 1e-300) | ((v == F.floor(v)) & (v > 1e15))), F.lit(False)))
 
 
 def damaged_rows(cells: DataFrame) -> DataFrame:
@@ -174,7 +175,8 @@ def structural_parameters(cells: DataFrame, ids: DataFrame) -> DataFrame:
     """Columns equal on both periods for more than 99.9 % of the matched rows."""
     both = _paired_cells(cells, ids).filter(
         metric_role(F.col("header")).isNull() & ~is_id_header(F.col("header")))
-    a, b = to_number(F.col("a")), to_number(F.col("b"))
+    both = both.withColumn("_x", to_number(F.col("a"))).withColumn("_y", to_number(F.col("b")))
+    a, b = F.col("_x"), F.col("_y")
     numeric = a.isNotNull() & b.isNotNull()
     ta, tb = F.coalesce(F.trim("a"), F.lit("")), F.coalesce(F.trim("b"), F.lit(""))
     counts = numeric | (ta != "") | (tb != "")
