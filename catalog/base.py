@@ -34,8 +34,8 @@ def tidy(df: DataFrame, spec: str) -> DataFrame:
 def tidy_sql(body: str, spec: str) -> str:
     out = []
     for name, kind in _columns(spec):
-        col = f"CAST({name} AS {SQL_TYPES[kind]})"
-        out.append((f"round({col}, 6) + 0.0" if kind == "d" else col) + f" AS {name}")
+        col = f'CAST("{name}" AS {SQL_TYPES[kind]})'
+        out.append((f"round({col}, 6) + 0.0" if kind == "d" else col) + f' AS "{name}"')
     return f"SELECT {', '.join(out)} FROM ({body}) tidy"
 
 

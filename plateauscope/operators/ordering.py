@@ -272,5 +272,5 @@ def running_totals(df: DataFrame, keys: Sequence[str], block: str, order: Sequen
     if peak:
         out = out.withColumn(f"{peak}_peak", F.greatest(
             F.col("_peak_0"), F.col(f"_{peak}_0") + F.col("_peak_in")))
-    return out.drop(*[c for c in out.columns if c.startswith("_") and
-                      c.endswith(("_in", "_0"))])
+    return out.drop(*[f"_{n}{end}" for n in values for end in ("_in", "_0")],
+                    *(["_peak_in", "_peak_0"] if peak else []))
