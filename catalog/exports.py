@@ -311,7 +311,8 @@ def _delimited(spark, sf):
 
 
 _study = F.regexp_extract("file", "study_id=([^/]+)/", 1)
-_fig = """figs AS (SELECT study_id, row_idx+1 AS line_no, round(is_profit,2) profit,
+_fig = """figs AS (SELECT study_id, row_number() OVER (PARTITION BY study_id
+  ORDER BY row_idx) AS line_no, round(is_profit,2) profit,
   round(is_profit_factor,4) pf, is_trades trades, p0 FROM passes WHERE study_id IN ('bump','noise'))"""
 _FIG = chain("passes").rstrip() + ",\n" + _fig + "\n"
 
