@@ -5,7 +5,7 @@ by their hash. Two sets of Jaccard similarity ``t`` or more share a shingle amon
 ``n - ceil(t * n) + 1`` of each, so a set is stored below each of these first shingles only;
 the shingle is the first level of the tree and the key of the shuffle. Inside a subtree the
 members are joined in rounds. A round gives every set that is not yet connected to the whole
-subtree one partner; what is left after the rounds is every pair of members from different
+subtree a few partners; what is left after the rounds is every pair of members from different
 components that the length and position bounds admit. The pairs of one set are verified by
 walking the prefix tree of its partners (:func:`walk`).
 """
@@ -26,8 +26,9 @@ from plateauscope.llm.tables import written
 NUM, DEN, WIDTH = 75, 100, 5
 # Sets that must hold a shingle before it moves to the end of the order. The order decides the
 # work of the join and never its result.
-FREQUENT, FREQUENT_KEPT = 8, 1 << 18
-ROUNDS = 2
+FREQUENT, FREQUENT_KEPT = 8, 1 << 19
+COUNTED = 1 << 22  # shingles whose counts a task takes together
+PARTNERS = (1, 4, 6, 8)  # partners a set gets in each round
 LAGS = 64
 NEVER = 2 ** 31 - 1
 _TOP = np.uint64(1) << np.uint64(62)
@@ -58,11 +59,23 @@ def _signature(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _summarise(width: int):
-    """Task: a row per document (kind 0: id, size, signature) and per local shingle count (1)."""
+    """Task: a row per document (kind 0: id, size, signature) and per shingle that several sets of
+    the task hold (kind 1: count, shingle)."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()),
                         ("s1", pa.int64()), ("s2", pa.int64())])
 
+    def counted(parts: list[np.ndarray]):
+        value, count = np.unique(np.concatenate(parts), return_counts=True)
+        value, count = value[count > 1], count[count > 1]
+        k = len(value)
+        if k:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count),
+                 pa.array(value.view(np.int64)), pa.nulls(k, pa.int64())], schema=schema)
+
     def run(batches):
+        parts: list[np.ndarray] = []
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, bounds, h in _sets(batch, width):
@@ -70,16 +83,14 @@ def _summarise(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(hi - lo, np.int32)), ids.slice(lo, hi - lo),
                      pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2)], schema=schema)
-                _, keep = np.unique(s1, return_index=True)  # copies count once
-                part = np.concatenate([h[bounds[i]:bounds[i + 1]] for i in keep] or [h[:0]])
-                value, count = np.unique(part, return_counts=True)
-                many = count > 1
-                if many.any():
-                    k = int(many.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()),
-                         pa.array(count[many]), pa.array(value[many].view(np.int64)),
-                         pa.nulls(k, pa.int64())], schema=schema)
+                fresh = [i for i, s in enumerate(s1.tolist()) if s not in seen]
+                seen.update(s1.tolist())  # copies count once
+                parts.append(np.concatenate([h[bounds[i]:bounds[i + 1]] for i in fresh] or [h[:0]]))
+                if sum(map(len, parts)) > COUNTED:
+                    yield from counted(parts)
+                    parts = []
+        if parts:
+            yield from counted(parts)
     return run, "kind int, doc_id long, n long, s1 long, s2 long"
 
 
@@ -89,12 +100,12 @@ class Order:
     def __init__(self, frequent: np.ndarray):
         self.place = np.argsort(frequent, kind="stable")
         self.value = frequent[self.place]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.value & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.value & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = h.copy()
-        look = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        look = np.flatnonzero(self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
         if len(look):
             at = np.minimum(np.searchsorted(self.value, h[look]), len(self.value) - 1)
             hit = self.value[at] == h[look]
@@ -318,7 +329,7 @@ class NgramJoin:
                   .filter(F.col("c") >= FREQUENT))
         top = common.orderBy(F.desc("c"), "s1").limit(FREQUENT_KEPT)
         # At most FREQUENT_KEPT numbers, rarest first: the tail of the global order.
-        rank = np.array([r[0] for r in top.collect()][::-1], np.int64).view(np.uint64)
+        rank = top.select("s1").toArrow().column(0).to_numpy()[::-1].copy().view(np.uint64)
         self.order = docs.sparkSession.sparkContext.broadcast(rank)
 
     def _members(self) -> DataFrame:
@@ -374,7 +385,7 @@ class NgramJoin:
         least = (F.ceil(F.lit(num) * (F.col("n") + F.col("m")) / F.lit(num + den))
                  - F.ceil(F.lit(num) * F.greatest("n", "m") / F.lit(den)) + 1)
         done = label = None
-        for r in range(ROUNDS + 1):
+        for r in range(len(PARTNERS) + 1):
             at = members
             if label is not None:
                 at = (members.join(label.select(F.col("node").alias("id"), "root"), "id", "left")
@@ -382,36 +393,41 @@ class NgramJoin:
                 spread = (at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                           .filter("lo < hi").select("token"))
                 at = at.join(spread, "token")
+                if spread.isEmpty():
+                    break
             else:
                 at = at.withColumn("root", F.col("id"))
-            if r < ROUNDS:
-                # One partner a set: the chosen set of most of its subtrees.
-                pick = at.groupBy("token").agg(F.min_by(F.struct("id", "n", "root"),
-                                                        F.xxhash64("id", F.lit(r))).alias("p"))
-                pairs = (at.join(pick, "token").filter("root <> p.root")
+            if r < len(PARTNERS):
+                # A few partners a set: members that a hash picks in the most of its subtrees.
+                pick = at.groupBy("token").agg(F.array(*(
+                    F.struct(F.min_by(F.struct("id", "n", "root"),
+                                      F.xxhash64("id", F.lit(r), F.lit(k))).alias("p"),
+                             F.lit(k).alias("k")) for k in range(PARTNERS[r]))).alias("ps"))
+                pairs = (at.join(pick, "token").withColumn("q", F.explode("ps"))
+                         .withColumn("p", F.col("q.p")).filter("root <> p.root")
                          .withColumn("m", F.col("p.n")).filter(admit)
-                         .groupBy("id", F.col("p.id").alias("other")).agg(
+                         .groupBy("id", F.col("p.id").alias("other"), F.col("q.k").alias("k")).agg(
                              F.count("*").alias("c"), F.first(least).alias("need"))
                          .filter("c >= need")
-                         .groupBy("id").agg(F.max_by("other", F.struct("c", "other")).alias("other")))
-                pairs = pairs.select(F.col("other").alias("u"), F.col("id").alias("v"))
+                         .groupBy("id", "k").agg(F.max_by("other", F.struct("c", "other")).alias("other")))
+                pairs = pairs.select(F.greatest("other", "id").alias("u"),
+                                     F.least("other", "id").alias("v")).distinct()
             else:
                 far = at.select("token", F.col("id").alias("v"), F.col("root").alias("root_v"),
                                 F.col("n").alias("m"), F.col("pos").alias("pos_v"))
                 pairs = (at.join(far, "token").filter("root < root_v").filter(admit)
-                         .groupBy(F.col("id").alias("u"), "v").agg(
+                         .groupBy(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).agg(
                              F.count("*").alias("c"), F.first(least).alias("need"),
                              F.max(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos_v"))
                                    * (num + den) >= F.lit(num) * (F.col("n") + F.col("m")))
                              .alias("near"))
                          .filter("near AND c >= need").select("u", "v"))
             if done is not None:
-                both = done.select("u", "v").unionByName(
-                    done.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-                pairs = pairs.join(both, ["u", "v"], "left_anti")
+                pairs = pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")
             found = self._check(pairs, sets, f"round{r}")
             done = found if done is None else done.unionByName(found)
-            label = connected(done.filter("linked").select("u", "v"))
+            if label is None or not found.isEmpty():
+                label = connected(done.filter("linked").select("u", "v"))
         self.label = label
         return done.filter("linked").select("u", "v")
 
@@ -425,3 +441,13 @@ class NgramJoin:
                 .select("doc_id", F.col("n").alias("n_shingles"),
                         F.when(F.col("doc_id").isNotNull(),
                                F.coalesce("component_id", "doc_id")).alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of smallest doc_id.
+
+    Rows that repeat that doc_id stay together; rows without doc_id all stay.
+    """
+    rest = (NgramJoin(docs, **options).components().filter("doc_id <> component_id")
+            .select("doc_id").distinct())
+    return docs.join(rest, "doc_id", "left_anti").select(docs.columns)

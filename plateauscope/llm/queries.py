@@ -2,25 +2,65 @@
 
 from __future__ import annotations
 
-from plateauscope.llm.ngram_join import NgramJoin
+from pyspark.sql import functions as F
+
+from plateauscope.llm import (bpe, decontam, embed_dedup, licenses, main_text, ngram_join, pii,
+                              quality, suffix_dedup, toxicity)
+from plateauscope.llm.oracles import ORACLES
 from plateauscope.llm.tables import QUERIES, SQL, register, table  # noqa: F401
 
-WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '')"
-
-
-@register("op10_ngram_jaccard_join", f"""
-WITH RECURSIVE words AS (SELECT doc_id, {WORDS} AS w FROM documents),
-sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
-    THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3),
-    i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
-grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
-links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM grams a JOIN grams b USING (g)
-    WHERE a.doc_id <> b.doc_id GROUP BY ALL
-    HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
-reach AS (SELECT doc_id AS node, doc_id AS other FROM documents
-    UNION SELECT r.node, l.v FROM reach r JOIN links l ON r.other = l.u)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id FROM sets s
-JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id
-""")
+
+@register("op1_pii")
+def op1_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@register("op2_decontamination", ORACLES["op2_decontamination"])
+def op2_decontamination(spark, sf_dir):
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    # One row per document and item, the best of texts that repeat a doc_id.
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max_by(F.struct("n_shingles", "n_shared", "containment"), "containment").alias("b")
+    ).select("doc_id", "item_id", "b.*")
+
+
+@register("op3_suffix_array_dedup", ORACLES["op3_suffix_array_dedup"])
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@register("op4_html_extraction")
+def op4_html_extraction(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op5_embedding_near_dedup", ORACLES["op5_embedding_near_dedup"])
+def op5_embedding_near_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@register("op7_quality")
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.Quality(docs, table(spark, sf_dir, "labels")).score(docs)
+
+
+@register("op8_license_scan", ORACLES["op8_license_scan"])
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.Toxicity(docs, table(spark, sf_dir, "labels")).score(docs)
+
+
+@register("op10_ngram_jaccard_join", ORACLES["op10_ngram_jaccard_join"])
 def op10_ngram_jaccard_join(spark, sf_dir):
-    return NgramJoin(table(spark, sf_dir, "documents")).components()
+    return ngram_join.NgramJoin(table(spark, sf_dir, "documents")).components()
