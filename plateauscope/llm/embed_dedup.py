@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from plateauscope.llm.components import connected
 from plateauscope.llm.tables import written
@@ -145,9 +145,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
         F.min("vec_id").alias("id"), F.count("*").alias("mult"))
         .withColumn("dim", F.size("vec")), "vectors")
     bits, tables = plan(classes.count(), threshold, miss)
-    coded = classes.select("id", "mult", "vec", "dim", "label")
-    coded = written(coded.mapInArrow(_coded(bits, tables, seed),
-                                     coded.schema.add("codes", ArrayType(IntegerType()))), "codes")
+    plain = classes.select("id", "mult", "vec", "dim", "label")
+    schema = StructType([*plain.schema, StructField("codes", ArrayType(IntegerType()))])
+    coded = written(plain.mapInArrow(_coded(bits, tables, seed), schema), "codes")
     at = coded.select("id", "mult", "label", "dim", "vec", "codes",
                       F.posexplode("codes").alias("t", "code"))
     at = at.withColumn("g", F.xxhash64("t", "code", "label", "dim"))

@@ -200,13 +200,15 @@ class Quality:
         field = Field(edges)
         if len(x):
             field.fit(row, x, label[row])
-        self.field = docs.sparkSession.sparkContext.broadcast(field)
+        self.field = docs.sparkSession.sparkContext.broadcast(vars(field))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, held_out, score, predicted) of every row."""
         field, empty = self.field, self.empty
 
         def run(batches):
+            learnt = Field(field.value["edges"])
+            learnt.__dict__.update(field.value)
             for batch in batches:
                 data, offsets = T.utf8(batch.column("text"))
                 for lo, hi in T.chunks(offsets):
@@ -214,7 +216,7 @@ class Quality:
                     row, size, x = measures(data[base:offsets[hi]], offsets[lo:hi + 1] - base)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").slice(lo, hi - lo),
-                         pa.array(field.value.quality(row, size, x, hi - lo, empty))],
+                         pa.array(learnt.quality(row, size, x, hi - lo, empty))],
                         names=["doc_id", "score"])
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -118,6 +118,13 @@ class Index:
         np.maximum.at(self.most, (self.term, self.example // block), self.weight)
         self.block = block
 
+    @classmethod
+    def of(cls, parts: dict) -> "Index":
+        """The index whose ``vars`` are ``parts``: a broadcast holds arrays, not classes."""
+        index = cls.__new__(cls)
+        index.__dict__.update(parts)
+        return index
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None):
         """(examples, cosines) of the k nearest of positive cosine; ties by smaller id."""
         bound = weight @ self.most[term]
@@ -202,10 +209,9 @@ class Toxicity:
                   .withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
                   .orderBy(F.desc("chi2"), "term").limit(VOCABULARY))
         terms = np.array([r["term"] for r in chosen.select("term").collect()], np.int64)
-        self.vocabulary = spark.sparkContext.broadcast(Vocabulary(terms.view(np.uint64)))
+        self.vocabulary = spark.sparkContext.broadcast(np.sort(terms.view(np.uint64)))
         self.idf = self._idf(docs)
-        index = self._index(rows)
-        self.index = spark.sparkContext.broadcast(index)
+        self.index = spark.sparkContext.broadcast(vars(self._index(rows)))
         self.curve = (1.0, 0.0)
         if toxic and clean:
             at = self._scored(rows.select("doc_id", "text", "y"), leave_out=True)
@@ -218,7 +224,7 @@ class Toxicity:
         vocabulary = self.vocabulary
 
         def run(batches):
-            v = Vocabulary(vocabulary.value.terms)
+            v = Vocabulary(vocabulary.value)
             held, rows = np.zeros(len(v.terms), np.int64), 0
             for batch in batches:
                 rows += batch.num_rows
@@ -231,7 +237,7 @@ class Toxicity:
         counted = (docs.select(F.col("text").cast("string").alias("text"))
                    .mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")))
         n = {r["place"]: r["n"] for r in counted.collect()}  # a row a term
-        size = len(self.vocabulary.value.terms)
+        size = len(self.vocabulary.value)
         df = np.array([n.get(i, 0) for i in range(size)], float)
         return np.log((1 + n.get(-1, 0)) / (1 + df)) + 1
 
@@ -252,7 +258,7 @@ class Toxicity:
                             ("t", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))])
 
         def run(batches):
-            v = Vocabulary(vocabulary.value.terms)
+            v = Vocabulary(vocabulary.value)
             for batch in batches:
                 for lo, hi, row, term in _ranges(batch):
                     bounds, t, w = vectors(v, hi - lo, row, term)
@@ -269,7 +275,7 @@ class Toxicity:
         bounds = np.concatenate([[0], np.cumsum([len(r["t"]) for r in got])]).astype(np.int64)
         return Index(np.array([r["doc_id"] for r in got], np.int64),
                      np.array([r["y"] for r in got], float), bounds, flat("t", np.int64),
-                     flat("w", float), len(self.vocabulary.value.terms))
+                     flat("w", float), len(self.vocabulary.value))
 
     def _scored(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
         vocabulary, vectors = self._vectors()
@@ -279,7 +285,7 @@ class Toxicity:
                   .add("evidence", ArrayType(LongType())).add("cosines", ArrayType(DoubleType())))
 
         def run(batches):
-            v, ix = Vocabulary(vocabulary.value.terms), index.value
+            v, ix = Vocabulary(vocabulary.value), Index.of(index.value)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist() if leave_out else None
                 for lo, hi, row, term in _ranges(batch):
