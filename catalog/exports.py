@@ -199,17 +199,16 @@ def _params(spark, sf):
 
 
 def _built(spark, sf):
-    c = cells(spark, sf).filter("study_id IN ('twin', 'winners', 'partial', 'bump')")
+    c = cells(spark, sf)
     return memo(spark, (sf, "built_passes"), lambda: I.build_passes(
-        c, ids(spark, sf).filter("study_id IN ('twin', 'winners', 'partial', 'bump')"),
-        _params(spark, sf), I.hidden_losers(c)))
+        c, ids(spark, sf), _params(spark, sf), I.hidden_losers(c)))
 
 
 @register("b11_same_period_twice", "study_id:s compared:i identical:i repeated:b", """
  SELECT study_id, count(*) compared, count(*) FILTER (i.profit=o.profit AND i.pf=o.pf AND i.dd=o.dd AND i.trades=o.trades)
   identical, count(*) >= 10 AND count(*) FILTER (i.profit=o.profit AND i.pf=o.pf AND i.dd=o.dd AND i.trades=o.trades)
   *1.0/count(*) >= 0.95 repeated FROM isr i JOIN oosr o USING (study_id, id)
- WHERE study_id IN ('twin','winners','partial','bump') GROUP BY 1""", _EX)
+ GROUP BY 1""", _EX)
 def b11(spark, sf):
     return I.same_period_twice(_built(spark, sf).filter("NOT lost_in_is"))
 
@@ -219,7 +218,7 @@ def b11(spark, sf):
   SELECT i.study_id, o.id IS NOT NULL oos_known, false lost_in_is, i.profit FROM isr i
   LEFT JOIN oosr o ON o.study_id=i.study_id AND o.id=i.id
   UNION ALL SELECT study_id, true, true, NULL FROM oosr WHERE id IS NULL)
- WHERE study_id IN ('twin','winners','partial','bump') GROUP BY ALL""", _EX)
+ GROUP BY ALL""", _EX)
 def b12(spark, sf):
     return _built(spark, sf).groupBy("study_id", "oos_known", "lost_in_is").agg(
         F.count(F.lit(1)).alias("n"),
@@ -229,8 +228,7 @@ def b12(spark, sf):
 @register("b13_parameter_types", "study_id:s name:s type:s n:i", """
  SELECT s.study_id, name, type, n FROM (SELECT study_id, count(*) n FROM (SELECT study_id FROM isr UNION ALL
   SELECT study_id FROM oosr WHERE id IS NULL) GROUP BY 1) s, (VALUES ('p0','number'),('p1','number'),
-  ('p2','number'),('Mode','text'),('Flag','bool')) v(name, type)
- WHERE s.study_id IN ('twin','winners','partial','bump')""", _EX)
+  ('p2','number'),('Mode','text'),('Flag','bool')) v(name, type)""", _EX)
 def b13(spark, sf):
     b = _built(spark, sf)
     n = b.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"))
@@ -284,7 +282,7 @@ def b17(spark, sf):
 # ------------------------------------------------------------------ files
 def _figures(spark, sf):
     """Profit and factor of the planted study as an export writes them."""
-    return R.sweep(spark, sf).filter("study_id IN ('bump', 'noise')").select(
+    return R.sweep(spark, sf).select(
         "study_id", "row_idx", F.round(F.col("is.profit"), 2).alias("profit"),
         F.round(F.col("is.profit_factor"), 4).alias("pf"), F.col("is.trades").cast("long")
         .alias("trades"), F.col("params")[0]["num"].cast("int").alias("p0"))
@@ -313,7 +311,7 @@ def _delimited(spark, sf):
 _study = F.regexp_extract("file", "study_id=([^/]+)/", 1)
 _fig = """figs AS (SELECT study_id, row_number() OVER (PARTITION BY study_id
   ORDER BY row_idx) AS line_no, round(is_profit,2) profit,
-  round(is_profit_factor,4) pf, is_trades trades, p0 FROM passes WHERE study_id IN ('bump','noise'))"""
+  round(is_profit_factor,4) pf, is_trades trades, p0 FROM passes)"""
 _FIG = chain("passes").rstrip() + ",\n" + _fig + "\n"
 
 
@@ -386,8 +384,7 @@ def a3(spark, sf):
 
 @register("a5_number_parse", "study_id:s row_idx:i a:d b:d c:d d:d", """
  SELECT study_id, row_idx, round(is_profit,2) a, round(is_profit,2) b, is_trades c,
-  CASE WHEN is_trades < 1000 AND is_trades >= 1 THEN is_trades*1000 + 7 END d FROM passes
- WHERE study_id IN ('bump','noise')""", chain("passes"))
+  CASE WHEN is_trades < 1000 AND is_trades >= 1 THEN is_trades*1000 + 7 END d FROM passes""", chain("passes"))
 def a5(spark, sf):
     f = _figures(spark, sf)
     us = F.format_number("profit", 2)

@@ -20,9 +20,8 @@ _D = """WITH d0 AS MATERIALIZED (
 d AS MATERIALIZED (SELECT *, row_number() OVER w seq, net_cents-commission_cents profit_cents,
   1000000000 + sum(net_cents) OVER (w ROWS UNBOUNDED PRECEDING) balance_cents FROM d0
   WINDOW w AS (PARTITION BY report_id ORDER BY ts,l_orderkey,l_linenumber,l_partkey,l_suppkey,net_cents)),
-thin AS MATERIALIZED (SELECT * FROM d WHERE seq % 7 = 0),
 dd AS MATERIALIZED (SELECT report_id, day, sum(net_cents) pnl_cents, sum(volume) volume, count(*) trades,
-  sum(price*volume*10) notional FROM thin GROUP BY ALL),
+  sum(price*volume*10) notional FROM d GROUP BY ALL),
 cal AS MATERIALIZED (SELECT report_id, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day
   FROM (SELECT report_id, min(day) a, max(day) b FROM dd GROUP BY 1)),
 daily AS MATERIALIZED (SELECT cal.report_id, cal.day, row_number() OVER (PARTITION BY cal.report_id
@@ -35,18 +34,13 @@ y AS MATERIALIZED (SELECT daily.report_id, day_idx t, pnl_cents-m y, n FROM dail
 """
 
 
-def thin(spark, sf):
-    """Every seventh deal of a report, so that some weekdays stay empty."""
-    return memo(spark, (sf, "thin_deals"), lambda: R.deals(spark, sf).filter("seq % 7 = 0"))
-
-
 def contracts(spark, sf):
-    return thin(spark, sf).select("report_id", "symbol").distinct().withColumn(
+    return R.deals(spark, sf).select("report_id", "symbol").distinct().withColumn(
         "value_per_unit", F.lit(10.0))
 
 
 def daily(spark, sf):
-    return memo(spark, (sf, "daily"), lambda: T.daily_series(thin(spark, sf),
+    return memo(spark, (sf, "daily"), lambda: T.daily_series(R.deals(spark, sf),
                                                             contracts(spark, sf)))
 
 
@@ -110,12 +104,12 @@ def h3(spark, sf):
 
 
 @register("h4_day_trades", "report_id:i day_idx:i seq:i inc:d", _D + """
- SELECT thin.report_id, day_idx, seq, ln(1 + net_cents/CAST(balance_cents-net_cents AS DOUBLE)) inc
- FROM thin JOIN daily ON daily.report_id=thin.report_id AND daily.day=thin.day
- WHERE thin.report_id NOT IN (SELECT report_id FROM thin WHERE balance_cents-net_cents <= 0
+ SELECT d.report_id, day_idx, seq, ln(1 + net_cents/CAST(balance_cents-net_cents AS DOUBLE)) inc
+ FROM d JOIN daily ON daily.report_id=d.report_id AND daily.day=d.day
+ WHERE d.report_id NOT IN (SELECT report_id FROM d WHERE balance_cents-net_cents <= 0
   OR balance_cents <= 0)""")
 def h4(spark, sf):
-    return T.day_trades(thin(spark, sf), log=True)
+    return T.day_trades(R.deals(spark, sf), log=True)
 
 
 @register("h5_contract_values", "report_id:i symbol:s value_per_unit:d median_price:d samples:i "
@@ -186,7 +180,7 @@ def h8(spark, sf):
 
 def days(spark, sf):
     return memo(spark, (sf, "day_arrays"), lambda: M.day_summaries(
-        T.day_trades(thin(spark, sf)), daily(spark, sf)))
+        T.day_trades(R.deals(spark, sf)), daily(spark, sf)))
 
 
 @register("h9_stationary_bootstrap", "report_id:i sims:i total_p05:d total_p50:d total_p95:d "
@@ -213,9 +207,9 @@ def h11(spark, sf):
 @register("h12_swap_warnings", "report_id:i swap_share:d warnings:s", _D + """
  SELECT report_id, least(1, abs(sum(commission_cents*1000))/CAST(abs(sum(net_cents)) AS DOUBLE))
   swap_share, CASE WHEN least(1, abs(sum(commission_cents*1000))/CAST(abs(sum(net_cents)) AS DOUBLE)) > 0.05
-  THEN 'swap_dominance' ELSE '' END warnings FROM thin GROUP BY 1""")
+  THEN 'swap_dominance' ELSE '' END warnings FROM d GROUP BY 1""")
 def h12(spark, sf):
-    d = thin(spark, sf).withColumn("swap_cents", F.col("commission_cents") * 1000)
+    d = R.deals(spark, sf).withColumn("swap_cents", F.col("commission_cents") * 1000)
     return T.swap_warnings(d, avg_trade_days=1.0).withColumn(
         "warnings", F.concat_ws(",", "warnings"))
 
@@ -224,7 +218,7 @@ def h12(spark, sf):
  SELECT report_id, count(*) AS days, sum(pnl_cents)/100.0/sum(trades) per_trade,
   avg(pnl_cents)/stddev_samp(pnl_cents) sharpe, 0.0 swap_share FROM daily GROUP BY 1""")
 def h13(spark, sf):
-    return T.unseen_trades_audit(thin(spark, sf))
+    return T.unseen_trades_audit(R.deals(spark, sf))
 
 
 @register("h14_position_sizing", "report_id:i sizing:s signal:s trades:i up_after_loss:d "
@@ -244,7 +238,7 @@ def h14(spark, sf):
 
 
 def cuts(spark, sf):
-    ids = thin(spark, sf).select("report_id").distinct()
+    ids = R.deals(spark, sf).select("report_id").distinct()
     return ids.select("report_id", F.to_date(F.when(
         F.col("report_id") == 4, "2030-01-01").otherwise("1999-12-31")).alias("choose_end"),
         F.to_date(F.when(F.col("report_id") < 2, "1997-12-31")).alias("opt_end"))
@@ -252,15 +246,15 @@ def cuts(spark, sf):
 
 def opened(spark, sf):
     """Deals with an opening 0 to 6 days before the close."""
-    return thin(spark, sf).withColumn("open_ts", F.col("ts") - F.make_dt_interval(
+    return R.deals(spark, sf).withColumn("open_ts", F.col("ts") - F.make_dt_interval(
         (F.col("seq") % 7).cast("int")) - F.make_dt_interval((F.col("seq") % 5).cast("int")))
 
 
 _seg = """seg AS MATERIALIZED (SELECT *, CASE segment WHEN 'clean' THEN DATE '2000-01-01' WHEN 'fwd' THEN DATE '1998-01-01'
-  ELSE (SELECT min(day) FROM thin z WHERE z.report_id=s.report_id) END from_day FROM (
+  ELSE (SELECT min(day) FROM d z WHERE z.report_id=s.report_id) END from_day FROM (
  SELECT *, CASE WHEN report_id < 2 AND day <= DATE '1997-12-31' THEN 'opt'
   WHEN day <= DATE '1999-12-31' THEN CASE WHEN report_id < 2 THEN 'fwd' ELSE 'used' END
-  ELSE 'clean' END segment FROM thin WHERE report_id <> 4) s)"""
+  ELSE 'clean' END segment FROM d WHERE report_id <> 4) s)"""
 
 
 @register("h15_cut_segments", "report_id:i segment:s from_day:s trades:i straddling:i error:s",
@@ -275,9 +269,9 @@ def h15(spark, sf):
 @register("h16_deal_summary", "report_id:i trades:i net_cents:i profit_factor:d", _D + """
  SELECT report_id, count(*) trades, sum(net_cents) net_cents,
   sum(greatest(net_cents + 3, 0))/CAST(sum(greatest(-net_cents-3,0) + 3) AS DOUBLE) profit_factor
- FROM thin GROUP BY 1""")
+ FROM d GROUP BY 1""")
 def h16(spark, sf):
-    return T.deal_summary(thin(spark, sf).withColumn("open_commission_cents", F.lit(-3)))
+    return T.deal_summary(R.deals(spark, sf).withColumn("open_commission_cents", F.lit(-3)))
 
 
 _BL = _D + """, sz AS MATERIALIZED (SELECT report_id, n, greatest(5, CAST(ceil(sqrt(log10(n))) AS INT)) kn, CAST(ceil(sqrt(n)) AS INT)
@@ -402,13 +396,13 @@ def h24(spark, sf):
 
 @register("h24_order_bands", "report_id:i point:i p05:d p25:d p50:d p75:d p95:d real:d")
 def h24b(spark, sf):
-    return M.order_bands(_orders(spark, sf)[1], T.day_trades(thin(spark, sf)))
+    return M.order_bands(_orders(spark, sf)[1], T.day_trades(R.deals(spark, sf)))
 
 
 @register("h24_real_order", "report_id:i real_fall:d real_streak:i", _D + """, e AS MATERIALIZED (SELECT *, sum(net_cents) OVER
    (PARTITION BY report_id ORDER BY seq ROWS UNBOUNDED PRECEDING) e,
    count(*) FILTER (net_cents > 0) OVER (PARTITION BY report_id ORDER BY seq ROWS UNBOUNDED PRECEDING) g
-  FROM thin), f AS MATERIALIZED (SELECT *, greatest(0, max(e) OVER (PARTITION BY report_id ORDER BY seq
+  FROM d), f AS MATERIALIZED (SELECT *, greatest(0, max(e) OVER (PARTITION BY report_id ORDER BY seq
    ROWS UNBOUNDED PRECEDING))-e f FROM e)
  SELECT report_id, max(f) real_fall, (SELECT max(c) FROM (SELECT count(*) FILTER (net_cents<0) c FROM f z
    WHERE z.report_id=f.report_id GROUP BY g)) real_streak FROM f GROUP BY report_id""")
@@ -419,20 +413,20 @@ def h24c(spark, sf):
 @register("h25_gated_report", "report_id:i sizing:s mode:s days:i trading_days:i streak_p:d "
           "volatility_p:d gates_ok:b forecast_ok:b")
 def h25(spark, sf):
-    return T.gated_report(thin(spark, sf), daily(spark, sf))
+    return T.gated_report(R.deals(spark, sf), daily(spark, sf))
 
 
 @register("h26_forecast_table", "report_id:i horizon:i total_p05:d total_p50:d total_p95:d "
           "fall_p95:d prob_loss:d")
 def h26(spark, sf):
     d = daily(spark, sf)
-    allowed = T.gated_report(thin(spark, sf), d).filter("size(array_remove(missing, 'gates')) = 0")
+    allowed = T.gated_report(R.deals(spark, sf), d).filter("size(array_remove(missing, 'gates')) = 0")
     return M.forecast_table(days(spark, sf), d, allowed, sims=500, outer=30, inner=100)
 
 
 @register("h27_forecast_blockers", "report_id:i blockers:s")
 def h27(spark, sf):
-    g = T.gated_report(thin(spark, sf), daily(spark, sf))
+    g = T.gated_report(R.deals(spark, sf), daily(spark, sf))
     k = F.col("report_id")
     params = g.select("report_id", (k % 3 == 1).cast("int").alias("different"),
                       (k % 3 == 2).cast("int").alias("missing_params"))
@@ -445,7 +439,7 @@ def h27(spark, sf):
 @register("h28_unseen_figures", "report_id:i trades:i net_cents:i source:s", _D + ", " + _seg + """
  SELECT t.report_id, coalesce(c.trades, t.trades) trades, coalesce(c.net, t.net) net_cents,
   CASE WHEN c.trades IS NULL THEN 'report' ELSE 'after_cut' END source
- FROM (SELECT report_id, count(*) trades, sum(net_cents) net FROM thin GROUP BY 1) t
+ FROM (SELECT report_id, count(*) trades, sum(net_cents) net FROM d GROUP BY 1) t
  LEFT JOIN (SELECT report_id, count(*) trades, sum(net_cents) net FROM seg WHERE segment='clean'
   GROUP BY 1) c USING (report_id)""")
 def h28(spark, sf):

@@ -17,8 +17,6 @@ GATE_SEED = 20260921
 SHRINK_SEED = 20261014
 PERTURBATION = 0.2
 MIN_PAIRS = 20
-SAMPLE_CAP = 15000
-DRAW_BUDGET = 5_000_000
 SHARPE_MIN_TRADES = 30
 MIN_UNITS = 30
 MIN_BLOCKS = 10
@@ -61,24 +59,28 @@ def selection_fragility(pairs: DataFrame, repeats: int = 2000, fraction: float =
                         seed: int = FRAGILITY_SEED) -> DataFrame:
     """How often the best of a random half falls under the median on the other period.
 
-    ``pairs``: study_id, row_idx, a, b. Each repeat samples without replacement by
-    keeping the rows with the smallest draws. A draw limit known in advance drops
-    the others before the shuffle, so a (study, direction, repeat) group never
-    holds more than about the sample size, which the method bounds.
+    ``pairs``: study_id, row_idx, a, b. Each repeat samples the whole fraction without
+    replacement by keeping the rows with the smallest draws. Rows far above the expected
+    last draw are left out of the sort; a repeat that then lacks rows gets them back, so
+    the sample is exact.
     """
     ok = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select("study_id", "row_idx", "a", "b")
     n = ok.groupBy("study_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAIRS)
-    take = F.least(F.lit(SAMPLE_CAP), F.greatest(F.lit(10), F.least(
-        F.col("n") - 1, F.floor(F.col("n") * fraction)))).cast("long")
-    reps = F.greatest(F.lit(100), F.least(F.lit(repeats), F.floor(DRAW_BUDGET / take))).cast("int")
-    n = n.select("study_id", "n", take.alias("take"), reps.alias("repeats")).withColumn(
+    take = F.greatest(F.lit(10), F.least(F.col("n") - 1, F.floor(F.col("n") * fraction))).cast("long")
+    n = n.select("study_id", "n", take.alias("take"), F.lit(repeats).alias("repeats")).withColumn(
         "_limit", F.least(F.lit(1.0), (F.col("take") + 6 * F.sqrt("take") + 10) / F.col("n")))
     r = attach(ok, n, ["study_id"], "inner", "row_idx")
     r = r.withColumn("d", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "rep", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     stream = (F.when(F.col("d") == 0, F.lit(seed)).otherwise(F.lit(seed ^ REVERSE_MASK))
               + F.col("rep").cast("long") * 7919)
-    r = r.withColumn("u", uniform(stream, F.col("row_idx") + 1)).filter(F.col("u") <= F.col("_limit"))
+    r = r.withColumn("u", uniform(stream, F.col("row_idx") + 1))
+    near = r.filter(F.col("u") <= F.col("_limit"))
+    short = (near.groupBy("study_id", "d", "rep").agg(
+        F.count(F.lit(1)).alias("c"), F.first("take").alias("t")).filter("c < t")
+        .select("study_id", "d", "rep"))
+    r = near.unionByName(r.filter(F.col("u") > F.col("_limit")).join(
+        short, ["study_id", "d", "rep"], "left_semi").select(near.columns))
     r = r.select("study_id", "d", "rep", "n", "take", "repeats", "row_idx", "u",
                  F.when(F.col("d") == 0, F.col("a")).otherwise(F.col("b")).alias("train"),
                  F.when(F.col("d") == 0, F.col("b")).otherwise(F.col("a")).alias("test"))

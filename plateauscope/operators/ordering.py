@@ -19,10 +19,6 @@ from ..functions.numeric import order_bucket
 # Rows of one key and one value that may share a group.
 ROW_BLOCK = 1 << 16
 
-# Inputs planned under this many bytes take the one-shuffle form of an operator: no
-# group of theirs can outgrow a task. Larger inputs take the bucketed form.
-SMALL_BYTES = 8 << 20
-
 LINEAR, FLOOR_N1, FLOOR_N, UPPER_MEDIAN = "linear", "floor_n1", "floor_n", "upper_median"
 
 
@@ -31,16 +27,6 @@ def row_block(row: str | Column) -> Column:
     return F.floor(col / ROW_BLOCK).cast("long")
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size the optimiser expects; joins and aggregates are estimated from above."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame) -> bool:
-    limit = df.sparkSession.conf.get("plateauscope.small.bytes", str(SMALL_BYTES))
-    return plan_bytes(df) <= int(limit)
-
-
 def _with_offsets(counts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``before``/``n`` to rows (keys, v, [more order cols], c)."""
     counts = counts.withColumn("_b", order_bucket(F.col("v")))
@@ -77,8 +63,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
               probs: dict[str, float], convention: str = LINEAR,
               count: str | None = None) -> DataFrame:
     """Exact quantiles per key: one row per key, one column per entry of ``probs``."""
-    if is_small(df):
-        return _quantiles_direct(df, keys, value, probs, convention, count)
     placed = value_counts(df, keys, value)
     aggs = []
     for name, q in probs.items():
@@ -106,25 +90,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str | Column,
     return wide.select(*out)
 
 
-def _quantiles_direct(df, keys, value, probs, convention, count) -> DataFrame:
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    rows = df.select(*keys, v.alias("v")).filter("v IS NOT NULL")
-    if convention == LINEAR:
-        found = rows.groupBy(*keys).agg(
-            F.percentile("v", [float(q) for q in probs.values()]).alias("_q"),
-            F.count(F.lit(1)).alias("_n"))
-        picked = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(probs)]
-    else:
-        found = (rows.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("_q"))
-                 .withColumn("_n", F.size("_q").cast("long")))
-        place = {FLOOR_N1: lambda q: F.floor((F.col("_n") - 1) * F.lit(float(q))),
-                 FLOOR_N: lambda q: F.least(F.col("_n") - 1,
-                                            F.floor(F.col("_n") * F.lit(float(q)))),
-                 UPPER_MEDIAN: lambda q: F.floor(F.col("_n") / 2)}[convention]
-        picked = [F.get("_q", place(q).cast("int")).alias(name) for name, q in probs.items()]
-    return found.select(*keys, *picked, *([F.col("_n").alias(count)] if count else []))
-
-
 def medians(df: DataFrame, keys: Sequence[str], values: dict[str, str | Column],
             q: float = 0.5) -> DataFrame:
     """One quantile of several columns per key, in a single pass.
@@ -166,8 +131,6 @@ def with_ranks(df: DataFrame, keys: Sequence[str], value: str, row: str,
     the rows is still spread over many tasks.
     """
     keys = list(keys)
-    if is_small(df):
-        return _ranks_direct(df, keys, value, row, prefix, position)
     df = df.withColumn("v", F.col(value).cast("double")).withColumn("_blk", row_block(row))
     counts = (df.filter("v IS NOT NULL").groupBy(*keys, "v", "_blk")
               .agg(F.count(F.lit(1)).alias("c")))
@@ -184,40 +147,19 @@ def with_ranks(df: DataFrame, keys: Sequence[str], value: str, row: str,
     return out.drop("v", "_blk", "_start")
 
 
-def _ranks_direct(df, keys, value, row, prefix, position) -> DataFrame:
-    has = F.col(value).isNotNull()
-    group = Window.partitionBy(*keys, has)
-    order = group.orderBy(value)
-    out = (df.withColumn(f"{prefix}_n", F.when(has, F.count(F.lit(1)).over(group)))
-           .withColumn(f"{prefix}_below", F.when(has, F.rank().over(order) - 1).cast("long"))
-           .withColumn(f"{prefix}_ties", F.when(has, F.count(F.lit(1)).over(
-               Window.partitionBy(*keys, value)))))
-    if position:
-        out = out.withColumn(f"{prefix}_pos", F.when(
-            has, F.row_number().over(group.orderBy(value, row)) - 1).cast("long"))
-    return out
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    raw = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-    digits = raw.lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    if digits and digits[-1] in units:
-        return int(digits[:-1]) * units[digits[-1]]
-    return int(digits)
-
-
 def attach(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left",
            spread: str | Column | None = None) -> DataFrame:
     """Join a one-row-per-key frame back to the rows of its keys.
 
-    A side whose planned size is under the broadcast threshold is broadcast.
-    A larger side is sent only to the (key, block) groups that exist, so the
-    rows of one heavy key are still spread over many tasks.
+    The optimiser broadcasts a side whose real size is under its threshold and splits
+    the rows of a heavy key over several tasks. Where the session has switched that
+    splitting off, the side is sent to the (key, block) groups that exist instead.
     """
     keys = list(keys)
-    if 0 <= plan_bytes(side) <= _broadcast_limit(rows):
-        return rows.join(F.broadcast(side), keys, how)
+    conf = rows.sparkSession.conf
+    if (conf.get("spark.sql.adaptive.enabled", "true") == "true"
+            and conf.get("spark.sql.adaptive.skewJoin.enabled", "true") == "true"):
+        return rows.join(side, keys, how)
     if spread is None:
         salt = F.pmod(F.xxhash64(*rows.columns), F.lit(64)).cast("long")
     else:
@@ -237,14 +179,6 @@ def running_totals(df: DataFrame, keys: Sequence[str], block: str, order: Sequen
     start of zero.
     """
     keys, order = list(keys), list(order)
-    if is_small(df):
-        w = (Window.partitionBy(*keys).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, 0))
-        out = df.select("*", *[F.sum(c).over(w).alias(n) for n, c in values.items()])
-        if peak:
-            out = out.withColumn(f"{peak}_peak", F.greatest(
-                F.lit(0), F.max(peak).over(w)))
-        return out
     w = (Window.partitionBy(*keys, block).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, 0))
     inner = df

@@ -147,6 +147,8 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], stage,
         e = nxt
         if loose.isEmpty() and several.isEmpty():
             break
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     labels = e.select(*keys, F.col("u").alias("row_idx"), F.col("v").alias("component"))
     return (nodes.select(*keys, "row_idx").join(labels, [*keys, "row_idx"], "left")
             .withColumn("component", F.coalesce("component", "row_idx")))

@@ -1,179 +1,172 @@
 """Search ranges for a second, finer sweep around a plateau representative.
 
-The ranges of one plateau are chosen together by a small greedy loop over its
-parameters, so each plateau is one row with its level lists, and Spark spreads rows.
+Every swept axis of a plateau gets a table of admissible reaches: for each distance from the
+centre, the values a tester would generate between the levels that far away. Choosing one
+reach per axis under a budget of combinations is then relational. The heaviest axes whose
+running product holds the budget start one level wide and the others stand still; going from
+the heaviest axis down, each takes the widest reach of its table that the product of all
+others leaves room for.
 """
 
 from __future__ import annotations
 
-import math
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import attach
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 BUDGET = 20000
 FINE_REACH = 3
-SCHEMA = ("study_id string, component long, dim int, name string, kind string, center double, "
-          "text string, start double, stop double, step double, levels long, fixed boolean, "
-          "finer boolean")
-
-
-def _grid_count(values: list[float], lo: int, hi: int) -> int:
-    """Values a tester generates from start, smallest step and stop."""
-    part = values[lo:hi + 1]
-    gaps = [b - a for a, b in zip(part, part[1:]) if b > a]
-    if not gaps:
-        return len(part)
-    return max(len(part), math.floor((part[-1] - part[0]) / min(gaps) + 1e-9) + 1)
-
-
-class _Axis:
-    """A swept parameter: its levels, place of the centre and reach in levels."""
-
-    def __init__(self, dim, values, at, weight):
-        self.dim, self.values, self.at, self.weight = dim, values, at, weight
-        self.reach = 1
-
-    def bounds(self):
-        return max(0, self.at - self.reach), min(len(self.values) - 1, self.at + self.reach)
-
-    def seen(self):
-        lo, hi = self.bounds()
-        return hi - lo + 1
-
-    def count(self):
-        return _grid_count(self.values, *self.bounds())
-
-
-def _total(axes) -> int:
-    return math.prod(a.count() for a in axes)
-
-
-def fit_budget(axes: list[_Axis], budget: int) -> None:
-    """Pull in the least influential axes until the budget holds, then widen the others."""
-    while _total(axes) > budget:
-        open_axes = [a for a in axes if a.reach > 0]
-        if not open_axes:
-            break
-        min(open_axes, key=lambda a: a.weight).reach -= 1
-    widened = True
-    while widened:
-        widened = False
-        for a in sorted(axes, key=lambda a: -a.weight):
-            if a.seen() >= len(a.values):
-                continue
-            a.reach += 1
-            if _total(axes) <= budget:
-                widened = True
-                break
-            a.reach -= 1
-
-
-class _Fine:
-    """A swept parameter at half its step, ``reach`` original steps to each side."""
-
-    def __init__(self, axis, step, center):
-        whole = all(float(v).is_integer() for v in axis.values)
-        self.axis, self.step, self.center, self.reach, self.fixed = axis, step, center, 1, False
-        self.fine = max(1, math.floor(step / 2)) if whole else round(step / 2, 8)
-
-    def bounds(self):
-        if self.fixed:
-            return self.center, self.center
-        v, d = self.axis.values, self.reach * self.step
-        return max(v[0], round(self.center - d, 8)), min(v[-1], round(self.center + d, 8))
-
-    def count(self):
-        lo, hi = self.bounds()
-        return 1 if self.fixed else math.floor((hi - lo) / self.fine + 1e-9) + 1
-
-
-def fit_fine(items: list[_Fine], budget: int) -> None:
-    size = lambda: math.prod(i.count() for i in items)
-    for i in sorted(items, key=lambda i: i.axis.weight):
-        if size() <= budget:
-            break
-        i.fixed = True
-    widened = True
-    while widened:
-        widened = False
-        for i in sorted(items, key=lambda i: -i.axis.weight):
-            if i.fixed or i.reach >= FINE_REACH:
-                continue
-            before = i.count()
-            i.reach += 1
-            if i.count() > before and size() <= budget:
-                widened = True
-                break
-            i.reach -= 1
-
-
-def refine_one(dims: list, finer: bool, budget: int) -> list[dict]:
-    """Ranges of one plateau; ``dims`` carry dim, name, type, role, pos, weight, nums, txts."""
-    axes = {d["dim"]: _Axis(d["dim"], list(d["nums"]), d["pos"], d["weight"]) for d in dims
-            if d["type"] == "number" and len(d["txts"]) > 1 and d["role"] != "flat"}
-    fit_budget(list(axes.values()), budget)
-    rows = []
-    for d in dims:
-        number = d["type"] == "number"
-        row = {"dim": d["dim"], "name": d["name"], "text": d["txts"][d["pos"]],
-               "center": d["nums"][d["pos"]] if number else None, "start": None, "stop": None,
-               "step": 0.0, "levels": 1, "fixed": True, "finer": False,
-               "kind": "constant" if len(d["txts"]) < 2 else "range" if number else "category"}
-        if row["kind"] == "range":
-            a = axes.get(d["dim"])
-            lo, hi = a.bounds() if a else (d["pos"], d["pos"])
-            part = list(d["nums"])[lo:hi + 1]
-            gaps = [y - x for x, y in zip(part, part[1:]) if y > x]
-            row.update(start=part[0], stop=part[-1], step=min(gaps) if gaps else 0.0,
-                       levels=_grid_count(list(d["nums"]), lo, hi), fixed=len(part) == 1)
-        rows.append(row)
-    if finer:
-        fine = {r["dim"]: _Fine(axes[r["dim"]], r["step"], r["center"]) for r in rows
-                if r["dim"] in axes and r["step"] > 0}
-        fit_fine(list(fine.values()), budget)
-        for r in rows:
-            i = fine.get(r["dim"])
-            if i is not None:
-                lo, hi = i.bounds()
-                r.update(start=lo, stop=hi, step=0.0 if i.fixed else i.fine, levels=i.count(),
-                         fixed=i.fixed or i.count() == 1, finer=not i.fixed and i.fine < i.step)
-    return rows
+PLATEAU = ["study_id", "component"]
+AXIS = [*PLATEAU, "dim"]
+_NEAR = 1e-9
+
+
+def reach_table(axes: DataFrame, levels: DataFrame, budget: int) -> DataFrame:
+    """(plateau, dim, reach, lo, hi, gap, seen, cells) for the levels around every centre.
+
+    ``cells`` counts the values from ``lo`` to ``hi`` at the smallest step between levels
+    seen. Reaches that could not fit the budget alone are left out.
+    """
+    along = Window.partitionBy("study_id", "dim").orderBy("pos")
+    lv = levels.select("study_id", "dim", "pos", F.col("num").alias("v"),
+                       (F.col("num") - F.lag("num").over(along)).alias("below"),
+                       (F.lead("num").over(along) - F.col("num")).alias("above"))
+    near = attach(axes.select(*AXIS, F.col("pos").alias("at")), lv, ["study_id", "dim"], "inner",
+                  "component")
+    rings = near.groupBy(*AXIS, F.abs(F.col("pos") - F.col("at")).alias("reach")).agg(
+        F.min("v").alias("v0"), F.max("v").alias("v1"), F.count(F.lit(1)).alias("k"),
+        F.min(F.when(F.col("pos") > F.col("at"), F.col("below"))
+              .when(F.col("pos") < F.col("at"), F.col("above"))).alias("g"))
+    out = Window.partitionBy(*AXIS).orderBy("reach")
+    table = rings.select(*AXIS, "reach", F.min("v0").over(out).alias("lo"),
+                         F.max("v1").over(out).alias("hi"), F.min("g").over(out).alias("gap"),
+                         F.sum("k").over(out).alias("seen"))
+    steps = F.floor((F.col("hi") - F.col("lo")) / F.col("gap") + _NEAR) + 1
+    table = table.withColumn("cells", F.greatest(F.col("seen"), F.coalesce(steps, F.lit(1))))
+    return table.filter((F.col("reach") <= 1) | (F.col("cells") <= budget))
+
+
+def widest(options: DataFrame, budget: int) -> DataFrame:
+    """(plateau, dim, choice): the chosen place in each axis' ``cells``, a rising array.
+
+    ``options``: plateau, dim, weight, cells, start (place where the axis starts). Equal weights
+    go by dim.
+    """
+    order = F.struct((-F.col("weight")).alias("w"), "dim", "cells", "start")
+    lists = options.groupBy(*PLATEAU).agg(F.sort_array(F.collect_list(order)).alias("axes"))
+    begin = F.aggregate("axes", F.lit(1.0), lambda p, a: p * F.get(a["cells"], a["start"]))
+    none = F.array().cast("array<struct<dim:int,choice:int>>")
+
+    def take(state: Column, a: Column) -> Column:
+        others = state["p"] / F.get(a["cells"], a["start"])
+        place = F.greatest(a["start"], F.size(F.filter(
+            a["cells"], lambda c: c * others <= F.lit(float(budget)))) - 1)
+        return F.struct((others * F.get(a["cells"], place)).alias("p"), F.concat(
+            state["chosen"], F.array(F.struct(a["dim"].alias("dim"), place.alias("choice"))))
+            .alias("chosen"))
+
+    done = F.aggregate("axes", F.struct(begin.alias("p"), none.alias("chosen")), take)
+    return lists.select(*PLATEAU, F.explode(done["chosen"]).alias("c")).select(
+        *PLATEAU, "c.dim", "c.choice")
+
+
+def _heavy_enough(count: str, budget: int) -> Column:
+    """Whether an axis and all heavier ones together hold the budget."""
+    heavier = Window.partitionBy(*PLATEAU).orderBy(F.desc("weight"), F.desc("dim")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    return F.product(F.col(count).cast("double")).over(heavier) <= budget
+
+
+def _ranges(axes: DataFrame, table: DataFrame, budget: int) -> DataFrame:
+    """(plateau, dim, start, stop, step, levels) of the axes at their chosen reach."""
+    cells = table.groupBy(*AXIS).agg(F.transform(F.sort_array(F.collect_list(F.struct(
+        "reach", F.col("cells").cast("double").alias("c")))), lambda x: x["c"]).alias("cells"))
+    options = axes.select(*AXIS, "weight").join(cells, AXIS).withColumn("one", F.get("cells", F.lit(1)))
+    options = options.withColumn("start", _heavy_enough("one", budget).cast("int"))
+    chosen = widest(options, budget).withColumnRenamed("choice", "reach")
+    return chosen.join(table, [*AXIS, "reach"]).select(
+        *AXIS, F.col("lo").alias("start"), F.col("hi").alias("stop"),
+        F.when(F.col("reach") > 0, F.coalesce("gap", F.lit(0.0))).otherwise(0.0).alias("step"),
+        F.col("cells").cast("long").alias("levels"))
+
+
+def _half_steps(rows: DataFrame, budget: int) -> DataFrame:
+    """(plateau, dim, f_start, f_stop, f_step, f_levels, f_fixed) at half the step.
+
+    ``rows``: plateau, dim, weight, center, step > 0, first and last level, whole (all integers).
+    """
+    half = F.when(F.col("whole"), F.greatest(F.lit(1.0), F.floor(F.col("step") / 2))).otherwise(
+        F.round(F.col("step") / 2, 8))
+    rows = rows.withColumn("half", half.cast("double"))
+
+    def side(r: Column | int) -> tuple[Column, Column]:
+        d = F.lit(r) * F.col("step") if isinstance(r, int) else r * F.col("step")
+        return (F.greatest("first", F.round(F.col("center") - d, 8)),
+                F.least("last", F.round(F.col("center") + d, 8)))
+
+    def cells(r) -> Column:
+        lo, hi = side(r)
+        return F.floor((hi - lo) / F.col("half") + _NEAR) + 1
+
+    # A reach is open only while each step outwards adds values.
+    n = [cells(r).cast("double") for r in range(1, FINE_REACH + 1)]
+    open_to, grows = [F.array(n[0])], F.lit(True)
+    for r in range(1, FINE_REACH):
+        grows = grows & (n[r] > n[r - 1])
+        open_to.append(F.when(grows, F.array(n[r])).otherwise(F.array().cast("array<double>")))
+    rows = rows.withColumn("cells", F.concat(*open_to)).withColumn("one", n[0])
+    rows = rows.withColumn("moves", _heavy_enough("one", budget))
+    moving = rows.filter("moves").withColumn("start", F.lit(0))
+    chosen = widest(moving.select(*AXIS, "weight", "cells", "start"), budget)
+    rows = rows.join(chosen, AXIS, "left")
+    lo, hi = side(F.col("choice") + 1)
+    pick = lambda a, b: F.when(F.col("moves"), a).otherwise(b)
+    return rows.select(*AXIS, pick(lo, F.col("center")).alias("f_start"),
+                       pick(hi, F.col("center")).alias("f_stop"),
+                       pick(F.col("half"), F.lit(0.0)).alias("f_step"),
+                       pick(F.get("cells", "choice"), F.lit(1)).cast("long").alias("f_levels"),
+                       (F.col("moves") & (F.col("half") < F.col("step"))).alias("f_finer"))
 
 
 def refinement(representatives: DataFrame, cells: DataFrame, levels: DataFrame,
                roles: DataFrame, coverage: DataFrame, budget: int = BUDGET,
                finer: bool | None = None) -> DataFrame:
     """One row per plateau and parameter; half steps where the grid was tried in full."""
+    levels = levels.groupBy("study_id", "dim", "name", "type", "pos").agg(
+        F.min("num").alias("num"), F.min("txt").alias("txt"))
     reps = representatives.select("study_id", "component", "row_idx").join(
         cells.select("study_id", "row_idx", "coords"), ["study_id", "row_idx"])
-    long = reps.select("study_id", "component", F.posexplode("coords").alias("dim", "pos"))
-    lv = levels.groupBy("study_id", "dim", "name", "type").agg(F.sort_array(F.collect_list(
-        F.struct("pos", F.coalesce("num", F.lit(0.0)).alias("num"), "txt"))).alias("_l"))
-    lv = lv.join(roles.select("study_id", "dim", "role", "marginal"), ["study_id", "dim"])
-    d = long.join(lv, ["study_id", "dim"])
-    packed = d.groupBy("study_id", "component").agg(F.sort_array(F.collect_list(F.struct(
-        "dim", "name", "type", "role", "pos", F.col("marginal").alias("weight"),
-        F.transform("_l", lambda x: x["num"]).alias("nums"),
-        F.transform("_l", lambda x: x["txt"]).alias("txts")))).alias("dims"))
-    packed = attach(packed, coverage.select("study_id", "sampling"), ["study_id"], "inner",
-                    "component")
+    at = reps.select(*PLATEAU, F.posexplode("coords").alias("dim", "pos"))
+    about = levels.groupBy("study_id", "dim").agg(
+        F.count(F.lit(1)).alias("n"), F.min("num").alias("first"), F.max("num").alias("last"),
+        F.bool_and(F.col("num") == F.floor("num")).alias("whole"))
+    about = about.join(roles.select("study_id", "dim", "role", F.col("marginal").alias("weight")),
+                       ["study_id", "dim"])
+    rows = (at.join(levels.withColumnRenamed("num", "center").withColumnRenamed("txt", "text"),
+                    ["study_id", "dim", "pos"]).join(about, ["study_id", "dim"]))
+    number = F.col("type") == "number"
+    rows = rows.withColumn("kind", F.when(F.col("n") < 2, "constant").when(number, "range")
+                           .otherwise("category"))
+    axes = rows.filter(number & (F.col("n") > 1) & (F.col("role") != "flat"))
+    found = _ranges(axes, reach_table(axes, levels.filter(number), budget), budget)
+    rows = rows.join(found, AXIS, "left")
+    still = F.col("kind") == "range"
+    rows = (rows.withColumn("start", F.coalesce("start", F.when(still, F.col("center"))))
+            .withColumn("stop", F.coalesce("stop", F.when(still, F.col("center"))))
+            .withColumn("step", F.coalesce("step", F.lit(0.0)))
+            .withColumn("levels", F.coalesce("levels", F.lit(1).cast("long")))
+            .withColumn("fixed", F.col("step") == 0))
     fine = F.col("sampling") == "grid" if finer is None else F.lit(finer)
-    packed = packed.select("study_id", "component", "dims", fine.alias("fine"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [{"study_id": p.study_id, "component": p.component, **row}
-                   for p in pdf.itertuples() for row in refine_one(p.dims, p.fine, budget)]
-            if out:
-                yield pd.DataFrame(out)[[c.split()[0] for c in SCHEMA.split(", ")]]
-
-    return packed.mapInPandas(run, SCHEMA)
+    rows = attach(rows, coverage.select("study_id", fine.alias("_fine")), ["study_id"], "inner",
+                  "component")
+    half = _half_steps(rows.filter("_fine AND step > 0").select(
+        *AXIS, "weight", "center", "step", "first", "last", "whole"), budget)
+    rows = rows.join(half, AXIS, "left")
+    has = F.col("f_levels").isNotNull()
+    new = lambda c: F.when(has, F.col(f"f_{c}")).otherwise(F.col(c)).alias(c)
+    return rows.select(
+        *PLATEAU, "dim", "name", "kind", F.when(number, F.col("center")).alias("center"), "text",
+        new("start"), new("stop"), new("step"), new("levels"),
+        F.when(has, F.col("f_levels") == 1).otherwise(F.col("fixed")).alias("fixed"),
+        F.coalesce("f_finer", F.lit(False)).alias("finer"))

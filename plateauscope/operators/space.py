@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import UPPER_MEDIAN, attach, is_small, quantiles, value_counts
+from .ordering import UPPER_MEDIAN, attach, quantiles, value_counts
 
 # Default options of the topology.
 TARGET_SUPPORT = 8
@@ -39,27 +39,24 @@ def levels(long: DataFrame) -> DataFrame:
     types = param_types(long)
     uniq = long.groupBy("study_id", "dim", "txt").agg(F.min("num").alias("num"))
     uniq = attach(uniq, types, ["study_id", "dim"], "inner")
-    if is_small(uniq):
-        w = Window.partitionBy("study_id", "dim").orderBy(
-            F.when(F.col("type") == "number", F.col("num")), F.col("txt"))
-        placed = uniq.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
-    else:
-        number = uniq.filter("type = 'number'")
-        place = value_counts(number, ["study_id", "dim"], "num").select(
-            "study_id", "dim", F.col("v").alias("num"), F.col("before").cast("int").alias("pos"))
-        number = number.join(place, ["study_id", "dim", "num"])
-        # Text and boolean levels are enumerations: a handful of values per parameter.
-        w = Window.partitionBy("study_id", "dim").orderBy("txt")
-        other = uniq.filter("type <> 'number'").withColumn(
-            "pos", (F.row_number().over(w) - 1).cast("int"))
-        placed = number.unionByName(other)
+    number = uniq.filter("type = 'number'")
+    # Spellings of one number are one level.
+    values = number.select("study_id", "dim", "num").distinct()
+    place = value_counts(values, ["study_id", "dim"], "num").select(
+        "study_id", "dim", F.col("v").alias("num"), F.col("before").cast("int").alias("pos"))
+    number = number.join(place, ["study_id", "dim", "num"])
+    # Text and boolean levels are enumerations: a handful of values per parameter.
+    w = Window.partitionBy("study_id", "dim").orderBy("txt")
+    other = uniq.filter("type <> 'number'").withColumn(
+        "pos", (F.row_number().over(w) - 1).cast("int"))
+    placed = number.unionByName(other)
     return placed.select("study_id", "dim", "name", "type", "pos", "txt",
                          F.when(F.col("type") == "number", F.col("num")).alias("num"))
 
 
 def level_counts(lv: DataFrame) -> DataFrame:
     return lv.groupBy("study_id", "dim", "name", "type").agg(
-        F.count(F.lit(1)).cast("int").alias("n_levels"))
+        (F.max("pos") + 1).cast("int").alias("n_levels"))
 
 
 def coordinates(passes: DataFrame, lv: DataFrame) -> DataFrame:

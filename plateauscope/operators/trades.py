@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_survival_even, norm_cdf, norm_inv
-from .ordering import attach, is_small, quantiles, row_block, running_totals, with_ranks
+from .ordering import attach, quantiles, row_block, running_totals, with_ranks
 
 # Limits and scenarios of the trade audit.
 SCENARIOS_BP = (("base", 0.0), ("moderate", 1.0), ("severe", 3.0))
@@ -291,9 +291,6 @@ def break_even(daily: DataFrame, contracts: DataFrame | None = None) -> DataFram
 def next_in_order(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:
     """The values of the following row, found inside row blocks and across their borders."""
     keys = list(keys)
-    if is_small(df):
-        w = Window.partitionBy(*keys).orderBy(order)
-        return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in cols])
     df = df.withColumn("_blk", row_block(order))
     w = Window.partitionBy(*keys, "_blk").orderBy(order)
     heads = df.groupBy(*keys, "_blk").agg(*[F.min_by(c, order).alias(f"_h_{c}") for c in cols])

@@ -21,12 +21,12 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(params=["small", "large"])
+@pytest.fixture(params=["optimiser", "blocks"])
 def both_forms(request, spark):
-    """Run a test on the one-shuffle form and on the bucketed form of the operators."""
-    if request.param == "large":
-        spark.conf.set("plateauscope.small.bytes", "-1")
+    """Run a test with heavy keys split by the optimiser, and by row blocks."""
+    if request.param == "blocks":
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield request.param
-    spark.conf.unset("plateauscope.small.bytes")
+    spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -96,16 +97,35 @@ def test_gates_are_monotone(spark):
     assert counts == sorted(counts, reverse=True)
 
 
-def test_refinement_keeps_the_budget():
-    dims = [dict(dim=i, name=f"p{i}", type="number", role="distance", pos=5, weight=1.0 - 0.1 * i,
-                 nums=[float(v) for v in range(0, 110, 10)], txts=[str(v) for v in range(11)]) for i in range(5)]
+def _refined(spark, sizes, at, weights, budget, finer):
+    rows = [("s", 0, 0, [at] * len(sizes))]
+    reps = spark.createDataFrame(rows, "study_id string, component long, row_idx long, coords array<int>")
+    levels = spark.createDataFrame(
+        [("s", d, f"p{d}", "number", k, float(10 * k), str(10 * k)) for d, n in enumerate(sizes) for k in range(n)],
+        "study_id string, dim int, name string, type string, pos int, num double, txt string")
+    roles = spark.createDataFrame([("s", d, "distance", w) for d, w in enumerate(weights)],
+                                  "study_id string, dim int, role string, marginal double")
+    grid = spark.createDataFrame([("s", "grid")], "study_id string, sampling string")
+    return refine.refinement(reps.drop("coords"), reps.drop("component"), levels, roles, grid,
+                             budget, finer).orderBy("dim").collect()
+
+
+def test_refinement_keeps_the_budget(spark):
     for finer in (False, True):
-        rows = refine.refine_one(dims, finer, 2000)
-        total = 1
-        for r in rows:
-            total *= r["levels"]
-            assert r["start"] <= r["center"] <= r["stop"]
-        assert total <= 2000
+        rows = _refined(spark, [11] * 5, 5, [1.0 - 0.1 * i for i in range(5)], 2000, finer)
+        assert math.prod(r.levels for r in rows) <= 2000
+        assert all(r.start <= r.center <= r.stop for r in rows)
+        # The heaviest axis is never narrower than a lighter one.
+        assert [r.levels for r in rows] == sorted((r.levels for r in rows), reverse=True)
+
+
+def test_refinement_widens_the_heaviest_axis_and_stops_the_lightest(spark):
+    rows = _refined(spark, [11, 11, 11], 5, [0.2, 0.9, 0.5], 27, False)
+    assert [(r.start, r.stop, r.levels) for r in rows] == [(40.0, 60.0, 3)] * 3
+    rows = _refined(spark, [11, 11, 11], 5, [0.2, 0.9, 0.5], 26, False)
+    assert [(r.levels, r.fixed) for r in rows] == [(1, True), (7, False), (3, False)]
+    row = _refined(spark, [11], 0, [1.0], 100, True)[0]
+    assert (row.start, row.stop, row.step, row.levels, row.finer) == (0.0, 30.0, 5.0, 7, True)
 
 
 def test_sweep_of_the_given_tables(spark):
