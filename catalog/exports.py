@@ -308,7 +308,8 @@ def _delimited(spark, sf):
     return memo(spark, (sf, "read_delimited"), build)
 
 
-_study = F.regexp_extract("file", "study_id=([^/]+)/", 1)
+def _study():
+    return F.regexp_extract("file", "study_id=([^/]+)/", 1)
 _fig = """figs AS (SELECT study_id, row_number() OVER (PARTITION BY study_id
   ORDER BY row_idx) AS line_no, round(is_profit,2) profit,
   round(is_profit_factor,4) pf, is_trades trades, p0 FROM passes)"""
@@ -317,7 +318,7 @@ _FIG = chain("passes").rstrip() + ",\n" + _fig + "\n"
 
 def _table_query(read):
     def fn(spark, sf):
-        c = read(spark, sf).withColumn("study_id", _study)
+        c = read(spark, sf).withColumn("study_id", _study())
         pick = lambda h, v: F.max(F.when(F.col("header") == h, F.col(v)))
         return c.groupBy("study_id", "line_no").agg(
             pick("Profit", "num").alias("profit"), pick("Profit Factor", "num").alias("pf"),
@@ -335,7 +336,7 @@ def a2(spark, sf):
           "SELECT study_id, header, ',' AS decimal FROM (SELECT DISTINCT study_id FROM figs), "
           "(VALUES ('Pass'),('Profit'),('Profit Factor'),('Trades'),('Label')) h(header)", _FIG)
 def a4(spark, sf):
-    return _delimited(spark, sf).select(_study.alias("study_id"), "header", "decimal").distinct()
+    return _delimited(spark, sf).select(_study().alias("study_id"), "header", "decimal").distinct()
 
 
 def _xml(spark, sf):
@@ -417,7 +418,7 @@ def a7(spark, sf):
         8).write.option("encoding", "UTF-16").csv(path)
     d = G.decode_files(spark, path + "/*.csv")
     lines = d.select("charset", F.explode(F.split("content", "\\r?\\n")).alias("l")).filter(
-        F.col("l").rlike("^(bump|noise)=\\d+$"))
+        F.col("l").rlike("^\\w+=\\d+$"))
     return lines.groupBy("charset").agg(F.count(F.lit(1)).alias("lines"))
 
 
