@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
 Terms are the words of a text and their prefixes of 4 to 6 bytes (so that an inflected word
-meets its stem). The vocabulary holds the terms that a bounded set of labelled examples ties to
-the toxic class; their document frequencies are counted over all documents. The examples form
+meets its stem). The vocabulary holds the terms that a bounded set of labelled examples ties most
+strongly to the toxic class; their document frequencies are counted over all documents. The examples form
 an inverted index cut into blocks, with the largest weight of every term in every block. A
 query adds these maxima to a bound per block, visits blocks in order of their bounds and stops
 when the next bound is below its k-th best cosine: the k nearest are exact. Their votes,
@@ -24,13 +24,14 @@ from plateauscope.llm.tables import written
 from plateauscope.llm.training import held_out, training_rows
 
 EXAMPLES = 16_384  # labelled rows learnt from, at most
-VOCABULARY = 4_096  # terms, at most
+VOCABULARY = 256  # terms of strongest association, at most
 LEAST_TOXIC = 3  # toxic examples that must hold a term
 LEAST_CHI2 = 12.0
+PURE = 0.9  # share of toxic examples among those that hold a term, at least
 NEIGHBOURS = 15
 BLOCK = 64  # examples a block
 CUT = 0.7
-PRIOR = 0.5  # weight of the base rate among the votes
+PRIOR = 2.0  # weight of the base rate among the votes
 _PREFIXES = (4, 5, 6)
 
 # Words: ASCII letters and digits and every byte of a character beyond ASCII.
@@ -205,7 +206,8 @@ class Toxicity:
         held = F.col("a") + F.col("b")
         chi2 = (cross * cross * total / (held * (F.lit(float(total)) - held)
                                          * F.lit(float(max(toxic * clean, 1)))))
-        chosen = (counts.filter((F.col("a") >= LEAST_TOXIC) & (cross > 0) & (held < total))
+        chosen = (counts.filter((F.col("a") >= LEAST_TOXIC) & (F.col("a") >= PURE * held)
+                                & (cross > 0) & (held < total))
                   .withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
                   .orderBy(F.desc("chi2"), "term").limit(VOCABULARY))
         terms = np.array([r["term"] for r in chosen.select("term").collect()], np.int64)
