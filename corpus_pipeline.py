@@ -37,8 +37,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids and the text they decode to."""
-    out = bpe.encode(docs, keep=docs.columns)
+    """Every document with its token ids and the text they decode to.
+
+    Columns of ``docs`` of the same names give way to these.
+    """
+    out = bpe.encode(docs, keep=[c for c in docs.columns if c not in ("ids", "decoded", "n_tokens")])
     return out.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 

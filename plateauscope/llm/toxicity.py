@@ -26,7 +26,7 @@ from plateauscope.llm.training import held_out, training_rows
 EXAMPLES = 16_384  # labelled rows learnt from, at most
 VOCABULARY = 256  # terms of strongest association, at most
 LEAST_TOXIC = 3  # toxic examples that must hold a term
-LEAST_CHI2 = 12.0
+LEAST_CHI2 = 16.0
 PURE = 0.9  # share of toxic examples among those that hold a term, at least
 NEIGHBOURS = 15
 BLOCK = 64  # examples a block
