@@ -28,7 +28,7 @@ NUM, DEN, WIDTH = 75, 100, 5
 # work of the join and never its result.
 FREQUENT, FREQUENT_KEPT = 8, 1 << 19
 COUNTED = 1 << 22  # shingles whose counts a task takes together
-PARTNERS = (1, 4, 6, 8)  # partners a set gets in each round
+PARTNERS = (1, 4, 8)  # partners a set gets in each round
 LAGS = 64
 NEVER = 2 ** 31 - 1
 _TOP = np.uint64(1) << np.uint64(62)
@@ -385,7 +385,8 @@ class NgramJoin:
         least = (F.ceil(F.lit(num) * (F.col("n") + F.col("m")) / F.lit(num + den))
                  - F.ceil(F.lit(num) * F.greatest("n", "m") / F.lit(den)) + 1)
         done = label = None
-        for r in range(len(PARTNERS) + 1):
+        r = 0
+        while r <= len(PARTNERS):
             at = members
             if label is not None:
                 at = (members.join(label.select(F.col("node").alias("id"), "root"), "id", "left")
@@ -393,8 +394,6 @@ class NgramJoin:
                 spread = (at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                           .filter("lo < hi").select("token"))
                 at = at.join(spread, "token")
-                if spread.isEmpty():
-                    break
             else:
                 at = at.withColumn("root", F.col("id"))
             if r < len(PARTNERS):
@@ -426,8 +425,14 @@ class NgramJoin:
                 pairs = pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")
             found = self._check(pairs, sets, f"round{r}")
             done = found if done is None else done.unionByName(found)
-            if label is None or not found.isEmpty():
+            idle = found.isEmpty()
+            last = r >= len(PARTNERS)
+            r = len(PARTNERS) if idle and not last else r + 1
+            if last:
                 label = connected(done.filter("linked").select("u", "v"))
+            elif not idle:
+                # Only spares later rounds work: part of each component will do.
+                label = connected(done.filter("linked").select("u", "v"), rounds=2)
         self.label = label
         return done.filter("linked").select("u", "v")
 
