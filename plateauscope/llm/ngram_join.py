@@ -6,8 +6,8 @@ by their hash. Two sets of Jaccard similarity ``t`` or more share a shingle amon
 the shingle is the first level of the tree and the key of the shuffle. Inside a subtree the
 members are joined in rounds. A round gives every set that is not yet connected to the whole
 subtree a few partners; what is left after the rounds is every pair of members from different
-components that the length and position bounds admit. The pairs of one set are verified by
-walking the prefix tree of its partners (:func:`walk`).
+components that the length and position bounds admit, and in large subtrees blocks of members
+against blocks. A set is verified against several by walking their prefix tree (:func:`walk`).
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ COUNTED = 1 << 22  # shingles whose counts a task takes together
 PARTNERS = (1, 4, 8)  # partners a set gets in each round
 LAGS = 64
 NEVER = 2 ** 31 - 1
+HELD = 256  # sets a block of a large subtree
 _TOP = np.uint64(1) << np.uint64(62)
 
 
@@ -237,7 +238,13 @@ def _shared(num: int, den: int):
     return run, "token long, s1 long, n int, pos int, need int"
 
 
-def walk(probe: np.ndarray, partners: list[np.ndarray], num: int = NUM, den: int = DEN) -> list:
+def tree(partners: list[np.ndarray]) -> list[int]:
+    """The partners in the order of a depth-first visit of their prefix tree."""
+    return sorted(range(len(partners)), key=lambda i: partners[i].tolist())
+
+
+def walk(probe: np.ndarray, partners: list[np.ndarray], num: int = NUM, den: int = DEN,
+         order: list[int] | None = None) -> list:
     """Overlap with ``probe`` of every partner that meets the threshold, else None.
 
     The partners, in global order, are the paths of a prefix tree, visited depth first. A node
@@ -247,7 +254,7 @@ def walk(probe: np.ndarray, partners: list[np.ndarray], num: int = NUM, den: int
     """
     out: list = [None] * len(partners)
     n = len(probe)
-    order = sorted(range(len(partners)), key=lambda i: partners[i].tolist())
+    order = tree(partners) if order is None else order
     # (from, to, depth, overlap): sets order[from:to] share their first ``depth`` shingles.
     stack = [(0, len(order), 0, 0)]
     while stack:
@@ -306,6 +313,38 @@ def _verify(num: int, den: int):
     return run, "u long, v long, linked boolean"
 
 
+def _verify_blocks(num: int, den: int):
+    """Task over (ones, others): for every one, a link to each other component among the others."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_())])
+
+    def sets_of(column, i):
+        part = column.slice(i, 1).flatten()
+        toks = part.field("toks")
+        flat = toks.flatten().to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.cumsum(toks.value_lengths().to_numpy())])
+        return (part.field("id").to_numpy(), part.field("root").to_numpy(),
+                [flat[cut[k]:cut[k + 1]] for k in range(len(part))])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, roots, ones = sets_of(batch.column("ones"), i)
+                other_ids, other_roots, others = sets_of(batch.column("others"), i)
+                order = tree(others)
+                out: list[tuple[int, int]] = []
+                for k, one in enumerate(ones):
+                    met: dict[int, int] = {}
+                    for j, overlap in enumerate(walk(one, others, num, den, order)):
+                        if overlap is not None and other_roots[j] != roots[k]:
+                            met.setdefault(int(other_roots[j]), j)
+                    out += [(int(ids[k]), int(other_ids[j])) for j in met.values()]
+                if out:
+                    u, v = map(pa.array, zip(*out))
+                    yield pa.RecordBatch.from_arrays([u, v, pa.array([True] * len(out))],
+                                                     schema=schema)
+    return run, "u long, v long, linked boolean"
+
+
 class NgramJoin:
     """The join of one table of documents(doc_id, text).
 
@@ -376,6 +415,35 @@ class NgramJoin:
         rows = pairs.join(right, "v").join(left, "u").select("u", "v", "toks_u", "toks_v")
         return written(rows.mapInArrow(run, schema), label)
 
+    def _families(self, wide: DataFrame, sets: DataFrame) -> DataFrame:
+        """(u, v, linked) links among the members of large subtrees, settled block by block.
+
+        Subtrees that share members are one family. Members outside a family's largest
+        component, in blocks, meet all members, in blocks: one row a pair of blocks, whatever
+        the number of pairs. A member keeps one link to each other component of a block.
+        """
+        ids = wide.select("id", "root").distinct()
+        stars = wide.join(wide.groupBy("token").agg(F.min("id").alias("v")), "token").select(
+            F.col("id").alias("u"), "v")
+        family = connected(stars).select(F.col("node").alias("id"), F.col("root").alias("family"))
+        ids = written(ids.join(family, "id"), "families")
+        main = (ids.groupBy("family", "root").agg(F.count("*").alias("c")).groupBy("family")
+                .agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"),
+                     (F.sum("c") - F.max("c")).alias("loose")).filter("loose > 0"))
+        at = ids.join(main, "family")
+        place = lambda n: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / HELD)).cast("int")
+        right = at.select("family", place("all").alias("b"), "id", "root")
+        left = at.filter("root <> main").select("family", place("loose").alias("a"), "id", "root")
+        rows = lambda df, b, name: (
+            df.join(sets, "id").groupBy("family", b).agg(
+                F.collect_list(F.struct("id", "root", "toks")).alias(name)))
+        meet = (left.select("family", "a").distinct()
+                .join(right.select("family", "b").distinct(), "family"))
+        both = meet.join(rows(left, "a", "ones"), ["family", "a"]).join(
+            rows(right, "b", "others"), ["family", "b"])
+        run, schema = _verify_blocks(self.num, self.den)
+        return written(both.select("ones", "others").mapInArrow(run, schema), "family_links")
+
     def links(self) -> DataFrame:
         """(u, v) links between representatives that connect all that any link connects."""
         num, den = self.num, self.den
@@ -412,6 +480,9 @@ class NgramJoin:
                 pairs = pairs.select(F.greatest("other", "id").alias("u"),
                                      F.least("other", "id").alias("v")).distinct()
             else:
+                at = at.join(at.groupBy("token").agg(F.count("*").alias("size")), "token")
+                wide = written(at.filter(F.col("size") > LAGS), "wide")
+                at = at.filter(F.col("size") <= LAGS)
                 far = at.select("token", F.col("id").alias("v"), F.col("root").alias("root_v"),
                                 F.col("n").alias("m"), F.col("pos").alias("pos_v"))
                 pairs = (at.join(far, "token").filter("root < root_v").filter(admit)
@@ -424,6 +495,8 @@ class NgramJoin:
             if done is not None:
                 pairs = pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")
             found = self._check(pairs, sets, f"round{r}")
+            if r >= len(PARTNERS) and not wide.isEmpty():
+                found = found.unionByName(self._families(wide, sets))
             done = found if done is None else done.unionByName(found)
             idle = found.isEmpty()
             last = r >= len(PARTNERS)
