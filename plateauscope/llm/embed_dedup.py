@@ -135,8 +135,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     own that share a component; a row without vec_id links with nothing and keeps its null.
     Other columns are ignored.
     """
+    # Single-precision vectors travel as such; cosines are computed in double precision.
+    kind = dict(vectors.dtypes)["embedding"]
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"),
-                          F.col("embedding").cast("array<double>").alias("vec"))
+                          F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")
+                          .alias("vec"))
     fine = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0)
             & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists("vec", lambda x: x != 0))
