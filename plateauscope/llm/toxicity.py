@@ -1,11 +1,10 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over whole texts.
 
 Terms are the words of a text and their prefixes of 4 to 6 bytes (so that an inflected word
-meets its stem). The vocabulary holds the terms that a bounded set of labelled examples ties most
-strongly to the toxic class; their document frequencies are counted over all documents. The examples form
-an inverted index cut into blocks, with the largest weight of every term in every block. A
-query adds these maxima to a bound per block, visits blocks in order of their bounds and stops
-when the next bound is below its k-th best cosine: the k nearest are exact. Their votes,
+meets its stem; it counts less than a word). All terms of a text count; their document frequencies are counted over all
+documents. Every labelled example of a bounded set is indexed, toxic or clean. The cosines of a
+query with all of them are exact sums: common terms by matrix products over a batch of queries,
+all others by their postings. The votes of the k nearest,
 weighted by cosine, become a probability by a logistic curve fitted on leave-one-out votes.
 """
 
@@ -24,14 +23,13 @@ from plateauscope.llm.tables import written
 from plateauscope.llm.training import held_out, training_rows
 
 EXAMPLES = 16_384  # labelled rows learnt from, at most
-VOCABULARY = 256  # terms of strongest association, at most
-LEAST_TOXIC = 3  # toxic examples that must hold a term
-LEAST_CHI2 = 16.0
-PURE = 0.9  # share of toxic examples among those that hold a term, at least
 NEIGHBOURS = 15
-BLOCK = 64  # examples a block
+COMMON = 0.1  # share of the examples above which a term is common
+BATCH = 64  # queries of a matrix product
+HELD = 1 << 20  # terms that a task counts before it hands them on
 CUT = 0.7
-PRIOR = 2.0  # weight of the base rate among the votes
+PRIOR = 0.5  # weight of the base rate among the votes
+PREFIX = 0.25  # weight of a prefix against that of a word
 _PREFIXES = (4, 5, 6)
 
 # Words: ASCII letters and digits and every byte of a character beyond ASCII.
@@ -41,9 +39,9 @@ _GAP = np.concatenate([_GAP, np.zeros(128, bool)])
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term hash) of every occurrence of a term."""
+    """(row, term hash) of every occurrence of a term; the hash of a prefix is odd."""
     row, word, start, end = T.words(data, offsets, _GAP)
-    rows, terms = [row], [word]
+    rows, terms = [row], [word & ~np.uint64(1)]
     if len(start):
         up, down = T._powers(len(data) + 1)
         total = np.cumsum(T._BYTE[T.LOWER[data]] * up[:len(data)], dtype=np.uint64)
@@ -53,7 +51,7 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
             s = start[long]
             rows.append(row[long])
             terms.append(T.mix((total[s + size - 1] - before[long]) * down[s]
-                               + np.uint64(size * 0x9E3779B1)))
+                               + np.uint64(size * 0x9E3779B1)) | np.uint64(1))
     return np.concatenate(rows), np.concatenate(terms)
 
 
@@ -64,60 +62,93 @@ def _ranges(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield lo, hi, *_terms(data[base:offsets[hi]], offsets[lo:hi + 1] - base)
 
 
-def _term_counts(batches):
-    """Task: (term, toxic, clean) examples that hold each term, per batch."""
+def _counted(row: np.ndarray, term: np.ndarray):
+    """(distinct terms; row, place among them and occurrences, sorted by row and place)."""
+    values, place = np.unique(term, return_inverse=True)
+    size = max(1, len(values))
+    key, n = np.unique(row * size + place, return_counts=True)
+    return values, key // size, key % size, n
+
+
+def _document_counts(batches):
+    """Task: (term, documents that hold it), each term about once."""
+    def merged():
+        values, place = np.unique(np.concatenate([v for v, _ in kept]), return_inverse=True)
+        return values, np.bincount(place, np.concatenate([n for _, n in kept])).astype(np.int64)
+
+    def handed(values, n):
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)],
+                                          names=["term", "n"])
+    kept, size = [], 0
+    for batch in batches:
+        for _, _, row, term in _ranges(batch):
+            values, _, place, _ = _counted(row, term)
+            kept.append((values, np.bincount(place, minlength=len(values))))
+            size += len(values)
+            if size > 2 * HELD:
+                kept = [merged()]
+                size = len(kept[0][0])
+                if size > HELD:
+                    yield handed(*kept[0])
+                    kept, size = [], 0
+    if size:
+        yield handed(*merged())
+
+
+def _packed(batches):
+    """Task: terms and counts of a batch as bytes, so that the driver gets few rows."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([batch.column(i).to_numpy(zero_copy_only=False).tobytes()]) for i in (0, 1)],
+            names=["terms", "n"])
+
+
+def _example_counts(batches):
+    """Task: the terms of every example and their occurrences, as bytes."""
     for batch in batches:
-        y = batch.column("y").to_numpy(zero_copy_only=False)
         for lo, hi, row, term in _ranges(batch):
-            order = np.lexsort((row, term))
-            row, term = row[order], term[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
-            row, term = row[new], term[new]
-            value, first, count = np.unique(term, return_index=True, return_counts=True)
-            if not len(value):
-                continue
-            toxic = np.add.reduceat(y[lo + row].astype(np.int64), first)
+            values, row, place, n = _counted(row, term)
+            at = np.searchsorted(row, np.arange(hi - lo + 1))
+            term, n = values[place], n.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(toxic), pa.array(count - toxic)],
-                names=["term", "toxic", "clean"])
-
+                [batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo),
+                 *(pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+                   for x in (term, n))], names=["doc_id", "y", "t", "n"])
 
-class Vocabulary:
-    """Sorted term hashes with a bit table that settles most misses."""
 
-    def __init__(self, terms: np.ndarray):
-        self.terms = np.sort(terms)
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[(self.terms & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+def idf(terms: np.ndarray, held: dict) -> np.ndarray:
+    """Weight of terms from their frequency over all documents.
 
-    def counts(self, row: np.ndarray, term: np.ndarray):
-        """(row, place in the vocabulary, occurrences) sorted by row and place."""
-        none = np.zeros(0, np.int64)
-        look = np.flatnonzero(self.maybe[(term & np.uint64((1 << 18) - 1)).astype(np.int64)])
-        if not len(look) or not len(self.terms):
-            return none, none, none
-        at = np.minimum(np.searchsorted(self.terms, term[look]), len(self.terms) - 1)
-        hit = self.terms[at] == term[look]
-        key, n = np.unique(row[look[hit]] * len(self.terms) + at[hit], return_counts=True)
-        return key // len(self.terms), key % len(self.terms), n
+    ``held`` has the terms of two documents or more; any other one counts as in one document.
+    """
+    df = np.ones(len(terms))
+    if len(held["terms"]):
+        at = np.minimum(np.searchsorted(held["terms"], terms), len(held["terms"]) - 1)
+        df = np.where(held["terms"][at] == terms, held["df"][at], df)
+    kind = np.where(terms & np.uint64(1), PREFIX, 1.0)
+    return (np.log((1 + held["rows"]) / (1 + df)) + 1) * kind
 
 
 class Index:
-    """Block-max inverted index of the examples, and the k nearest of a query."""
+    """The examples' terms, and the k nearest of a query.
 
-    def __init__(self, ids: np.ndarray, y: np.ndarray, bounds: np.ndarray, term: np.ndarray,
-                 weight: np.ndarray, n_terms: int, block: int = BLOCK):
-        self.ids, self.y, self.n_terms = ids, y, n_terms
-        n_blocks = max(1, -(-len(ids) // block))
-        example = np.repeat(np.arange(len(ids)), np.diff(bounds))
-        order = np.lexsort((example, term, example // block))
-        # Postings by block, then term, then example; a term's largest weight in every block.
-        self.term, self.example, self.weight = term[order], example[order], weight[order]
-        self.cut = np.searchsorted(self.example // block, np.arange(n_blocks + 1))
-        self.most = np.zeros((n_terms, n_blocks))
-        np.maximum.at(self.most, (self.term, self.example // block), self.weight)
-        self.block = block
+    ``hashes`` are the terms in order, ``place`` their numbers from rarest to most common.
+    """
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray, bounds: np.ndarray, hashes: np.ndarray,
+                 term: np.ndarray, weight: np.ndarray, common: float = COMMON):
+        self.ids, self.y, self.hashes, self.n_terms = ids, y, hashes, len(hashes)
+        often = np.bincount(term, minlength=self.n_terms)
+        order = np.argsort(often, kind="stable")
+        self.place = np.empty(self.n_terms, np.int32)
+        self.place[order] = np.arange(self.n_terms, dtype=np.int32)
+        self.start = np.concatenate([[0], np.cumsum(often[order])])
+        self.common = int(np.searchsorted(often[order], common * len(ids), "right"))
+        term = self.place[term]
+        example = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(bounds))
+        # Postings by term, then example.
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order], weight[order]
 
     @classmethod
     def of(cls, parts: dict) -> "Index":
@@ -126,36 +157,57 @@ class Index:
         index.__dict__.update(parts)
         return index
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int | None = None):
-        """(examples, cosines) of the k nearest of positive cosine; ties by smaller id."""
-        bound = weight @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        query = np.zeros(self.n_terms)
-        query[term] = weight
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        step = done = 0
-        while done < len(order):
-            # A block whose bound only equals the k-th cosine may hold an equal one: visit it.
-            if len(best) == k and bound[order[done]] < cosine[-1] - 1e-12:
-                break
-            step = 4 if step == 0 else step * 2
-            visit = order[done:done + step]
-            if len(best) == k:
-                visit = visit[bound[visit] >= cosine[-1] - 1e-12]
-            done += step
-            at = np.concatenate([np.arange(self.cut[b], self.cut[b + 1]) for b in visit])
-            part = query[self.term[at]] * self.weight[at]
-            where = part > 0
-            found, place = np.unique(self.example[at[where]], return_inverse=True)
-            dot = np.bincount(place, part[where], len(found))
-            if skip is not None:
-                other = self.ids[found] != skip
-                found, dot = found[other], dot[other]
-            best, cosine = np.concatenate([best, found]), np.concatenate([cosine, dot])
-            top = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
-            best, cosine = best[top], cosine[top]
-        return best, cosine
+    def matrix(self) -> np.ndarray:
+        """Weights of the common terms, a row a term."""
+        out = np.zeros((self.n_terms - self.common, len(self.ids)))
+        at = slice(self.start[self.common], None)
+        often = np.diff(self.start)[self.common:]
+        out[np.repeat(np.arange(len(often)), often), self.example[at]] = self.weight[at]
+        return out
+
+    @property
+    def term(self) -> np.ndarray:
+        """The term of every posting."""
+        return np.repeat(np.arange(self.n_terms), np.diff(self.start))
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Numbers of terms; -1 where no example holds one."""
+        if not self.n_terms:
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.hashes, terms), self.n_terms - 1)
+        return np.where(self.hashes[at] == terms, self.place[at], -1)
+
+    def nearest(self, matrix: np.ndarray, bounds: np.ndarray, term: np.ndarray,
+                weight: np.ndarray, k: int, skip: list | None = None):
+        """(row, examples, cosines) of the k nearest of positive cosine of every row with terms.
+
+        Row ``i`` has the terms from ``bounds[i]`` to ``bounds[i + 1]``, rarest first. Ties go
+        by smaller id. ``skip`` has the example that each row leaves out.
+        """
+        rows = np.flatnonzero(np.diff(bounds)) if len(self.ids) else []
+        for lo in range(0, len(rows), BATCH):
+            some = rows[lo:lo + BATCH]
+            query = np.zeros((len(some), len(matrix)))
+            rare = bounds[some] + [np.searchsorted(term[bounds[i]:bounds[i + 1]], self.common)
+                                   for i in some]
+            for q, at, end in zip(query, rare, bounds[some + 1]):
+                q[term[at:end] - self.common] = weight[at:end]
+            for i, dot, end in zip(some, query @ matrix, rare):
+                at = slice(bounds[i], end)
+                a, b = self.start[term[at]], self.start[term[at] + 1]
+                if len(a):
+                    parts = [slice(*x) for x in zip(a.tolist(), b.tolist())]
+                    example = np.concatenate([self.example[x] for x in parts])
+                    part = np.concatenate([self.weight[x] for x in parts])
+                    part *= np.repeat(weight[at], b - a)
+                    dot += np.bincount(example, part, len(dot))
+                if skip is not None:
+                    dot[np.searchsorted(self.ids, skip[i])] = 0
+                least = np.partition(dot, -k)[-k] - 1e-9 if len(dot) > k else 0
+                best = np.flatnonzero((dot >= least) & (dot > 0))
+                cosine = dot[best]
+                top = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
+                yield i, best[top], cosine[top]
 
 
 def vote(y: np.ndarray, cosine: np.ndarray, base: float) -> float:
@@ -182,10 +234,11 @@ def fit_curve(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Toxicity:
     """Examples, index and curve learnt from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    A text that is null, empty or without any term of the vocabulary has no neighbours; its
+    A text that is null, empty or shares no term with an example has no neighbours; its
     vote is the base rate of the examples. Without labelled rows the base rate is 0 and every
     score is the same. Rows that repeat a doc_id, or have none, are scored one by one. Labels,
-    lang, source and doc_id are no part of a score.
+    lang, source and doc_id are no part of a score. The terms of two documents or more and the
+    terms of the examples are broadcast.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
@@ -197,23 +250,9 @@ class Toxicity:
         n = {r["y"]: r["count"] for r in sizes}
         toxic, clean = n.get(1, 0), n.get(0, 0)
         self.base = toxic / max(1, toxic + clean)
-        counts = (rows.mapInArrow(_term_counts, "term long, toxic long, clean long")
-                  .groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")))
-        # Association of holding the term with the toxic class (one degree of freedom).
-        total = toxic + clean
-        cross = (F.col("a") * (F.lit(float(clean)) - F.col("b"))
-                 - F.col("b") * (F.lit(float(toxic)) - F.col("a")))
-        held = F.col("a") + F.col("b")
-        chi2 = (cross * cross * total / (held * (F.lit(float(total)) - held)
-                                         * F.lit(float(max(toxic * clean, 1)))))
-        chosen = (counts.filter((F.col("a") >= LEAST_TOXIC) & (F.col("a") >= PURE * held)
-                                & (cross > 0) & (held < total))
-                  .withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-                  .orderBy(F.desc("chi2"), "term").limit(VOCABULARY))
-        terms = np.array([r["term"] for r in chosen.select("term").collect()], np.int64)
-        self.vocabulary = spark.sparkContext.broadcast(np.sort(terms.view(np.uint64)))
-        self.idf = self._idf(docs)
-        self.index = spark.sparkContext.broadcast(vars(self._index(rows)))
+        held = self._held(docs)
+        self.index = spark.sparkContext.broadcast(vars(self._index(rows, held)))
+        self.held = spark.sparkContext.broadcast(held)
         self.curve = (1.0, 0.0)
         if toxic and clean:
             at = self._scored(rows.select("doc_id", "text", "y"), leave_out=True)
@@ -221,81 +260,59 @@ class Toxicity:
             self.curve = fit_curve(np.array([r["raw"] for r in got]),
                                    np.array([r["y"] for r in got], float))
 
-    def _idf(self, docs: DataFrame) -> np.ndarray:
-        """Weight of every term of the vocabulary from its frequency over all documents."""
-        vocabulary = self.vocabulary
-
-        def run(batches):
-            v = Vocabulary(vocabulary.value)
-            held, rows = np.zeros(len(v.terms), np.int64), 0
-            for batch in batches:
-                rows += batch.num_rows
-                for _, _, row, term in _ranges(batch):
-                    held += np.bincount(v.counts(row, term)[1], minlength=len(held))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(-1, len(held))), pa.array(np.concatenate([[rows], held]))],
-                names=["place", "n"])
-
+    @staticmethod
+    def _held(docs: DataFrame) -> dict:
+        """Terms of two documents or more, in order, their documents, and all documents."""
         counted = (docs.select(F.col("text").cast("string").alias("text"))
-                   .mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")))
-        n = {r["place"]: r["n"] for r in counted.collect()}  # a row a term
-        size = len(self.vocabulary.value)
-        df = np.array([n.get(i, 0) for i in range(size)], float)
-        return np.log((1 + n.get(-1, 0)) / (1 + df)) + 1
-
-    def _vectors(self):
-        vocabulary, idf = self.vocabulary, self.idf
-
-        def vectors(v: Vocabulary, n_rows: int, row, term):
-            """(bounds, terms, unit weights) of the rows."""
-            r, t, n = v.counts(row, term)
-            w = (1 + np.log(n)) * idf[t]
-            norm = np.sqrt(np.bincount(r, w * w, n_rows))
-            return np.searchsorted(r, np.arange(n_rows + 1)), t, w / norm[r] if len(r) else w
-        return vocabulary, vectors
-
-    def _index(self, rows: DataFrame) -> Index:
-        vocabulary, vectors = self._vectors()
-        schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()),
-                            ("t", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))])
-
-        def run(batches):
-            v = Vocabulary(vocabulary.value)
-            for batch in batches:
-                for lo, hi, row, term in _ranges(batch):
-                    bounds, t, w = vectors(v, hi - lo, row, term)
-                    at = pa.array(bounds.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(lo, hi - lo),
-                         batch.column("y").slice(lo, hi - lo),
-                         pa.ListArray.from_arrays(at, pa.array(t)),
-                         pa.ListArray.from_arrays(at, pa.array(w))], schema=schema)
-
-        got = (rows.mapInArrow(run, "doc_id long, y int, t array<long>, w array<double>")
-               .filter(F.size("t") > 0).orderBy("doc_id").collect())  # at most ``examples`` rows
-        flat = lambda c, kind: np.array([x for r in got for x in r[c]], kind)
-        bounds = np.concatenate([[0], np.cumsum([len(r["t"]) for r in got])]).astype(np.int64)
-        return Index(np.array([r["doc_id"] for r in got], np.int64),
-                     np.array([r["y"] for r in got], float), bounds, flat("t", np.int64),
-                     flat("w", float), len(self.vocabulary.value))
+                   .mapInArrow(_document_counts, "term long, n long")
+                   .groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1"))
+        got = counted.mapInArrow(_packed, "terms binary, n binary").collect()
+        terms = np.frombuffer(b"".join(r["terms"] for r in got), np.uint64)
+        df = np.frombuffer(b"".join(r["n"] for r in got), np.int64)
+        order = np.argsort(terms)
+        return {"terms": terms[order], "df": df[order].astype(np.int32), "rows": docs.count()}
+
+    @staticmethod
+    def _index(rows: DataFrame, held: dict) -> Index:
+        got = (rows.mapInArrow(_example_counts, "doc_id long, y int, t binary, n binary")
+               .collect())  # at most ``examples`` rows
+        got.sort(key=lambda r: r["doc_id"])
+        ids = np.array([r["doc_id"] for r in got], np.int64)
+        y = np.array([r["y"] for r in got], float)
+        bounds = np.concatenate([[0], np.cumsum([len(r["n"]) // 4 for r in got])]).astype(np.int64)
+        terms = np.frombuffer(b"".join(r["t"] for r in got), np.uint64)
+        n = np.frombuffer(b"".join(r["n"] for r in got), np.int32)
+        del got
+        hashes = np.unique(terms)
+        term = np.searchsorted(hashes, terms).astype(np.int32)
+        weight = (1 + np.log(n)) * idf(hashes, held)[term]
+        example = np.repeat(np.arange(len(ids)), np.diff(bounds))
+        norm = np.sqrt(np.bincount(example, weight * weight, len(ids)))
+        return Index(ids, y, bounds, hashes, term, weight / norm[example])
 
     def _scored(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
-        vocabulary, vectors = self._vectors()
-        index, k, base = self.index, self.k, self.base
+        index, held, k, base = self.index, self.held, self.k, self.base
         keep = [c for c in rows.columns if c != "text"]
         schema = (rows.select(*keep).schema.add("raw", "double")
                   .add("evidence", ArrayType(LongType())).add("cosines", ArrayType(DoubleType())))
 
         def run(batches):
-            v, ix = Vocabulary(vocabulary.value), Index.of(index.value)
+            ix = Index.of(index.value)
+            matrix = ix.matrix()
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist() if leave_out else None
                 for lo, hi, row, term in _ranges(batch):
-                    bounds, t, w = vectors(v, hi - lo, row, term)
+                    values, row, place, n = _counted(row, term)
+                    w = (1 + np.log(n)) * idf(values, held.value)[place]
+                    w = w / np.sqrt(np.bincount(row, w * w, hi - lo))[row]
+                    t = ix.places(values)[place]
+                    row, t, w = row[t >= 0], t[t >= 0], w[t >= 0]
+                    order = np.lexsort((t, row))
+                    row, t, w = row[order], t[order], w[order]
+                    bounds = np.searchsorted(row, np.arange(hi - lo + 1))
                     raw, near, sims = np.full(hi - lo, base), [[]] * (hi - lo), [[]] * (hi - lo)
-                    for i in np.flatnonzero(np.diff(bounds)):
-                        at = slice(bounds[i], bounds[i + 1])
-                        best, cosine = ix.nearest(t[at], w[at], k, ids[lo + i] if ids else None)
+                    for i, best, cosine in ix.nearest(matrix, bounds, t, w, k,
+                                                      ids[lo:hi] if ids else None):
                         raw[i] = vote(ix.y[best], cosine, base)
                         near[i], sims[i] = ix.ids[best].tolist(), cosine.tolist()
                     yield pa.RecordBatch.from_arrays(

@@ -269,6 +269,39 @@ def test_nearest_examples_equal_brute_force(spark, rows):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_cosines_are_those_of_whole_texts(spark):
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choice(WORDS + ["vilest", "gentle", "Hedgehogs"]) for _ in range(rng.randint(3, 40))))
+            for i in range(90)] + [(200, ""), (201, "solitary wanderers")]
+    y = {i: int(i % 4 == 0) for i, _ in docs}
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    model = toxicity.Toxicity(table(spark, docs), labels)
+    got = {r.doc_id: r for r in model.score(table(spark, docs)).collect()}
+
+    def terms(text):
+        words = re.findall("[a-z0-9]+", text.lower())
+        return Counter([(w, False) for w in words]
+                       + [(w[:k], True) for w in words for k in (4, 5, 6) if len(w) > k])
+
+    held = Counter(t for _, x in docs for t in terms(x))
+
+    def unit(text):
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + held[t])) + 1)
+             * (toxicity.PREFIX if t[1] else 1) for t, n in terms(text).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    units = {i: unit(x) for i, x in docs}
+    examples = [i for i in units if not got[i].held_out]
+    assert sorted(model.index.value["ids"]) == examples  # clean ones and empty ones too
+    for i, _ in docs:
+        want = sorted(((sum(x * units[e].get(t, 0) for t, x in units[i].items()), e) for e in examples),
+                      key=lambda p: (-round(p[0], 12), p[1]))[:toxicity.NEIGHBOURS]
+        want = [(c, e) for c, e in want if c > 0]
+        assert got[i].evidence == [e for _, e in want]
+        assert got[i].cosines == pytest.approx([c for c, _ in want], abs=1e-12)
+
+
 def test_quality_of_lines(spark, rows):
     rng = random.Random(8)
     docs = []
