@@ -26,10 +26,18 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}+")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 
+# Length of an IBAN by country (ISO 13616 registry); of others every length is tried.
+_IBAN_LENGTH = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+    "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+    "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
+    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+
 # Score of a confirmed span without context, and the words that raise or lower it.
 _SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 _NEAR = {
@@ -80,6 +88,32 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost, non-overlapping: the length of the country, else the longest that mod-97 confirms.
+
+    The span ends where no letter or digit follows. After a span that fails, the search goes on
+    behind its country code and check digits.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        rest = _IBAN_REST.match(text, at)
+        if not rest:
+            continue
+        places = [i for i in range(at, rest.end()) if text[i] != " "]
+        known = _IBAN_LENGTH.get(text[m.start():m.start() + 2])
+        for n in (known,) if known else range(len(places) + 4, 14, -1):
+            if n - 4 > len(places):
+                continue
+            end = places[n - 5] + 1
+            if (text[end:end + 1].isascii() and text[end:end + 1].isalnum()
+                    or not mod97(text[m.start():end].replace(" ", ""))):
+                continue
+            yield m.start(), end
+            at = end
+            break
+
+
 def _digits(s: str) -> str:
     return "".join(filter("0123456789".__contains__, s))
 
@@ -108,9 +142,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            yield "iban", m.start(), m.end()
+    yield from (("iban", *s) for s in _ibans(text))
     for m in _SSN.finditer(text, at):
         yield "ssn", m.start(), m.end()
 

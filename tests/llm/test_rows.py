@@ -45,6 +45,20 @@ def test_checks_and_context():
     assert pii.spans_of(None) == [] and pii.spans_of("9" * 6000 + ".1.1.1") == []
 
 
+def test_ibans_end_where_they_end():
+    found = lambda t: [t[a:b] for kind, a, b, _ in pii.spans_of(t) if kind == "iban"]
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"
+    assert found(f"IBAN {de} BIC COBADEFFXXX") == [de]
+    assert found("DE89370400440532013000 EUR 50 now") == ["DE89370400440532013000"]
+    assert found(f"{de} {gb} {no}") == [de, gb, no]
+    assert found(f"DE88 3704 {gb}") == [gb] and found("DE88 3704 0044 0532 0130 00 BIC") == []
+    assert found(f"{de}X") == [] and found(f"AB12 {no} 5") == [no]
+    bban = "12345678901234567"  # of a country without entry: the longest that holds
+    check = next(f"{k:02}" for k in range(2, 99) if pii.mod97(f"QX{k:02}{bban}"))
+    assert found(f"bank QX{check}{bban} EUR 50") == [f"QX{check}{bban}"]
+    assert pii.redacted(f"to {de} BIC", pii.spans_of(f"to {de} BIC")) == "to [IBAN] BIC"
+
+
 @pytest.mark.parametrize("text", ["a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 100_000,
                                   "+1" * 100_000, "+1((((" * 50_000, "AB12" * 60_000])
 def test_patterns_are_linear(text):
