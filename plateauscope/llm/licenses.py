@@ -1,11 +1,13 @@
 """License scan: base phrases by place, license notices by an exact set-similarity join.
 
-A notice is a set of words. A block (a line of a text) carries the notice when it holds
-``num / den`` of those words or more. The join is exact and uses the usual filters: words are
+A notice is a set of words. A block carries the notice when it holds ``num / den`` of those words or
+more. Blocks are the lines of a text and, so that a notice may wrap, all runs of as many words as
+the notice has, across lines. The join of lines is exact and uses the usual filters: words are
 ordered by their frequency over the whole corpus, rarest first; a block that lacks all of the
 first ``|T| - o + 1`` words of a notice (``o`` = words needed) cannot carry it (prefix); nor
 can one with fewer than ``o`` words (length), or with too few words left in the order after the
-first common one (position).
+first common one (position). A run that carries a notice has one of those first words too, so only
+the runs around such a word are compared.
 
 Only DataFrame functions are used. The notices are a parameter of at most ``MAX_WORDS`` words
 in all, which bounds what is broadcast.
@@ -83,15 +85,18 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFra
 
 
 def notice_words(spark: SparkSession, notices=NOTICES) -> DataFrame:
-    rows = [(i, label, w) for i, (label, text) in enumerate(notices)
+    rows = [(i, label, w, len(text.split())) for i, (label, text) in enumerate(notices)
             for w in sorted(set(text.split()))]
     if len(rows) > MAX_WORDS:
         raise ValueError(f"the notices have {len(rows)} words; at most {MAX_WORDS}")
-    return spark.createDataFrame(rows, "notice int, label string, word string")
+    return spark.createDataFrame(rows, "notice int, label string, word string, run int")
 
 
 def notice_matches(docs: DataFrame, notices=NOTICES, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, text_key, block, label, containment) of every block that carries a notice."""
+    """(doc_id, text_key, block, label, containment) of every block that carries a notice.
+
+    ``block`` is the number of the line; null for the best run of words around a rare word.
+    """
     spark = docs.sparkSession
     words = notice_words(spark, notices)
     vocabulary = F.broadcast(words.select("word").distinct())
@@ -122,8 +127,36 @@ def notice_matches(docs: DataFrame, notices=NOTICES, num: int = NUM, den: int =
         F.first("label").alias("label"), F.first("size").alias("size"),
         F.first("needed").alias("needed"), F.first("n").alias("n"),
         F.min("place").alias("place"), F.count("*").alias("common"))
-    return (per.filter("n >= needed AND size - place >= needed AND common >= needed")
-            .select("doc_id", "text_key", "block", "label",
+    lines = (per.filter("n >= needed AND size - place >= needed AND common >= needed")
+             .select("doc_id", "text_key", "block", "label",
+                     (F.col("common") / F.col("size")).alias("containment")))
+    return lines.unionByName(_run_matches(docs, ranked, rare))
+
+
+def _run_matches(docs: DataFrame, ranked: DataFrame, rare: list[str]) -> DataFrame:
+    """The notices that a run of as many words carries, whatever lines it crosses."""
+    longest = ranked.agg(F.max("run")).first()[0] or 1
+    sets = ranked.groupBy("notice").agg(
+        F.first("label").alias("label"), F.first("run").alias("run"), F.first("size").alias("size"),
+        F.first("needed").alias("needed"), F.collect_list("word").alias("words"))
+    sets = F.broadcast(ranked.filter("prefix").select("notice", "word").join(sets, "notice"))
+    texts = (docs.filter("text IS NOT NULL")
+             .select("doc_id", F.xxhash64("text").alias("text_key"),
+                     F.split(normal(F.col("text")), " ").alias("w"))
+             .filter(F.arrays_overlap("w", F.array(*map(F.lit, rare)))))
+    # Every rare word with the words around it, at most ``longest - 1`` on either side.
+    around = F.filter(F.transform("w", lambda x, i: F.when(x.isin(rare), F.struct(
+        x.alias("word"), F.least(i + 1, F.lit(longest)).alias("at"),
+        F.slice("w", F.greatest(i + 2 - longest, F.lit(1)), F.lit(2 * longest - 1)).alias("near")))),
+        lambda x: x.isNotNull())
+    found = (texts.select("doc_id", "text_key", F.explode(around).alias("x"))
+             .select("doc_id", "text_key", "x.*").join(sets, "word")
+             .filter(F.size(F.array_intersect("near", "words")) >= F.col("needed")))
+    runs = F.transform(F.sequence(F.greatest(F.col("at") - F.col("run") + 1, F.lit(1)), "at"),
+                       lambda i: F.size(F.array_intersect(F.slice("near", i, F.col("run")),
+                                                          F.col("words"))))
+    return (found.withColumn("common", F.array_max(runs)).filter("common >= needed")
+            .select("doc_id", "text_key", F.lit(None).cast("int").alias("block"), "label",
                     (F.col("common") / F.col("size")).alias("containment")))
 
 

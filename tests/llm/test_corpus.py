@@ -211,6 +211,38 @@ def test_license_places_and_notices(spark, rows):
     assert got[5].labels == "" and got[5].score == 0.0
 
 
+def test_notices_that_wrap(spark):
+    rng = random.Random(21)
+    wrapped = {
+        1: ("/* Redistribution and use in source and binary forms, with or without\n * modification, "
+            "are permitted provided that the following conditions\n * are met: */", "bsd"),
+        2: ("Permission to use, copy, modify, and/or distribute\n\nthis software for any\npurpose with or "
+            "without fee is hereby granted", "isc"),
+        3: ("is licensed under the GNU General Public License\nversion 3",
+            "agpl,gpl,gpl-2.0,gpl-3.0,lgpl"),  # as on one line
+        4: ("licensed under " + sentence(rng, 30) + " the\nApache " + sentence(rng, 30) + " license version 2.0", "")}
+    texts = [(i, f"{sentence(rng, 50)}\n{t}\n{sentence(rng, 50)}") for i, (t, _) in wrapped.items()]
+    pool = [w for _, x in licenses.NOTICES for w in x.split()]
+    texts += [(100 + i, "\n".join(" ".join(rng.choice(x.split() + pool[:6]) for _ in range(rng.randint(1, 9)))
+                                  for _ in range(3) for _, x in [rng.choice(licenses.NOTICES)])) for i in range(60)]
+    texts += [(200 + i, rng.choice("\n ").join(x.split())) for i, (_, x) in enumerate(licenses.NOTICES)]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts, True)).collect()}
+    assert {i: got[i].labels for i in wrapped} == {i: want for i, (_, want) in wrapped.items()}
+    for i, t in texts:
+        words, best, labels = re.findall("[a-z0-9]+", t.lower()), 0.0, set()
+        for label, x in licenses.NOTICES:
+            s, n = set(x.split()), len(x.split())
+            blocks = [set(re.findall("[a-z0-9]+", y.lower())) for y in t.split("\n")]
+            blocks += [set(words[k:k + n]) for k in range(len(words))]
+            most = max(len(b & s) for b in blocks)
+            if most * licenses.DEN >= licenses.NUM * len(s):
+                labels.add(label)
+                best = max(best, most / len(s))
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert got[i].labels == ",".join(sorted(labels | base))
+        assert got[i].score == (1.0 if base else best)
+
+
 def test_personal_data_frames(spark, rows):
     more = rows + [(400, "mail a.b@c.org, card 4111 1111 1111 1111, bank account DE89 3704 0044 0532 0130 00")]
     got = pii.report(table(spark, more, True)).collect()
