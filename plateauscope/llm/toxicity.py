@@ -103,19 +103,6 @@ def _packed(batches):
             names=["terms", "n"])
 
 
-def _example_counts(batches):
-    """Task: the terms of every example and their occurrences, as bytes."""
-    for batch in batches:
-        for lo, hi, row, term in _ranges(batch):
-            values, row, place, n = _counted(row, term)
-            at = np.searchsorted(row, np.arange(hi - lo + 1))
-            term, n = values[place], n.astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo),
-                 *(pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
-                   for x in (term, n))], names=["doc_id", "y", "t", "n"])
-
-
 def idf(terms: np.ndarray, held: dict) -> np.ndarray:
     """Weight of terms from their frequency over all documents.
 
@@ -135,20 +122,21 @@ class Index:
     ``hashes`` are the terms in order, ``place`` their numbers from rarest to most common.
     """
 
-    def __init__(self, ids: np.ndarray, y: np.ndarray, bounds: np.ndarray, hashes: np.ndarray,
-                 term: np.ndarray, weight: np.ndarray, common: float = COMMON):
-        self.ids, self.y, self.hashes, self.n_terms = ids, y, hashes, len(hashes)
-        often = np.bincount(term, minlength=self.n_terms)
+    def __init__(self, hashes: np.ndarray, often: np.ndarray):
+        self.hashes, self.n_terms = hashes, len(hashes)
         order = np.argsort(often, kind="stable")
         self.place = np.empty(self.n_terms, np.int32)
         self.place[order] = np.arange(self.n_terms, dtype=np.int32)
-        self.start = np.concatenate([[0], np.cumsum(often[order])])
-        self.common = int(np.searchsorted(often[order], common * len(ids), "right"))
-        term = self.place[term]
-        example = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(bounds))
-        # Postings by term, then example.
+        self.start = np.concatenate([[0], np.cumsum(often[order])]).astype(np.int64)
+
+    def fill(self, ids: np.ndarray, y: np.ndarray, size: np.ndarray, term: np.ndarray,
+             weight: np.ndarray, common: float = COMMON) -> None:
+        """Postings by term, then example; ``size`` terms an example, examples by id."""
+        self.ids, self.y = ids, y
+        self.common = int(np.searchsorted(np.diff(self.start), common * len(ids), "right"))
         order = np.argsort(term, kind="stable")
-        self.example, self.weight = example[order], weight[order]
+        self.example = np.repeat(np.arange(len(ids), dtype=np.int32), size)[order]
+        self.weight = weight[order]
 
     @classmethod
     def of(cls, parts: dict) -> "Index":
@@ -250,9 +238,10 @@ class Toxicity:
         n = {r["y"]: r["count"] for r in sizes}
         toxic, clean = n.get(1, 0), n.get(0, 0)
         self.base = toxic / max(1, toxic + clean)
-        held = self._held(docs)
-        self.index = spark.sparkContext.broadcast(vars(self._index(rows, held)))
+        terms, df = self._counts(docs, 2)
+        held = {"terms": terms, "df": df, "rows": docs.count()}
         self.held = spark.sparkContext.broadcast(held)
+        self.index = spark.sparkContext.broadcast(vars(self._index(rows)))
         self.curve = (1.0, 0.0)
         if toxic and clean:
             at = self._scored(rows.select("doc_id", "text", "y"), leave_out=True)
@@ -261,34 +250,51 @@ class Toxicity:
                                    np.array([r["y"] for r in got], float))
 
     @staticmethod
-    def _held(docs: DataFrame) -> dict:
-        """Terms of two documents or more, in order, their documents, and all documents."""
+    def _counts(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of ``least`` documents or more, in order, and the number of their documents."""
         counted = (docs.select(F.col("text").cast("string").alias("text"))
                    .mapInArrow(_document_counts, "term long, n long")
-                   .groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1"))
+                   .groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
         got = counted.mapInArrow(_packed, "terms binary, n binary").collect()
         terms = np.frombuffer(b"".join(r["terms"] for r in got), np.uint64)
-        df = np.frombuffer(b"".join(r["n"] for r in got), np.int64)
+        n = np.frombuffer(b"".join(r["n"] for r in got), np.int64)
         order = np.argsort(terms)
-        return {"terms": terms[order], "df": df[order].astype(np.int32), "rows": docs.count()}
+        return terms[order], n[order].astype(np.int32)
 
-    @staticmethod
-    def _index(rows: DataFrame, held: dict) -> Index:
-        got = (rows.mapInArrow(_example_counts, "doc_id long, y int, t binary, n binary")
-               .collect())  # at most ``examples`` rows
+    def _index(self, rows: DataFrame) -> Index:
+        index = Index(*self._counts(rows, 1))
+        held = self.held
+        known = rows.sparkSession.sparkContext.broadcast(vars(index).copy())
+
+        def run(batches):
+            ix = Index.of(known.value)
+            for batch in batches:
+                for lo, hi, row, term in _ranges(batch):
+                    values, row, place, n = _counted(row, term)
+                    w = (1 + np.log(n)) * idf(values, held.value)[place]
+                    w = w / np.sqrt(np.bincount(row, w * w, hi - lo))[row]
+                    t = ix.places(values).astype(np.int32)[place]
+                    at = np.searchsorted(row, np.arange(hi - lo + 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(lo, hi - lo),
+                         batch.column("y").slice(lo, hi - lo),
+                         *(pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+                           for x in (t, w))], names=["doc_id", "y", "t", "w"])
+
+        # At most ``examples`` rows, let go one by one as they are copied.
+        got = rows.mapInArrow(run, "doc_id long, y int, t binary, w binary").collect()
         got.sort(key=lambda r: r["doc_id"])
         ids = np.array([r["doc_id"] for r in got], np.int64)
         y = np.array([r["y"] for r in got], float)
-        bounds = np.concatenate([[0], np.cumsum([len(r["n"]) // 4 for r in got])]).astype(np.int64)
-        terms = np.frombuffer(b"".join(r["t"] for r in got), np.uint64)
-        n = np.frombuffer(b"".join(r["n"] for r in got), np.int32)
-        del got
-        hashes = np.unique(terms)
-        term = np.searchsorted(hashes, terms).astype(np.int32)
-        weight = (1 + np.log(n)) * idf(hashes, held)[term]
-        example = np.repeat(np.arange(len(ids)), np.diff(bounds))
-        norm = np.sqrt(np.bincount(example, weight * weight, len(ids)))
-        return Index(ids, y, bounds, hashes, term, weight / norm[example])
+        size = np.array([len(r["t"]) // 4 for r in got], np.int64)
+        end = np.cumsum(size)
+        term, weight = np.empty(size.sum(), np.int32), np.empty(size.sum())
+        for i in range(len(got)):
+            r, got[i] = got[i], None
+            at = slice(end[i] - size[i], end[i])
+            term[at], weight[at] = np.frombuffer(r["t"], np.int32), np.frombuffer(r["w"], float)
+        index.fill(ids, y, size, term, weight)
+        return index
 
     def _scored(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
         index, held, k, base = self.index, self.held, self.k, self.base
