@@ -281,18 +281,20 @@ class Toxicity:
                          *(pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
                            for x in (t, w))], names=["doc_id", "y", "t", "w"])
 
-        # At most ``examples`` rows, let go one by one as they are copied.
-        got = rows.mapInArrow(run, "doc_id long, y int, t binary, w binary").collect()
-        got.sort(key=lambda r: r["doc_id"])
-        ids = np.array([r["doc_id"] for r in got], np.int64)
-        y = np.array([r["y"] for r in got], float)
-        size = np.array([len(r["t"]) // 4 for r in got], np.int64)
-        end = np.cumsum(size)
-        term, weight = np.empty(size.sum(), np.int32), np.empty(size.sum())
-        for i in range(len(got)):
-            r, got[i] = got[i], None
-            at = slice(end[i] - size[i], end[i])
-            term[at], weight[at] = np.frombuffer(r["t"], np.int32), np.frombuffer(r["w"], float)
+        # At most ``examples`` rows, a partition at a time, by id.
+        got = (rows.orderBy("doc_id").mapInArrow(run, "doc_id long, y int, t binary, w binary")
+               .toLocalIterator())
+        ids, y, size, end = [], [], [], 0
+        term, weight = np.empty(index.start[-1], np.int32), np.empty(index.start[-1])
+        for r in got:
+            t = np.frombuffer(r["t"], np.int32)
+            at = slice(end, end + len(t))
+            term[at], weight[at] = t, np.frombuffer(r["w"], float)
+            ids.append(r["doc_id"])
+            y.append(r["y"])
+            size.append(len(t))
+            end += len(t)
+        ids, y, size = np.array(ids, np.int64), np.array(y, float), np.array(size, np.int64)
         index.fill(ids, y, size, term, weight)
         return index
 
