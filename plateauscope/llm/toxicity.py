@@ -130,19 +130,30 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum(often[order])]).astype(np.int64)
 
     def fill(self, ids: np.ndarray, y: np.ndarray, size: np.ndarray, term: np.ndarray,
-             weight: np.ndarray, common: float = COMMON) -> None:
-        """Postings by term, then example; ``size`` terms an example, examples by id."""
+             n: np.ndarray, norm: np.ndarray, weights: np.ndarray, common: float = COMMON) -> None:
+        """Postings by term, then example; ``size`` terms an example, examples by id.
+
+        Postings travel as counts of the least width; ``of`` makes exact weights of them.
+        """
         self.ids, self.y = ids, y
         self.common = int(np.searchsorted(np.diff(self.start), common * len(ids), "right"))
         order = np.argsort(term, kind="stable")
-        self.example = np.repeat(np.arange(len(ids), dtype=np.int32), size)[order]
-        self.weight = weight[order]
+        width = np.min_scalar_type(max(1, len(ids)))
+        self.example = np.repeat(np.arange(len(ids), dtype=width), size)[order]
+        self.n = n[order].astype(np.min_scalar_type(n.max(initial=1)))
+        self.norm, self.idf = norm, np.empty(self.n_terms)
+        self.idf[self.place] = weights
 
     @classmethod
     def of(cls, parts: dict) -> "Index":
         """The index whose ``vars`` are ``parts``: a broadcast holds arrays, not classes."""
         index = cls.__new__(cls)
         index.__dict__.update(parts)
+        if "n" in parts:
+            index.example = index.example.astype(np.int32)
+            index.weight = 1 + np.log(index.n, dtype=float)
+            index.weight *= np.repeat(index.idf, np.diff(index.start))
+            index.weight /= index.norm[index.example]
         return index
 
     def matrix(self) -> np.ndarray:
@@ -272,30 +283,32 @@ class Toxicity:
                 for lo, hi, row, term in _ranges(batch):
                     values, row, place, n = _counted(row, term)
                     w = (1 + np.log(n)) * idf(values, held.value)[place]
-                    w = w / np.sqrt(np.bincount(row, w * w, hi - lo))[row]
+                    norm = np.sqrt(np.bincount(row, w * w, hi - lo))
                     t = ix.places(values).astype(np.int32)[place]
                     at = np.searchsorted(row, np.arange(hi - lo + 1))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").slice(lo, hi - lo),
                          batch.column("y").slice(lo, hi - lo),
                          *(pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
-                           for x in (t, w))], names=["doc_id", "y", "t", "w"])
+                           for x in (t, n.astype(np.int32))), pa.array(norm)],
+                        names=["doc_id", "y", "t", "n", "norm"])
 
         # At most ``examples`` rows, a partition at a time, by id.
-        got = (rows.orderBy("doc_id").mapInArrow(run, "doc_id long, y int, t binary, w binary")
+        got = (rows.orderBy("doc_id").mapInArrow(run, "doc_id long, y int, t binary, n binary, norm double")
                .toLocalIterator())
-        ids, y, size, end = [], [], [], 0
-        term, weight = np.empty(index.start[-1], np.int32), np.empty(index.start[-1])
+        ids, y, size, norm, end = [], [], [], [], 0
+        term, n = np.empty(index.start[-1], np.int32), np.empty(index.start[-1], np.int32)
         for r in got:
             t = np.frombuffer(r["t"], np.int32)
             at = slice(end, end + len(t))
-            term[at], weight[at] = t, np.frombuffer(r["w"], float)
+            term[at], n[at] = t, np.frombuffer(r["n"], np.int32)
+            norm.append(r["norm"])
             ids.append(r["doc_id"])
             y.append(r["y"])
             size.append(len(t))
             end += len(t)
         ids, y, size = np.array(ids, np.int64), np.array(y, float), np.array(size, np.int64)
-        index.fill(ids, y, size, term, weight)
+        index.fill(ids, y, size, term, n, np.array(norm, float), idf(index.hashes, held.value))
         return index
 
     def _scored(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
