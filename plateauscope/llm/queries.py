@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plateauscope.llm import (bpe, decontam, embed_dedup, licenses, main_text, ngram_join, pii,
-                              quality, suffix_dedup, toxicity)
+from plateauscope.llm import (bpe, conversations, decontam, embed_dedup, licenses, main_text,
+                              ngram_join, pii, quality, secret_scan, spelling, suffix_dedup,
+                              toxicity)
 from plateauscope.llm.oracles import ORACLES
 from plateauscope.llm.tables import QUERIES, SQL, register, table  # noqa: F401
 
@@ -64,3 +65,19 @@ def op9_toxicity(spark, sf_dir):
 @register("op10_ngram_jaccard_join", ORACLES["op10_ngram_jaccard_join"])
 def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.NgramJoin(table(spark, sf_dir, "documents")).components()
+
+
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@register("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return spelling.variants(spelling.count_words(docs, spelling.LEAST_LENGTH, damage=97))
+
+
+@register("op13_secret_scan")
+def op13_secret_scan(spark, sf_dir):
+    return secret_scan.report(table(spark, sf_dir, "documents"))
