@@ -1,15 +1,24 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over whole texts.
 
-Terms are the words of a text and their prefixes of 4 to 6 bytes (so that an inflected word
-meets its stem; it counts less than a word). All terms of a text count; their document frequencies are counted over all
-documents. Every labelled example of a bounded set is indexed, toxic or clean. The cosines of a
-query with all of them are exact sums: common terms by matrix products over a batch of queries,
-all others by their postings. The votes of the k nearest,
-weighted by cosine, become a probability by a logistic curve fitted on leave-one-out votes.
+Terms are the words of a text and their prefixes of 4 to 6 bytes (so that an inflected word meets
+its stem; it counts less than a word). All terms of a text count. Document frequencies are those
+among the examples, a bounded set of labelled rows; the weight of a term is its inverse document
+frequency times its shrunken log odds between toxic and clean examples (delta TF-IDF), plus a floor
+that no term falls below. Every example is indexed, toxic or clean.
+
+The index is block-max: examples whose strongest term is the same lie together, in blocks, and of
+each common term the largest weight in a block is known. The postings of the other terms are summed
+as they are. One product bounds the cosines of a batch of queries with every block; blocks are
+visited in falling order of their bounds, several queries at once, until a query's next bound is below
+its k-th cosine. The votes of the k nearest, weighted by cosine, become a probability by a logistic
+curve fitted on leave-one-out votes.
 """
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +31,17 @@ from plateauscope.llm import tokens as T
 from plateauscope.llm.tables import written
 from plateauscope.llm.training import held_out, training_rows
 
-EXAMPLES = 16_384  # labelled rows learnt from, at most
+EXAMPLES = 4096  # labelled rows learnt from, at most
+EXAMPLE_CHARS = 100_000  # longer labelled rows are not learnt from
 NEIGHBOURS = 15
-COMMON = 0.1  # share of the examples above which a term is common
-BATCH = 64  # queries of a matrix product
-HELD = 1 << 20  # terms that a task counts before it hands them on
+BLOCK = 64  # examples of a block
+COMMON = 0.05  # share of the examples above which a term is common
+BATCH = 128  # queries searched at once
 CUT = 0.7
 PRIOR = 0.5  # weight of the base rate among the votes
 PREFIX = 0.25  # weight of a prefix against that of a word
+SHRINK = 4.0  # examples at the base rate that every term is taken to have besides its own
+FLOOR = 0.05  # added to the log odds of every term
 _PREFIXES = (4, 5, 6)
 
 # Words: ASCII letters and digits and every byte of a character beyond ASCII.
@@ -55,13 +67,6 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(rows), np.concatenate(terms)
 
 
-def _ranges(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, offsets = T.utf8(batch.column("text"))
-    for lo, hi in T.chunks(offsets):
-        base = offsets[lo]
-        yield lo, hi, *_terms(data[base:offsets[hi]], offsets[lo:hi + 1] - base)
-
-
 def _counted(row: np.ndarray, term: np.ndarray):
     """(distinct terms; row, place among them and occurrences, sorted by row and place)."""
     values, place = np.unique(term, return_inverse=True)
@@ -70,140 +75,184 @@ def _counted(row: np.ndarray, term: np.ndarray):
     return values, key // size, key % size, n
 
 
-def _document_counts(batches):
-    """Task: (term, documents that hold it), each term about once."""
-    def merged():
-        values, place = np.unique(np.concatenate([v for v, _ in kept]), return_inverse=True)
-        return values, np.bincount(place, np.concatenate([n for _, n in kept])).astype(np.int64)
-
-    def handed(values, n):
-        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)],
-                                          names=["term", "n"])
-    kept, size = [], 0
-    for batch in batches:
-        for _, _, row, term in _ranges(batch):
-            values, _, place, _ = _counted(row, term)
-            kept.append((values, np.bincount(place, minlength=len(values))))
-            size += len(values)
-            if size > 2 * HELD:
-                kept = [merged()]
-                size = len(kept[0][0])
-                if size > HELD:
-                    yield handed(*kept[0])
-                    kept, size = [], 0
-    if size:
-        yield handed(*merged())
-
-
-def _packed(batches):
-    """Task: terms and counts of a batch as bytes, so that the driver gets few rows."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([batch.column(i).to_numpy(zero_copy_only=False).tobytes()]) for i in (0, 1)],
-            names=["terms", "n"])
-
-
-def idf(terms: np.ndarray, held: dict) -> np.ndarray:
-    """Weight of terms from their frequency over all documents.
-
-    ``held`` has the terms of two documents or more; any other one counts as in one document.
-    """
-    df = np.ones(len(terms))
-    if len(held["terms"]):
-        at = np.minimum(np.searchsorted(held["terms"], terms), len(held["terms"]) - 1)
-        df = np.where(held["terms"][at] == terms, held["df"][at], df)
+def _long(data: np.ndarray):
+    """As :func:`_counted` for one long text, read in windows that end between words."""
+    values, n, at = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    while at < len(data):
+        to = at + T.CHUNK_BYTES
+        gaps = np.flatnonzero(_GAP[data[at:to]])
+        if to < len(data) and len(gaps):
+            to = at + int(gaps[-1]) + 1
+        else:  # the text's end, or a word longer than a window
+            while to < len(data) and not len(gaps := np.flatnonzero(_GAP[data[to:to + T.CHUNK_BYTES]])):
+                to += T.CHUNK_BYTES
+            to += int(gaps[0]) + 1 if to < len(data) else 0
+        part = data[at:to]
+        more, _, _, k = _counted(*_terms(part, np.array([0, len(part)])))
+        values, place = np.unique(np.concatenate([values, more]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([n, k])).astype(np.int64)
+        at = to
+    return values, np.zeros(len(values), np.int64), np.arange(len(values)), n
+
+
+def _ranges(column: pa.Array) -> Iterator[tuple]:
+    """(first row, end) of ranges of texts, and their terms as :func:`_counted` has them."""
+    data, offsets = T.utf8(column)
+    for lo, hi in T.chunks(offsets):
+        part = data[offsets[lo]:offsets[hi]]
+        if len(part) > T.CHUNK_BYTES:
+            yield lo, hi, *_long(part)
+        else:
+            yield lo, hi, *_counted(*_terms(part, offsets[lo:hi + 1] - offsets[lo]))
+
+
+def term_weights(terms: np.ndarray, df: np.ndarray, toxic: np.ndarray, n: int, n_toxic: int):
+    """Weight of terms that ``df`` of ``n`` examples hold, ``toxic`` of them toxic."""
     kind = np.where(terms & np.uint64(1), PREFIX, 1.0)
-    return (np.log((1 + held["rows"]) / (1 + df)) + 1) * kind
+    idf = np.log((1 + n) / (1 + df)) + 1
+    odds = np.zeros(len(terms))
+    if 0 < n_toxic < n:
+        a, b = SHRINK * n_toxic / n, SHRINK * (n - n_toxic) / n
+        odds = np.abs(np.log((toxic + a) / (n_toxic + a))
+                      - np.log((df - toxic + b) / (n - n_toxic + b)))
+    return kind * idf * (odds + FLOOR)
 
 
-class Index:
-    """The examples' terms, and the k nearest of a query.
+def learnt(ids: np.ndarray, y: np.ndarray, size: np.ndarray, term: np.ndarray, n: np.ndarray) -> dict:
+    """The index of examples as arrays of the least width: they are broadcast.
 
-    ``hashes`` are the terms in order, ``place`` their numbers from rarest to most common.
+    ``size`` terms an example, given by ``term`` and their counts ``n``.
     """
+    hashes, place = np.unique(term, return_inverse=True)
+    of = np.repeat(np.arange(len(ids)), size)
+    df = np.bincount(place, minlength=len(hashes))
+    toxic = np.bincount(place, y[of], len(hashes)).astype(np.int64)
+    weight = term_weights(hashes, df, toxic, len(ids), int(y.sum()))
+    w = (1 + np.log(n)) * weight[place]
+    norm = np.sqrt(np.bincount(of, w * w, len(ids)))
+    # Examples in order of their strongest term; terms from rarest to most common.
+    strongest = np.zeros(len(ids), np.int64)
+    by_weight = np.lexsort((-place, w, of))
+    strongest[of[by_weight]] = place[by_weight]  # the last of an example wins
+    order = np.lexsort((ids, strongest))
+    at = np.empty(len(ids), np.int64)
+    at[order] = np.arange(len(ids))
+    rank = np.empty(len(hashes), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(hashes))
+    posting = np.lexsort((at[of], rank[place]))
+    return {"hashes": hashes, "rank": rank.astype(np.int32), "df": df.astype(np.int32),
+            "toxic": toxic.astype(np.int32), "ids": ids[order], "y": y[order], "norm": norm[order],
+            "example": at[of][posting].astype(np.min_scalar_type(max(1, len(ids)))),
+            "n": n[posting].astype(np.min_scalar_type(int(n.max(initial=1))))}
 
-    def __init__(self, hashes: np.ndarray, often: np.ndarray):
-        self.hashes, self.n_terms = hashes, len(hashes)
-        order = np.argsort(often, kind="stable")
-        self.place = np.empty(self.n_terms, np.int32)
-        self.place[order] = np.arange(self.n_terms, dtype=np.int32)
-        self.start = np.concatenate([[0], np.cumsum(often[order])]).astype(np.int64)
 
-    def fill(self, ids: np.ndarray, y: np.ndarray, size: np.ndarray, term: np.ndarray,
-             n: np.ndarray, norm: np.ndarray, weights: np.ndarray, common: float = COMMON) -> None:
-        """Postings by term, then example; ``size`` terms an example, examples by id.
-
-        Postings travel as counts of the least width; ``of`` makes exact weights of them.
-        """
-        self.ids, self.y = ids, y
-        self.common = int(np.searchsorted(np.diff(self.start), common * len(ids), "right"))
-        order = np.argsort(term, kind="stable")
-        width = np.min_scalar_type(max(1, len(ids)))
-        self.example = np.repeat(np.arange(len(ids), dtype=width), size)[order]
-        self.n = n[order].astype(np.min_scalar_type(n.max(initial=1)))
-        self.norm, self.idf = norm, np.empty(self.n_terms)
-        self.idf[self.place] = weights
+class Index:
+    """The examples' terms in blocks, and the k nearest of a query."""
+
+    def __init__(self, parts: dict):
+        self.hashes, self.rank = parts["hashes"], parts["rank"]
+        self.ids, self.y = parts["ids"], parts["y"]
+        n = len(self.ids)
+        self.weights = term_weights(self.hashes, parts["df"].astype(np.int64),
+                                    parts["toxic"].astype(np.int64), n, int(self.y.sum()))
+        self.unknown = term_weights(np.array([0, 1], np.uint64), *np.zeros((2, 2)), n, int(self.y.sum()))
+        often = np.empty(len(self.hashes), np.int64)
+        often[self.rank] = parts["df"]
+        self.start = np.concatenate([[0], np.cumsum(often)])
+        self.example = parts["example"].astype(np.int64)
+        by_rank = np.empty(len(self.hashes))
+        by_rank[self.rank] = self.weights
+        self.weight = ((1 + np.log(parts["n"], dtype=float)) * np.repeat(by_rank, often)
+                       / parts["norm"][self.example])
+        self.common = int(np.searchsorted(often, COMMON * n, "right"))
+        self.blocks = -(-n // BLOCK)
+        at = slice(self.start[self.common], None)
+        dense = np.zeros((len(often) - self.common, self.blocks * BLOCK))
+        dense[np.repeat(np.arange(len(dense)), often[self.common:]), self.example[at]] = self.weight[at]
+        dense = dense.reshape(len(dense), self.blocks, BLOCK)
+        self.most = dense.max(2, initial=0)  # of every common term and block
+        self.dense = np.ascontiguousarray(dense.transpose(1, 0, 2))
+        self.asked = self.looked = 0  # blocks of all queries, and those visited
 
     @classmethod
-    def of(cls, parts: dict) -> "Index":
-        """The index whose ``vars`` are ``parts``: a broadcast holds arrays, not classes."""
-        index = cls.__new__(cls)
-        index.__dict__.update(parts)
-        if "n" in parts:
-            index.example = index.example.astype(np.int32)
-            index.weight = 1 + np.log(index.n, dtype=float)
-            index.weight *= np.repeat(index.idf, np.diff(index.start))
-            index.weight /= index.norm[index.example]
-        return index
-
-    def matrix(self) -> np.ndarray:
-        """Weights of the common terms, a row a term."""
-        out = np.zeros((self.n_terms - self.common, len(self.ids)))
-        at = slice(self.start[self.common], None)
-        often = np.diff(self.start)[self.common:]
-        out[np.repeat(np.arange(len(often)), often), self.example[at]] = self.weight[at]
-        return out
-
-    @property
-    def term(self) -> np.ndarray:
-        """The term of every posting."""
-        return np.repeat(np.arange(self.n_terms), np.diff(self.start))
-
-    def places(self, terms: np.ndarray) -> np.ndarray:
-        """Numbers of terms; -1 where no example holds one."""
-        if not self.n_terms:
-            return np.full(len(terms), -1)
-        at = np.minimum(np.searchsorted(self.hashes, terms), self.n_terms - 1)
-        return np.where(self.hashes[at] == terms, self.place[at], -1)
-
-    def nearest(self, matrix: np.ndarray, bounds: np.ndarray, term: np.ndarray,
-                weight: np.ndarray, k: int, skip: list | None = None):
+    def here(cls, key: str, parts) -> "Index":
+        """The index of this process: built once for the broadcast ``parts``."""
+        home = sys.modules.setdefault("_plateauscope_examples",
+                                      types.ModuleType("_plateauscope_examples"))
+        kept = home.__dict__.setdefault("kept", {})
+        if key not in kept:
+            kept.clear()
+            kept[key] = cls(parts.value)
+        return kept[key]
+
+    def weighted(self, rows: int, values, row, place, n):
+        """(bounds, term, weight): unit vectors of ``rows`` texts without the terms of no example."""
+        at = np.minimum(np.searchsorted(self.hashes, values), max(0, len(self.hashes) - 1))
+        held = self.hashes[at] == values if len(self.hashes) else np.zeros(len(values), bool)
+        w = self.unknown[(values & np.uint64(1)).astype(np.int64)]
+        w[held] = self.weights[at[held]]
+        term = np.full(len(values), -1)
+        term[held] = self.rank[at[held]]
+        w = (1 + np.log(n)) * w[place]
+        norm = np.sqrt(np.bincount(row, w * w, rows))
+        keep = term[place] >= 0
+        row, term, w = row[keep], term[place][keep], w[keep]
+        return np.searchsorted(row, np.arange(rows + 1)), term, w / norm[row]
+
+    def _dots(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int,
+              without: list | None) -> np.ndarray:
+        """Cosines of ``m`` queries with every example of the blocks that may hold the k nearest."""
+        size = self.blocks * BLOCK
+        common = term >= self.common
+        q = np.zeros((m, len(self.most)))
+        q[query[common], term[common] - self.common] = weight[common]
+        query, term, weight = query[~common], term[~common], weight[~common]
+        count = self.start[term + 1] - self.start[term]
+        at = np.arange(int(count.sum())) + np.repeat(self.start[term] - (np.cumsum(count) - count), count)
+        rare = np.bincount(np.repeat(query * size, count) + self.example[at],
+                           np.repeat(weight, count) * self.weight[at], m * size).reshape(m, size)
+        if without is not None:
+            rare[np.arange(m), without] = -np.inf
+        bound = q @ self.most + rare.reshape(m, self.blocks, BLOCK).max(2) + 1e-9
+        order = np.argsort(-bound, axis=1, kind="stable")
+        falling = np.take_along_axis(bound, order, 1)
+        dots, least, at, wide = np.zeros((m, size)), np.full(m, 2e-9), 0, 2
+        self.asked += m * self.blocks
+        while at < self.blocks:
+            who, which = np.nonzero(falling[:, at:at + wide] >= least[:, None] - 1e-9)
+            if not len(who):
+                break
+            which = order[who, which + at]
+            self.looked += len(who)
+            by_block = np.argsort(which, kind="stable")
+            for some in np.split(by_block, np.flatnonzero(np.diff(which[by_block])) + 1):
+                b = int(which[some[0]])
+                here = slice(b * BLOCK, (b + 1) * BLOCK)
+                dots[who[some], here] = q[who[some]] @ self.dense[b] + rare[who[some], here]
+            if size > k:
+                least = np.maximum(np.partition(dots, size - k, axis=1)[:, size - k], 2e-9)
+            at, wide = at + wide, 2 * wide
+        return dots
+
+    def nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int,
+                skip: list | None = None):
         """(row, examples, cosines) of the k nearest of positive cosine of every row with terms.
 
-        Row ``i`` has the terms from ``bounds[i]`` to ``bounds[i + 1]``, rarest first. Ties go
-        by smaller id. ``skip`` has the example that each row leaves out.
+        Row ``i`` has the terms from ``bounds[i]`` to ``bounds[i + 1]``. Ties go by smaller id.
+        ``skip`` has the example that each row leaves out.
         """
         rows = np.flatnonzero(np.diff(bounds)) if len(self.ids) else []
+        place = {d: i for i, d in enumerate(self.ids.tolist())} if skip is not None else None
         for lo in range(0, len(rows), BATCH):
             some = rows[lo:lo + BATCH]
-            query = np.zeros((len(some), len(matrix)))
-            rare = bounds[some] + [np.searchsorted(term[bounds[i]:bounds[i + 1]], self.common)
-                                   for i in some]
-            for q, at, end in zip(query, rare, bounds[some + 1]):
-                q[term[at:end] - self.common] = weight[at:end]
-            for i, dot, end in zip(some, query @ matrix, rare):
-                at = slice(bounds[i], end)
-                a, b = self.start[term[at]], self.start[term[at] + 1]
-                if len(a):
-                    parts = [slice(*x) for x in zip(a.tolist(), b.tolist())]
-                    example = np.concatenate([self.example[x] for x in parts])
-                    part = np.concatenate([self.weight[x] for x in parts])
-                    part *= np.repeat(weight[at], b - a)
-                    dot += np.bincount(example, part, len(dot))
-                if skip is not None:
-                    dot[np.searchsorted(self.ids, skip[i])] = 0
+            count = bounds[some + 1] - bounds[some]
+            at = (np.arange(int(count.sum()))
+                  + np.repeat(bounds[some] - (np.cumsum(count) - count), count))
+            dots = self._dots(np.repeat(np.arange(len(some)), count), term[at], weight[at], len(some),
+                              k, [place[skip[i]] for i in some] if skip is not None else None)
+            for i, dot in zip(some, dots):
                 least = np.partition(dot, -k)[-k] - 1e-9 if len(dot) > k else 0
-                best = np.flatnonzero((dot >= least) & (dot > 0))
+                best = np.flatnonzero((dot >= least) & (dot > 1e-12))
                 cosine = dot[best]
                 top = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
                 yield i, best[top], cosine[top]
@@ -233,114 +282,82 @@ def fit_curve(votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Toxicity:
     """Examples, index and curve learnt from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    A text that is null, empty or shares no term with an example has no neighbours; its
-    vote is the base rate of the examples. Without labelled rows the base rate is 0 and every
-    score is the same. Rows that repeat a doc_id, or have none, are scored one by one. Labels,
-    lang, source and doc_id are no part of a score. The terms of two documents or more and the
-    terms of the examples are broadcast.
+    Examples are at most ``examples`` labelled rows that are not held out, those of smallest id hash,
+    of at most ``EXAMPLE_CHARS`` code points. A text that is null, empty or shares no term with an
+    example has no neighbours; its vote is the base rate of the examples. Without labelled rows the base rate is 0
+    and every score is the same. Rows that repeat a doc_id, or have none, are scored one by one;
+    equal texts of a batch are searched once. Labels, lang, source and doc_id are no part of a
+    score. Only the examples' terms reach the driver and are broadcast.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
                  neighbours: int = NEIGHBOURS, cut: float = CUT):
-        self.k, self.cut = neighbours, cut
-        spark = docs.sparkSession
-        rows = written(training_rows(docs, labels, "toxic", examples), "toxic_examples")
-        sizes = rows.groupBy("y").count().collect()
-        n = {r["y"]: r["count"] for r in sizes}
-        toxic, clean = n.get(1, 0), n.get(0, 0)
-        self.base = toxic / max(1, toxic + clean)
-        terms, df = self._counts(docs, 2)
-        held = {"terms": terms, "df": df, "rows": docs.count()}
-        self.held = spark.sparkContext.broadcast(held)
-        self.index = spark.sparkContext.broadcast(vars(self._index(rows)))
+        self.k, self.cut, self.key = neighbours, cut, uuid.uuid4().hex
+        short = docs.filter(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)) <= EXAMPLE_CHARS)
+        rows = written(training_rows(short, labels, "toxic", examples), "toxic_examples")
+        parts = self._learnt(rows)
+        toxic = int(parts["y"].sum())
+        self.base = toxic / max(1, len(parts["y"]))
+        self.index = docs.sparkSession.sparkContext.broadcast(parts)
         self.curve = (1.0, 0.0)
-        if toxic and clean:
+        if 0 < toxic < len(parts["y"]):
             at = self._scored(rows.select("doc_id", "text", "y"), leave_out=True)
             got = at.select("raw", "y").collect()  # at most ``examples`` rows
             self.curve = fit_curve(np.array([r["raw"] for r in got]),
                                    np.array([r["y"] for r in got], float))
 
     @staticmethod
-    def _counts(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of ``least`` documents or more, in order, and the number of their documents."""
-        counted = (docs.select(F.col("text").cast("string").alias("text"))
-                   .mapInArrow(_document_counts, "term long, n long")
-                   .groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-        got = counted.mapInArrow(_packed, "terms binary, n binary").collect()
-        terms = np.frombuffer(b"".join(r["terms"] for r in got), np.uint64)
-        n = np.frombuffer(b"".join(r["n"] for r in got), np.int64)
-        order = np.argsort(terms)
-        return terms[order], n[order].astype(np.int32)
-
-    def _index(self, rows: DataFrame) -> Index:
-        index = Index(*self._counts(rows, 1))
-        held = self.held
-        known = rows.sparkSession.sparkContext.broadcast(vars(index).copy())
-
+    def _learnt(rows: DataFrame) -> dict:
         def run(batches):
-            ix = Index.of(known.value)
             for batch in batches:
-                for lo, hi, row, term in _ranges(batch):
-                    values, row, place, n = _counted(row, term)
-                    w = (1 + np.log(n)) * idf(values, held.value)[place]
-                    norm = np.sqrt(np.bincount(row, w * w, hi - lo))
-                    t = ix.places(values).astype(np.int32)[place]
+                for lo, hi, values, row, place, n in _ranges(batch.column("text")):
                     at = np.searchsorted(row, np.arange(hi - lo + 1))
+                    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(lo, hi - lo),
-                         batch.column("y").slice(lo, hi - lo),
-                         *(pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
-                           for x in (t, n.astype(np.int32))), pa.array(norm)],
-                        names=["doc_id", "y", "t", "n", "norm"])
-
-        # At most ``examples`` rows, a partition at a time, by id.
-        got = (rows.orderBy("doc_id").mapInArrow(run, "doc_id long, y int, t binary, n binary, norm double")
-               .toLocalIterator())
-        ids, y, size, norm, end = [], [], [], [], 0
-        term, n = np.empty(index.start[-1], np.int32), np.empty(index.start[-1], np.int32)
-        for r in got:
-            t = np.frombuffer(r["t"], np.int32)
-            at = slice(end, end + len(t))
-            term[at], n[at] = t, np.frombuffer(r["n"], np.int32)
-            norm.append(r["norm"])
+                        [batch.column("doc_id").slice(lo, hi - lo), batch.column("y").slice(lo, hi - lo),
+                         cut(values[place]), cut(n.astype(np.int32))],
+                        names=["doc_id", "y", "t", "n"])
+
+        # At most ``examples`` rows of bounded length, a partition at a time.
+        ids, y, term, n = [], [], [], []
+        for r in rows.mapInArrow(run, "doc_id long, y int, t binary, n binary").toLocalIterator():
             ids.append(r["doc_id"])
             y.append(r["y"])
-            size.append(len(t))
-            end += len(t)
-        ids, y, size = np.array(ids, np.int64), np.array(y, float), np.array(size, np.int64)
-        index.fill(ids, y, size, term, n, np.array(norm, float), idf(index.hashes, held.value))
-        return index
+            term.append(np.frombuffer(r["t"], np.uint64))
+            n.append(np.frombuffer(r["n"], np.int32))
+        size = np.array([len(t) for t in term], np.int64)
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        return learnt(np.array(ids, np.int64), np.array(y, float), size,
+                      joined(term, np.uint64), joined(n, np.int32))
 
     def _scored(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
-        index, held, k, base = self.index, self.held, self.k, self.base
+        key, index, k, base = self.key, self.index, self.k, self.base
         keep = [c for c in rows.columns if c != "text"]
         schema = (rows.select(*keep).schema.add("raw", "double")
                   .add("evidence", ArrayType(LongType())).add("cosines", ArrayType(DoubleType())))
 
         def run(batches):
-            ix = Index.of(index.value)
-            matrix = ix.matrix()
+            ix = Index.here(key, index)
             for batch in batches:
+                texts, at = batch.column("text").fill_null(""), None
                 ids = batch.column("doc_id").to_pylist() if leave_out else None
-                for lo, hi, row, term in _ranges(batch):
-                    values, row, place, n = _counted(row, term)
-                    w = (1 + np.log(n)) * idf(values, held.value)[place]
-                    w = w / np.sqrt(np.bincount(row, w * w, hi - lo))[row]
-                    t = ix.places(values)[place]
-                    row, t, w = row[t >= 0], t[t >= 0], w[t >= 0]
-                    order = np.lexsort((t, row))
-                    row, t, w = row[order], t[order], w[order]
-                    bounds = np.searchsorted(row, np.arange(hi - lo + 1))
-                    raw, near, sims = np.full(hi - lo, base), [[]] * (hi - lo), [[]] * (hi - lo)
-                    for i, best, cosine in ix.nearest(matrix, bounds, t, w, k,
-                                                      ids[lo:hi] if ids else None):
-                        raw[i] = vote(ix.y[best], cosine, base)
-                        near[i], sims[i] = ix.ids[best].tolist(), cosine.tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(c).slice(lo, hi - lo) for c in keep),
-                         pa.array(np.clip(raw, 1e-6, 1 - 1e-6)), pa.array(near, pa.list_(pa.int64())),
-                         pa.array(sims, pa.list_(pa.float64()))],
-                        names=[*keep, "raw", "evidence", "cosines"])
+                if not leave_out:
+                    coded = texts.dictionary_encode()
+                    texts, at = coded.dictionary, coded.indices
+                raw = np.full(len(texts), base)
+                near, sims = [[]] * len(texts), [[]] * len(texts)
+                for lo, hi, values, row, place, n in _ranges(texts):
+                    found = ix.nearest(*ix.weighted(hi - lo, values, row, place, n), k,
+                                       ids[lo:hi] if leave_out else None)
+                    for i, best, cosine in found:
+                        raw[lo + i] = vote(ix.y[best], cosine, base)
+                        near[lo + i], sims[lo + i] = ix.ids[best].tolist(), cosine.tolist()
+                out = [pa.array(np.clip(raw, 1e-6, 1 - 1e-6)), pa.array(near, pa.list_(pa.int64())),
+                       pa.array(sims, pa.list_(pa.float64()))]
+                if at is not None:
+                    out = [x.take(at) for x in out]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out],
+                                                 names=[*keep, "raw", "evidence", "cosines"])
 
         return rows.mapInArrow(run, schema)
 
