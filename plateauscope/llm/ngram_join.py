@@ -32,6 +32,7 @@ PARTNERS = (1, 4, 8)  # partners a set gets in each round
 LAGS = 64
 NEVER = 2 ** 31 - 1
 HELD = 256  # sets a block of a large subtree
+ODD = 1 << 62  # nodes of rows whose doc_id has several texts lie above, doc_ids that are nodes below
 _TOP = np.uint64(1) << np.uint64(62)
 
 
@@ -350,8 +351,9 @@ class NgramJoin:
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer than
     ``width`` words is one shingle; without words or null it has none and links with nothing.
-    Rows that repeat a doc_id are one node; a row without doc_id has no node and keeps its
-    component null. Other columns are ignored.
+    Rows that repeat a doc_id are one document: where their texts differ, the components of all its
+    texts are one. A row without doc_id has no node and keeps its component null. Other columns
+    are ignored.
     """
 
     def __init__(self, docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH):
@@ -361,8 +363,17 @@ class NgramJoin:
         run, schema = _summarise(width)
         summary = written(self.docs.mapInArrow(run, schema), "shingles", by=["kind"])
         self.rows = summary.filter("kind = 0").select("doc_id", "n", "s1", "s2")
+        # A doc_id of several sets is no node itself: each of its sets is.
+        odd = written(self.rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b"))
+            .filter((F.col("a") != F.col("b")) | (F.col("doc_id") >= ODD)).select("doc_id"), "odd")
+        self.odd = None if odd.isEmpty() else odd
+        nodes = self.rows.withColumn("node", F.col("doc_id"))
+        if self.odd is not None:
+            nodes = (self.rows.join(self.odd, "doc_id", "left_anti").withColumn("node", F.col("doc_id"))
+                     .unionByName(self._odd_rows().select("doc_id", "n", "s1", "s2", "node")))
         self.classes = written(
-            self.rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+            nodes.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("rep"))
             .filter("rep IS NOT NULL"), "classes")
         common = (summary.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("c"))
                   .filter(F.col("c") >= FREQUENT))
@@ -371,6 +382,10 @@ class NgramJoin:
         rank = top.select("s1").toArrow().column(0).to_numpy()[::-1].copy().view(np.uint64)
         self.order = docs.sparkSession.sparkContext.broadcast(rank)
 
+    def _odd_rows(self) -> DataFrame:
+        """(doc_id, n, s1, s2, node) of the rows whose doc_id has several sets."""
+        return self.rows.join(self.odd, "doc_id").withColumn("node", _odd_node())
+
     def _members(self) -> DataFrame:
         """(token, id, n, pos): the sets below each shingle that two or more sets store."""
         run, schema = _prefixes(self.order, self.width, self.num, self.den)
@@ -392,7 +407,7 @@ class NgramJoin:
     def _tokens(self, members: DataFrame) -> DataFrame:
         """(id, toks): the ordered shingles of every set that is a member of some subtree."""
         order, width = self.order, self.width
-        schema = pa.schema([("id", pa.int64()), ("toks", pa.list_(pa.int64()))])
+        names = ["doc_id", "s1", "s2", "toks"]
 
         def run(batches):
             at = Order(order.value)
@@ -401,12 +416,19 @@ class NgramJoin:
                     value = _ordered(at, bounds, h).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").slice(lo, hi - lo),
+                         *map(pa.array, _signature(bounds, h)),
                          pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)),
-                                                  pa.array(value))], schema=schema)
-
-        wanted = members.select(F.col("id").alias("doc_id")).distinct()
-        docs = self.docs.join(wanted, "doc_id", "left_semi")
-        return docs.mapInArrow(run, "id long, toks array<long>")
+                                                  pa.array(value))], names=names)
+
+        schema = "doc_id long, s1 long, s2 long, toks array<long>"
+        wanted = members.select("id").distinct()
+        docs = self.docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        if self.odd is None:
+            return docs.mapInArrow(run, schema).select(F.col("doc_id").alias("id"), "toks")
+        plain = docs.join(self.odd, "doc_id", "left_anti").mapInArrow(run, schema)
+        odd = (self.docs.join(self.odd, "doc_id", "left_semi").mapInArrow(run, schema)
+               .withColumn("id", _odd_node()).dropDuplicates(["id"]).join(wanted, "id", "left_semi"))
+        return plain.select(F.col("doc_id").alias("id"), "toks").unionByName(odd.select("id", "toks"))
 
     def _check(self, pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
         run, schema = _verify(self.num, self.den)
@@ -509,23 +531,88 @@ class NgramJoin:
         self.label = label
         return done.filter("linked").select("u", "v")
 
+    def _homes(self) -> DataFrame:
+        """(s1, s2, n, root): the smallest node that links reach from each class."""
+        return (self.classes.join(self.label, self.classes["rep"] == self.label["node"], "left")
+                .select("s1", "s2", "n", F.coalesce("root", "rep").alias("root")))
+
     def components(self) -> DataFrame:
-        """A row per document: doc_id, n_shingles, component_id, s1, s2."""
+        """A row per row of the documents: doc_id, n_shingles, component_id."""
         self.links()
-        home = (self.classes.join(self.label, self.classes["rep"] == self.label["node"], "left")
-                .select("s1", "s2", "n", F.coalesce("root", "rep").alias("component_id")))
+        key = ["s1", "s2", "n"]
         # A root is the smallest representative, and a representative the smallest doc_id.
-        return (self.rows.join(home, ["s1", "s2", "n"], "left")
-                .select("doc_id", F.col("n").alias("n_shingles"),
-                        F.when(F.col("doc_id").isNotNull(),
-                               F.coalesce("component_id", "doc_id")).alias("component_id")))
+        home = self._homes().withColumn("component_id", F.col("root"))
+        if self.odd is not None:
+            # The roots of one document's texts are one, and its doc_id counts where its node does not.
+            at = written(self._odd_rows().join(home, key).select("doc_id", "root"), "odd_roots")
+            star = at.join(at.groupBy("doc_id").agg(F.min("root").alias("v")), "doc_id").select(
+                F.col("root").alias("u"), "v")
+            joined = connected(star).select(F.col("node").alias("root"), F.col("root").alias("last"))
+            least = (at.join(joined, "root", "left").withColumn("last", F.coalesce("last", "root"))
+                     .groupBy("last").agg(F.min("doc_id").alias("low")))
+            last = (at.select("root").distinct().join(joined, "root", "left")
+                    .withColumn("last", F.coalesce("last", "root")).join(least, "last")
+                    .withColumn("low", F.when(F.col("last") < ODD, F.least("low", "last"))
+                                .otherwise(F.col("low"))).select("root", "low"))
+            home = (home.join(last, "root", "left")
+                    .withColumn("component_id", F.coalesce("low", "root")))
+        home = home.select(*key, "component_id")
+        found = self.rows.join(home, key, "left")
+        if self.odd is not None:
+            # A row without shingles goes with the other texts of its document.
+            low = (found.join(self.odd, "doc_id").groupBy("doc_id")
+                   .agg(F.min("component_id").alias("low")))
+            found = found.join(low, "doc_id", "left").withColumn(
+                "component_id", F.coalesce("component_id", "low"))
+        return found.select("doc_id", F.col("n").alias("n_shingles"),
+                            F.when(F.col("doc_id").isNotNull(),
+                                   F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+    def spare(self) -> tuple[DataFrame, DataFrame | None]:
+        """Rows that another stands for: by doc_id, and by (doc_id, s1, s2) where that has several sets."""
+        self.links()
+        home = self._homes()
+        rows = self.rows if self.odd is None else self.rows.join(self.odd, "doc_id", "left_anti")
+        plain = (rows.join(home, ["s1", "s2", "n"]).filter("doc_id <> root").select("doc_id").distinct())
+        if self.odd is None:
+            return plain, None
+        odd = (self._odd_rows().join(home, ["s1", "s2", "n"]).filter("node <> root")
+               .select("doc_id", "s1", "s2").distinct())
+        return plain, odd
+
+
+def _odd_node():
+    """Node of a set of a document that has several."""
+    return F.lit(ODD) + F.pmod(F.xxhash64("doc_id", "s1", "s2"), F.lit(ODD))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs``, all columns, with one document of each component: that of smallest doc_id.
+    """``docs``, all columns, with one document of each family of linked texts: that of smallest doc_id.
 
-    Rows that repeat that doc_id stay together; rows without doc_id all stay.
+    Rows of that doc_id and text stay together; rows without doc_id or without words all stay. Of a
+    doc_id that has several texts, each text is a document of its own here, so that no text is lost
+    because another one of its doc_id is a copy.
     """
-    rest = (NgramJoin(docs, **options).components().filter("doc_id <> component_id")
-            .select("doc_id").distinct())
-    return docs.join(rest, "doc_id", "left_anti").select(docs.columns)
+    join = NgramJoin(docs, **options)
+    rest, odd = join.spare()
+    names = docs.columns
+    if odd is None:
+        return docs.join(rest, "doc_id", "left_anti").select(names)
+    width = join.width
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                         F.struct(*map(F.col, names)).alias("_row"))
+    schema = packed.select("doc_id", "_row").schema.add("s1", "long").add("s2", "long")
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, bounds, h in _sets(batch, width):
+                s1, s2 = _signature(bounds, h)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "_row")),
+                     pa.array(s1), pa.array(s2)], names=["doc_id", "_row", "s1", "s2"])
+
+    plain = packed.join(join.odd, "doc_id", "left_anti").join(rest, "doc_id", "left_anti")
+    several = (packed.join(join.odd, "doc_id", "left_semi").mapInArrow(run, schema)
+               .join(odd, ["doc_id", "s1", "s2"], "left_anti"))
+    return plain.select("_row").unionByName(several.select("_row")).select(
+        *(F.col("_row")[c].alias(c) for c in names))

@@ -438,6 +438,24 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def test_no_text_is_lost_where_a_doc_id_repeats(spark):
+    rng = random.Random(30)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, f"{b} more"), (9, b), (9, ""), (11, c), (11, c), (12, c),
+            (13, c), (13, None), (2 ** 62 + 5, a), (2 ** 62 + 6, sentence(rng, 30)), (20, "x"), (4, "x"), (4, "y")]
+    got = {}
+    for r in ngram_join.NgramJoin(table(spark, rows, True)).components().collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == {3: {3}, 5: {3}, 7: {3}, 9: {3}, 11: {11}, 12: {11}, 13: {11}, 2 ** 62 + 5: {3},
+                   2 ** 62 + 6: {2 ** 62 + 6}, 20: {4}, 4: {4}}
+    kept = ngram_join.one_of_each(table(spark, rows, True))
+    assert kept.columns == table(spark, rows, True).columns
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    texts = Counter(t for _, t in left)
+    assert texts == {a: 1, f"{b} more": 1, c: 2, "": 1, None: 1, rows[12][1]: 1, "x": 1, "y": 1}
+    assert (3, a) in left and (11, c) in left
+
+
 def test_pipeline_stages(spark, rows, tmp_path):
     docs, labels = labelled(spark, 60, "vile")
     docs = [(10_000 + i, t) for i, t in docs] + [r for r in rows if r[0] != 211]
