@@ -8,6 +8,7 @@ from plateauscope.operators import plateau as P
 from plateauscope.operators import quality as Q
 from plateauscope.operators import space as S
 from plateauscope.operators.ordering import with_ranks
+from plateauscope.plans import relations as RL
 
 from .base import audit, register
 from .sweep_sql import chain
@@ -245,6 +246,38 @@ def d9(spark, sf):
     return audit(spark, sf).edges
 
 
+_Z = [f"z{i}" for i in range(10)]
+_CODE = "CAST(flag AS BIGINT)"
+for _z, _n in zip(_Z, RL.SPARSE_LEVELS):
+    _CODE = f"({_CODE}*{_n}+{_z})"
+_SPARSE = f"""WITH pts AS (SELECT *, {_CODE} id FROM (SELECT DISTINCT
+  instr('ANR', l_returnflag) flag, CAST(round(l_discount*100) AS INT) z0,
+  CAST(round(l_tax*100) AS INT) z1, CAST(floor((l_quantity-1)/10) AS INT) z2, l_linenumber-1 z3,
+  quarter(l_shipdate)-1 z4, isodow(l_shipdate)-1 z5, year(l_shipdate)%7 z6, l_suppkey%5 z7,
+  l_partkey%5 z8, CAST(least(floor(l_extendedprice/20000), 5) AS INT) z9 FROM lineitem)),
+ moves AS (SELECT -1 axis, 0 by_ UNION ALL SELECT * FROM range(0,5) a(axis), (VALUES (-1),(1)) b(by_)),
+"""
+
+
+def _near_half(axes: list[str]) -> str:
+    """Pairs whose points differ by one step at most on five of the axes."""
+    moved = " AND ".join(f"b.{z} = a.{z} + CASE WHEN axis={i} THEN by_ ELSE 0 END"
+                         for i, z in enumerate(axes))
+    dist = "+".join(f"abs(a.{z}-b.{z})" for z in _Z)
+    return (f"SELECT a.flag, a.id src, b.id dst, {dist} dist FROM pts a CROSS JOIN moves "
+            f"JOIN pts b ON a.flag=b.flag AND {moved} WHERE a.id <> b.id AND {dist} <= 3")
+
+
+@register("d9_sparse_neighbours", "block:i src:i dst:i dist:i",
+          "SELECT flag AS block, src, dst, dist FROM near", _SPARSE
+          + f"near AS ({_near_half(_Z[:5])} UNION {_near_half(_Z[5:])})\n")
+def d9_sparse(spark, sf):
+    from plateauscope.plans.stages import stage
+    cells = RL.sparse_cells(spark, sf).withColumn("flag", F.get("block", F.lit(0)))
+    rings = [S.edges_at(cells, r, 10, stage, "flag") for r in (1, 2, 3)]
+    return rings[0].unionByName(rings[1]).unionByName(rings[2]).withColumn("block", F.col("src_flag"))
+
+
 @register("d10_adaptive_radius", "study_id:s cells:i radius:i median_support:d locality_cap:i",
           "SELECT * FROM radius", chain("radius"))
 def d10(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ TARGET_SUPPORT = 8
 MIN_SUPPORT = 4
 MAX_LOCAL_SHARE = 0.05
 MAX_RADIUS = 3
+BALL = 40  # cells of a half ball that are probed without weighing other ways
 SENSITIVITY_FLOOR = 0.12
 MIN_LEVEL_ROWS = 3
 MIN_CONDITIONAL_GROUPS = 5
@@ -216,6 +219,126 @@ def ring_edges(cells: DataFrame, radius: int, *payload: str) -> DataFrame:
                     *[F.col(f"e.pb.{c}").alias(f"dst_{c}") for c in payload])
 
 
+def ring_size(axes: Column, radius: int) -> Column:
+    """Number of integer points at Manhattan distance exactly ``radius`` from a cell."""
+    if radius == 0:
+        return F.lit(1.0)
+    total, choose = F.lit(0.0), F.lit(1.0)
+    for k in range(1, radius + 1):  # k axes move: their choice, their signs, the parts of radius
+        choose = choose * F.greatest(axes - (k - 1), F.lit(0)) / k
+        total = total + choose * 2.0 ** k * math.comb(radius - 1, k - 1)
+    return total
+
+
+def _parts(parts: Column, radius: int) -> Column:
+    """Runs of axes of the column ``cell``: (part, key, slack), the slacks adding up to radius + 1 - parts.
+
+    If two cells are within ``radius``, some part of theirs is within its slack: were each
+    part's distance above its slack, they would add up to more than the radius.
+    """
+    axes = F.size("cell")
+    cut = lambda g, n: F.floor(g * n / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda g: F.struct(
+        g.alias("part"),
+        F.slice("cell", cut(g, axes) + 1, cut(g + 1, axes) - cut(g, axes)).alias("key"),
+        (cut(g + 1, F.lit(radius + 1)) - cut(g, F.lit(radius + 1)) - 1).alias("slack")))
+
+
+def _within(key: Column, slack: Column, most: int) -> Column:
+    """All keys within Manhattan distance ``slack`` (at most ``most``) of ``key``."""
+    shells = [F.array(key)]
+    for k in range(1, most + 1):
+        half = F.coalesce(ball(F.size(key), k), F.array().cast("array<array<int>>"))
+        moved = lambda sign: F.transform(half, lambda o: F.zip_with(
+            key, o, lambda x, d: x + sign * d))
+        shells.append(F.when(slack >= k, F.concat(moved(1), moved(-1)))
+                      .otherwise(F.array().cast("array<array<int>>")))
+    return F.flatten(F.array(*shells))
+
+
+def _l1(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
+
+
+def pigeonhole_edges(cells: DataFrame, radius: int, parts: int | Column, *payload: str) -> DataFrame:
+    """The edges of :func:`ring_edges` by equality of parts, for sparse spaces of many axes.
+
+    The axes fall into ``parts`` runs, from 2 to ``radius + 1``. With ``radius + 1`` of them, cells
+    within the radius agree on one run, so every cell probes that many keys, whatever the number
+    of axes; with fewer, longer runs are more selective and the cell also probes the keys within the
+    slack of a run. Candidates are checked on all axes, and a pair counts in its first run.
+    """
+    parts = F.lit(parts) if isinstance(parts, int) else parts
+    own = cells.select("study_id", "block", "cell", F.col("row_idx").alias("a"),
+                       F.struct(F.lit(0).alias("_"), *payload).alias("pa"), parts.alias("_n"),
+                       F.explode(_parts(parts, radius)).alias("_p"))
+    probe = own.select("study_id", "block", F.col("_p.part").alias("part"), "a", "pa",
+                       F.col("cell").alias("cell_a"), F.explode(
+        _within(F.col("_p.key"), F.col("_p.slack"), radius // 2)).alias("key"))
+    other = own.select("study_id", "block", F.col("_p.part").alias("part"), F.col("a").alias("b"),
+                       F.col("pa").alias("pb"), F.col("cell").alias("cell_b"),
+                       F.col("_p.key").alias("key"), "_n")
+    first = F.forall(F.sequence(F.lit(0), F.col("part")), lambda g: (g == F.col("part")) | (
+        _l1(*(F.slice(c, F.floor(g * F.size(c) / F.col("_n")).cast("int") + 1,
+                      (F.floor((g + 1) * F.size(c) / F.col("_n"))
+                       - F.floor(g * F.size(c) / F.col("_n"))).cast("int"))
+              for c in ("cell_a", "cell_b")))
+        > F.floor((g + 1) * (radius + 1) / F.col("_n")) - F.floor(g * (radius + 1) / F.col("_n")) - 1))
+    pairs = (probe.join(other, ["study_id", "block", "part", "key"])
+             .filter((F.col("a") < F.col("b")) & (_l1(F.col("cell_a"), F.col("cell_b")) == radius))
+             .filter(first))
+    both = F.explode(F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("pa"), F.col("pb")),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("pb").alias("pa"),
+                 F.col("pa").alias("pb"))))
+    e = pairs.select("study_id", both.alias("e"))
+    return e.select("study_id", "e.src", "e.dst", F.lit(radius).alias("dist"),
+                    *[F.col(f"e.pa.{c}").alias(f"src_{c}") for c in payload],
+                    *[F.col(f"e.pb.{c}").alias(f"dst_{c}") for c in payload])
+
+
+def probe_plan(cells: DataFrame, radius: int) -> DataFrame:
+    """(study_id, parts) of the cheapest way to the ring of each study; 0 = probe the half ball.
+
+    The cost of a number of parts is its probes and its candidates, the squares of the sizes of the
+    groups that share a key, counted with map-side combine; that of the ball is its probes.
+    Every way gives the same edges.
+    """
+    axes = F.size("cell")
+    ways = F.explode(F.flatten(F.array(*[
+        F.when(axes >= m, F.transform(_parts(F.lit(m), radius), lambda p: F.struct(
+            F.lit(m).alias("parts"), p["part"].alias("part"), p["key"].alias("key"),
+            p["slack"].alias("slack")))).otherwise(F.array().cast(
+                "array<struct<parts:int,part:int,key:array<int>,slack:int>>"))
+        for m in range(2, radius + 2)])))
+    keys = cells.select("study_id", "block", ways.alias("w")).select("study_id", "block", "w.*")
+    sizes = keys.groupBy("study_id", "block", "parts", "part", "key", "slack").agg(
+        F.count(F.lit(1)).alias("c"))
+    probes = sum((F.when(F.col("slack") >= k, ring_size(F.size("key"), k)).otherwise(0.0)
+                  for k in range(1, radius // 2 + 1)), F.lit(1.0))
+    cost = sizes.groupBy("study_id", "parts").agg(
+        F.sum(probes * F.col("c") * (1 + F.col("c") / 2)).alias("cost"))
+    whole = cells.groupBy("study_id").agg(
+        F.sum(ring_size(axes, radius)).alias("cost")).withColumn("parts", F.lit(0))
+    return (cost.unionByName(whole.select(cost.columns)).groupBy("study_id")
+            .agg(F.min_by("parts", F.struct("cost", "parts")).alias("parts")))
+
+
+def edges_at(cells: DataFrame, radius: int, axes: int, stage, *payload: str) -> DataFrame:
+    """Edges at L1 distance ``radius``, each study by its cheapest way.
+
+    ``axes`` is the largest number of axes. Half balls of up to ``BALL`` cells are probed without
+    counting anything.
+    """
+    size = sum(math.comb(axes, k) * 2 ** k * math.comb(radius - 1, k - 1) for k in range(1, radius + 1))
+    if size // 2 <= BALL:
+        return ring_edges(cells, radius, *payload)
+    plan = stage(probe_plan(cells, radius), f"probes{radius}")
+    at = attach(cells, plan, ["study_id"], "inner", "row_idx")
+    return ring_edges(at.filter("parts = 0"), radius, *payload).unionByName(
+        pigeonhole_edges(at.filter("parts > 0"), radius, F.col("parts"), *payload))
+
+
 def support(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """Number of neighbours of every cell, zero included."""
     n = edges.groupBy("study_id", F.col("src").alias("row_idx")).agg(
@@ -237,26 +360,27 @@ def neighbourhood(cells: DataFrame, stage, *payload: str, target: int = TARGET_S
     n = cells.groupBy("study_id").agg(F.count(F.lit(1)).alias("cells"),
                                       F.max(F.size("cell")).alias("axes"))
     cap = F.greatest(F.lit(min_support), F.floor(F.col("cells") * local_share))
-    n = n.select("study_id", "cells", cap.cast("long").alias("locality_cap"),
+    n = n.select("study_id", "cells", "axes", cap.cast("long").alias("locality_cap"),
                  (F.col("axes") > 0).alias("_axes"))
     edges = stage(ring_edges(cells, 1, *payload), "ring1")
     med = quantiles(support(cells, edges), ["study_id"], "support", {"median_support": 0.5})
     state = stage(n.join(med, "study_id", "left").select(
-        "study_id", "cells", "locality_cap",
+        "study_id", "cells", "locality_cap", "axes",
         F.when(F.col("_axes"), 1).otherwise(0).alias("radius"), "median_support",
         (F.col("_axes") & (F.col("median_support") < target)).alias("open")), "radius1")
     for r in range(2, max_radius + 1):
-        if state.filter("open").isEmpty():
+        axes = state.filter("open").agg(F.max("axes")).first()[0]
+        if axes is None:
             break
         todo = attach(cells, state.filter("open").select("study_id"), ["study_id"], "inner",
                       "row_idx")
-        ring = stage(ring_edges(todo, r, *payload), f"ring{r}")
+        ring = stage(edges_at(todo, r, axes, stage, *payload), f"ring{r}")
         wider = edges.select("study_id", "src").unionByName(ring.select("study_id", "src"))
         med = quantiles(support(todo, wider), ["study_id"], "support", {"wider": 0.5})
         state = state.join(med, "study_id", "left").withColumn(
             "_take", F.col("open") & (F.col("wider") <= F.col("locality_cap")))
         state = stage(state.select(
-            "study_id", "cells", "locality_cap",
+            "study_id", "cells", "locality_cap", "axes",
             F.when(F.coalesce("_take", F.lit(False)), r).otherwise(F.col("radius"))
             .alias("radius"),
             F.when(F.coalesce("_take", F.lit(False)), F.col("wider"))

@@ -178,3 +178,31 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("profit_cents"),
             (F.lit(1000000000).cast("long") + F.col("cum")).alias("balance_cents"))
     return memo(spark, (sf_dir, "deals"), build)
+
+
+SPARSE_LEVELS = (11, 9, 5, 7, 4, 7, 7, 5, 5, 6)
+
+
+def sparse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(study_id, block, cell, row_idx): distinct points of the lines in a space of ten axes.
+
+    Discount, tax, quantity band, line number, quarter, weekday, year, supplier, part and price
+    band; the return flag is the block. ``row_idx`` numbers the points of the whole space.
+    """
+    def build():
+        li = table(spark, sf_dir, "lineitem")
+        day = F.to_date("l_shipdate")
+        axes = [F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100),
+                F.floor((F.col("l_quantity") - 1) / 10), F.col("l_linenumber") - 1, F.quarter(day) - 1,
+                F.weekday(day), F.pmod(F.year(day), F.lit(7)), F.col("l_suppkey") % 5,
+                F.col("l_partkey") % 5, F.least(F.floor(F.col("l_extendedprice") / 20000), F.lit(5))]
+        axes = [a.cast("int").alias(f"z{i}") for i, a in enumerate(axes)]
+        flag = F.position(F.col("l_returnflag"), F.lit("ANR")).alias("flag")
+        points = li.select(flag, *axes).distinct()
+        code = F.col("flag").cast("long")
+        for i, n in enumerate(SPARSE_LEVELS):
+            code = code * n + F.col(f"z{i}")
+        return points.select(F.lit("lines").alias("study_id"), F.array("flag").alias("block"),
+                             F.array(*[f"z{i}" for i in range(len(axes))]).alias("cell"),
+                             code.alias("row_idx"))
+    return memo(spark, (sf_dir, "sparse_cells"), build)
