@@ -16,9 +16,6 @@ curve fitted on leave-one-out votes.
 
 from __future__ import annotations
 
-import sys
-import types
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +28,11 @@ from plateauscope.llm import tokens as T
 from plateauscope.llm.tables import written
 from plateauscope.llm.training import held_out, training_rows
 
-EXAMPLES = 4096  # labelled rows learnt from, at most
+EXAMPLES = 2048  # labelled rows learnt from, at most
 EXAMPLE_CHARS = 100_000  # longer labelled rows are not learnt from
 NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
-COMMON = 0.05  # share of the examples above which a term is common
+COMMON = 0.1  # share of the examples above which a term is common
 BATCH = 128  # queries searched at once
 CUT = 0.7
 PRIOR = 0.5  # weight of the base rate among the votes
@@ -174,17 +171,6 @@ class Index:
         self.dense = np.ascontiguousarray(dense.transpose(1, 0, 2))
         self.asked = self.looked = 0  # blocks of all queries, and those visited
 
-    @classmethod
-    def here(cls, key: str, parts) -> "Index":
-        """The index of this process: built once for the broadcast ``parts``."""
-        home = sys.modules.setdefault("_plateauscope_examples",
-                                      types.ModuleType("_plateauscope_examples"))
-        kept = home.__dict__.setdefault("kept", {})
-        if key not in kept:
-            kept.clear()
-            kept[key] = cls(parts.value)
-        return kept[key]
-
     def weighted(self, rows: int, values, row, place, n):
         """(bounds, term, weight): unit vectors of ``rows`` texts without the terms of no example."""
         at = np.minimum(np.searchsorted(self.hashes, values), max(0, len(self.hashes) - 1))
@@ -200,8 +186,9 @@ class Index:
         return np.searchsorted(row, np.arange(rows + 1)), term, w / norm[row]
 
     def _dots(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int,
-              without: list | None) -> np.ndarray:
-        """Cosines of ``m`` queries with every example of the blocks that may hold the k nearest."""
+              without: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of ``m`` queries with every example of the blocks that may hold the k nearest,
+        and the k-th of each query (0 where it has fewer)."""
         size = self.blocks * BLOCK
         common = term >= self.common
         q = np.zeros((m, len(self.most)))
@@ -216,7 +203,7 @@ class Index:
         bound = q @ self.most + rare.reshape(m, self.blocks, BLOCK).max(2) + 1e-9
         order = np.argsort(-bound, axis=1, kind="stable")
         falling = np.take_along_axis(bound, order, 1)
-        dots, least, at, wide = np.zeros((m, size)), np.full(m, 2e-9), 0, 2
+        dots, least, at, wide = np.zeros((m, size)), np.full(m, 2e-9), 0, 4
         self.asked += m * self.blocks
         while at < self.blocks:
             who, which = np.nonzero(falling[:, at:at + wide] >= least[:, None] - 1e-9)
@@ -231,8 +218,8 @@ class Index:
                 dots[who[some], here] = q[who[some]] @ self.dense[b] + rare[who[some], here]
             if size > k:
                 least = np.maximum(np.partition(dots, size - k, axis=1)[:, size - k], 2e-9)
-            at, wide = at + wide, 2 * wide
-        return dots
+            at, wide = at + wide, 3 * wide
+        return dots, least
 
     def nearest(self, bounds: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int,
                 skip: list | None = None):
@@ -248,10 +235,9 @@ class Index:
             count = bounds[some + 1] - bounds[some]
             at = (np.arange(int(count.sum()))
                   + np.repeat(bounds[some] - (np.cumsum(count) - count), count))
-            dots = self._dots(np.repeat(np.arange(len(some)), count), term[at], weight[at], len(some),
-                              k, [place[skip[i]] for i in some] if skip is not None else None)
-            for i, dot in zip(some, dots):
-                least = np.partition(dot, -k)[-k] - 1e-9 if len(dot) > k else 0
+            dots, kth = self._dots(np.repeat(np.arange(len(some)), count), term[at], weight[at], len(some),
+                                   k, [place[skip[i]] for i in some] if skip is not None else None)
+            for i, dot, least in zip(some, dots, kth - 1e-9):
                 best = np.flatnonzero((dot >= least) & (dot > 1e-12))
                 cosine = dot[best]
                 top = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
@@ -292,7 +278,7 @@ class Toxicity:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
                  neighbours: int = NEIGHBOURS, cut: float = CUT):
-        self.k, self.cut, self.key = neighbours, cut, uuid.uuid4().hex
+        self.k, self.cut = neighbours, cut
         short = docs.filter(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)) <= EXAMPLE_CHARS)
         rows = written(training_rows(short, labels, "toxic", examples), "toxic_examples")
         parts = self._learnt(rows)
@@ -331,13 +317,13 @@ class Toxicity:
                       joined(term, np.uint64), joined(n, np.int32))
 
     def _scored(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
-        key, index, k, base = self.key, self.index, self.k, self.base
+        index, k, base = self.index, self.k, self.base
         keep = [c for c in rows.columns if c != "text"]
         schema = (rows.select(*keep).schema.add("raw", "double")
                   .add("evidence", ArrayType(LongType())).add("cosines", ArrayType(DoubleType())))
 
         def run(batches):
-            ix = Index.here(key, index)
+            ix = Index(index.value)
             for batch in batches:
                 texts, at = batch.column("text").fill_null(""), None
                 ids = batch.column("doc_id").to_pylist() if leave_out else None
