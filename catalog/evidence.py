@@ -13,7 +13,7 @@ from .sweep_sql import chain
 
 def metrics(spark, sf):
     return memo(spark, (sf, "study_metrics"), lambda: V.metrics_frame(
-        audit(spark, sf), stage, repeats=200, shrink_reps=100))
+        audit(spark, sf), stage))
 
 
 @register("g1_findings", "study_id:s position:i code:s severity:s scope:s")

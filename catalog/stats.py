@@ -101,7 +101,7 @@ def f5(spark, sf):
   abs(is_to_oos-oos_to_is) asymmetry,
   CASE WHEN is_to_oos >= oos_to_is THEN 'is_to_oos' ELSE 'oos_to_is' END worst_direction FROM (
  SELECT study_id, max(p) FILTER (d=0) is_to_oos, max(p) FILTER (d=1) oos_to_is, any_value(n) n,
-  any_value(take) take, 200 AS repeats FROM (
+  any_value(take) take, 2000 AS repeats FROM (
   SELECT study_id, d, avg(CASE WHEN w < 0.5 THEN 1.0 ELSE 0 END) p, any_value(n) n,
    any_value(take) take FROM (
    SELECT study_id, d, rep, avg(CASE WHEN test < chosen THEN 1.0 ELSE 0 END) w, any_value(n) n,
@@ -114,10 +114,10 @@ def f5(spark, sf):
        CASE d WHEN 0 THEN oos_profit ELSE is_profit END test,
        {draw_sql(f"(CASE d WHEN 0 THEN {B.FRAGILITY_SEED} ELSE {B.FRAGILITY_SEED ^ B.REVERSE_MASK} END) + rep*7919", "row_idx+1")} u
       FROM (SELECT *, count(*) OVER (PARTITION BY study_id) n FROM cells WHERE known),
-       (VALUES (0),(1)) q(d), range(1, 201) z(rep) WHERE n >= 20)) WHERE k <= take)
+       (VALUES (0),(1)) q(d), range(1, 2001) z(rep) WHERE n >= 20)) WHERE k <= take)
     GROUP BY ALL) GROUP BY ALL) GROUP BY 1)""", chain("cells"))
 def f6(spark, sf):
-    return B.selection_fragility(B.criterion_pairs(audit(spark, sf).cells), repeats=200)
+    return B.selection_fragility(B.criterion_pairs(audit(spark, sf).cells), stage)
 
 
 @register("f7_decile_degradation", "study_id:s decile:i count:i is_median:d oos_median:d oos_q25:d",

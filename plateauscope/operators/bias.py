@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.numeric import (expected_maximum, max_quantile_z, sorted_quantile, uniform)
 from . import plateau as P
 from .ordering import attach, medians, quantiles, with_ranks
+from .selection import FRAGILITY_SEED, MIN_PAIRS, REVERSE_MASK, selection_fragility  # noqa: F401
 
 # Seeds of the resampling operators.
-FRAGILITY_SEED = 20260919
-REVERSE_MASK = 0x5BF03635
 THRESHOLD_SEED = 20260920
 GATE_SEED = 20260921
 SHRINK_SEED = 20261014
 PERTURBATION = 0.2
-MIN_PAIRS = 20
 SHARPE_MIN_TRADES = 30
 MIN_UNITS = 30
 MIN_BLOCKS = 10
@@ -55,60 +53,6 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, row: str = "row_idx
         F.count(F.lit(1)) >= 3, F.corr("_ra", "_rb")).alias("spearman"))
 
 
-def selection_fragility(pairs: DataFrame, repeats: int = 2000, fraction: float = 0.5,
-                        seed: int = FRAGILITY_SEED) -> DataFrame:
-    """How often the best of a random half falls under the median on the other period.
-
-    ``pairs``: study_id, row_idx, a, b. Each repeat samples the whole fraction without
-    replacement by keeping the rows with the smallest draws. Rows far above the expected
-    last draw are left out of the sort; a repeat that then lacks rows gets them back, so
-    the sample is exact.
-    """
-    ok = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select("study_id", "row_idx", "a", "b")
-    n = ok.groupBy("study_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAIRS)
-    take = F.greatest(F.lit(10), F.least(F.col("n") - 1, F.floor(F.col("n") * fraction))).cast("long")
-    n = n.select("study_id", "n", take.alias("take"), F.lit(repeats).alias("repeats")).withColumn(
-        "_limit", F.least(F.lit(1.0), (F.col("take") + 6 * F.sqrt("take") + 10) / F.col("n")))
-    r = attach(ok, n, ["study_id"], "inner", "row_idx")
-    r = r.withColumn("d", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "rep", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    stream = (F.when(F.col("d") == 0, F.lit(seed)).otherwise(F.lit(seed ^ REVERSE_MASK))
-              + F.col("rep").cast("long") * 7919)
-    r = r.withColumn("u", uniform(stream, F.col("row_idx") + 1))
-    near = r.filter(F.col("u") <= F.col("_limit"))
-    short = (near.groupBy("study_id", "d", "rep").agg(
-        F.count(F.lit(1)).alias("c"), F.first("take").alias("t")).filter("c < t")
-        .select("study_id", "d", "rep"))
-    r = near.unionByName(r.filter(F.col("u") > F.col("_limit")).join(
-        short, ["study_id", "d", "rep"], "left_semi").select(near.columns))
-    r = r.select("study_id", "d", "rep", "n", "take", "repeats", "row_idx", "u",
-                 F.when(F.col("d") == 0, F.col("a")).otherwise(F.col("b")).alias("train"),
-                 F.when(F.col("d") == 0, F.col("b")).otherwise(F.col("a")).alias("test"))
-    group = ["study_id", "d", "rep"]
-    w = Window.partitionBy(*group).orderBy("u", "row_idx")
-    r = r.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("take"))
-    r = r.withColumn("chosen", F.max_by("test", F.struct("train", -F.col("row_idx"))).over(
-        Window.partitionBy(*group)))
-    per = r.groupBy(*group).agg(F.avg((F.col("test") < F.col("chosen")).cast("int")).alias("w"),
-                                F.first("n").alias("n"), F.first("take").alias("take"),
-                                F.first("repeats").alias("repeats"))
-    way = per.groupBy("study_id", "d").agg(
-        F.avg((F.col("w") < 0.5).cast("int")).alias("p"), F.first("n").alias("n"),
-        F.first("take").alias("take"), F.first("repeats").alias("repeats"))
-    both = way.groupBy("study_id").agg(
-        F.max(F.when(F.col("d") == 0, F.col("p"))).alias("is_to_oos"),
-        F.max(F.when(F.col("d") == 1, F.col("p"))).alias("oos_to_is"),
-        F.first("n").alias("n"), F.first("take").alias("take"),
-        F.first("repeats").alias("repeats"))
-    worst = F.greatest("is_to_oos", "oos_to_is")
-    margin = 2 * F.sqrt(worst * (1 - worst) / F.col("repeats"))
-    return both.select("study_id", worst.alias("fragility"), margin.alias("margin"),
-                       "is_to_oos", "oos_to_is",
-                       F.abs(F.col("is_to_oos") - F.col("oos_to_is")).alias("asymmetry"),
-                       F.when(F.col("is_to_oos") >= F.col("oos_to_is"), "is_to_oos")
-                       .otherwise("oos_to_is").alias("worst_direction"), "n", "take", "repeats")
-
-
 def decile_degradation(pairs: DataFrame, bins: int = 10) -> DataFrame:
     """Medians of both periods per decile of the optimised value (floor boundaries)."""
     ok = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select("study_id", "row_idx", "a", "b")

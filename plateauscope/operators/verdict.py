@@ -244,8 +244,8 @@ def metrics_frame(audit, stage, repeats: int = 2000, search: DataFrame | None =
     best = a.plateaus.filter("rank = 1")
     by_quality = pairs.select("study_id", "row_idx", F.col("quality_is").alias("a"),
                               F.col("quality_oos").alias("b"))
-    frag = B.selection_fragility(pairs, repeats)
-    fragq = B.selection_fragility(by_quality, repeats)
+    frag = B.selection_fragility(pairs, stage, repeats)
+    fragq = B.selection_fragility(by_quality, stage, repeats)
     from .quality import evidence_density, gate_influence
     inert = gate_influence(a.cells, a.studies).groupBy("study_id").agg(
         F.max(F.col("inert") & (F.col("gate") != "profit")).alias("any_inert_gate"))
