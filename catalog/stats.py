@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from plateauscope.functions import numeric as N
 from plateauscope.operators import bias as B
+from plateauscope.operators import perturbation as E
 from plateauscope.operators import plateau as P
 from plateauscope.plans.stages import stage
 
 from .base import audit, register
-from .sweep_sql import chain
+from .sweep_sql import chain, draw_steps
 
 _imul = lambda a, b: (f"((({a}) * (({b}) & 65535) + (((({a}) & 65535) * (({b}) >> 16)) & 65535)"
                       f" * 65536) & 4294967295)")
@@ -253,11 +254,62 @@ RATES = ("study_id:s draws:i with_plateau:i same_region:i same_representative:i
          "region_rate:d representative_rate:d")
 
 
-@register("e25_threshold_stability", RATES)
+def _moved(value: float, i: int, key: str) -> str:
+    """A threshold of a draw: one at a time, then all at random."""
+    f = (f"CASE draw_id WHEN {2 * i} THEN 0.8 WHEN {2 * i + 1} THEN 1.2 ELSE 1.0 END")
+    rnd = draw_sql(str(E.THRESHOLD_SEED), f"(draw_id-14)*7+{i + 1}")
+    f = f"(CASE WHEN draw_id < 14 THEN {f} ELSE 0.8 + 0.4*{rnd} END)"
+    return f"{f'1-(1-{value})*{f}' if key == 'min_frac_pass' else f'{value}*{f}'} AS {key}"
+
+
+_T0 = P.Thresholds()
+draw_steps("t_", f"""SELECT draw_id, {', '.join(_moved(float(getattr(_T0, k)), i, k) for i, k in enumerate(E.KEYS))}
+ FROM range(0, {14 + E.JOINT_DRAWS}) q(draw_id)""", """
+ SELECT study_id, draw_id, row_idx, rob.score, support, min_size,
+  coalesce(q25 >= core_quality AND robust >= core_robust, false) core, ok
+ FROM rob JOIN (SELECT study_id, row_idx, known AND len(fails_oos)=0 AS ok FROM cells) c
+  USING (study_id, row_idx), t_draws d
+ WHERE passes AND support >= min_support AND q25 >= floor_quality AND frac_pass >= min_frac_pass
+  AND robust >= min_robust""")
+
+
+def _factor(i: int, name: str) -> str:
+    rnd = draw_sql(str(E.GATE_SEED), f"(draw_id-6)*3+{i + 1}")
+    return (f"CASE WHEN draw_id = {i} THEN 0.8 WHEN draw_id = {3 + i} THEN 1.2 WHEN draw_id < 6 THEN 1.0 "
+            f"ELSE 0.8 + 0.4*{rnd} END AS {name}")
+
+
+def _gate(p: str, trades: str) -> str:
+    """Whether a period passes the moved gates; a missing metric never fails."""
+    return (f"(NOT coalesce({p}_profit <= 0, false) AND NOT coalesce({p}_profit_factor < 1+(1.2-1)*f_pf, false)"
+            f" AND NOT coalesce({p}_drawdown > 20*f_dd, false) AND NOT coalesce({p}_trades < {trades}*f_tr, false))")
+
+
+draw_steps("g_", f"""SELECT draw_id, {', '.join(_factor(i, n) for i, n in enumerate(('f_pf', 'f_dd', 'f_tr')))}
+ FROM range(0, {E.GATE_DRAWS}) q(draw_id)""", f"""
+ WITH flags AS (SELECT study_id, row_idx, draw_id, score, {_gate('is', 'mt')} AND (mode = 'is_then_oos'
+    OR NOT has_forward OR (known AND {_gate('oos', 'mt_oos')})) AS passing,
+   known AND {_gate('oos', 'mt_oos')} ok FROM cells, g_draws),
+ cnt AS (SELECT e.study_id, src row_idx, draw_id, count(*) FILTER (passing) pc FROM edges e
+  JOIN flags f ON f.study_id=e.study_id AND f.row_idx=e.dst GROUP BY ALL),
+ v AS (SELECT f.*, s.support, s.q25, pc*1.0/s.support fp,
+   100 * pow(greatest(0,s.score),0.3) * pow(greatest(0,s.q25),0.4) * pow(coalesce(pc*1.0/s.support,0),0.3)
+   / (1+greatest(0, coalesce(cliff,0)-1.5)) / (1+greatest(0, coalesce(peak_z,0)-2))
+   * least(1, s.support/(CASE WHEN median_support>0 THEN least(8.0, greatest(4.0, median_support))
+     ELSE 8.0 END)) rb
+  FROM flags f JOIN stab s ON s.study_id=f.study_id AND s.row_idx=f.row_idx
+  JOIN radius r ON r.study_id=f.study_id
+  JOIN cnt c ON c.study_id=f.study_id AND c.row_idx=f.row_idx AND c.draw_id=f.draw_id WHERE passing)
+ SELECT study_id, draw_id, row_idx, score, support, 3 AS min_size,
+  coalesce(q25 >= 0.58 AND rb >= 65, false) core, ok
+ FROM v WHERE support >= 4 AND q25 >= 0.42 AND fp >= 0.9 AND rb >= 50""")
+
+
+@register("e25_threshold_stability", RATES, "SELECT * FROM t_tally", chain("t_tally"))
 def e25(spark, sf):
     return audit(spark, sf).threshold_stability
 
 
-@register("e26_gate_stability", RATES)
+@register("e26_gate_stability", RATES, "SELECT * FROM g_tally", chain("g_tally"))
 def e26(spark, sf):
     return audit(spark, sf).gate_stability

@@ -324,3 +324,63 @@ step("ranked", """
  JOIN fwd USING (study_id, component)
  JOIN rob ON rob.study_id=s.study_id AND rob.row_idx=r.row_idx
  LEFT JOIN invrep v ON v.study_id=s.study_id AND v.component=s.component)""")
+
+
+def draw_steps(p: str, draws: str, cand: str) -> None:
+    """Steps ``{p}*`` from perturbed candidates to the tally of the draws.
+
+    ``draws``: (draw_id, ...). ``cand``: (study_id, draw_id, row_idx, score, support, core, ok, min_size).
+    """
+    k = "study_id, draw_id, component"
+    step(f"{p}draws", draws)
+    step(f"{p}cand", cand)
+    step(f"{p}ce", f"""SELECT a.draw_id, e.study_id, src, dst FROM edges e
+ JOIN {p}cand a ON a.study_id=e.study_id AND a.row_idx=src
+ JOIN {p}cand b ON b.study_id=e.study_id AND b.row_idx=dst AND b.draw_id=a.draw_id""")
+    step(f"r_{p}reach", f"""
+ SELECT study_id, draw_id, row_idx AS node, row_idx AS root FROM {p}cand
+ UNION SELECT c.study_id, c.draw_id, c.dst, r.root FROM r_{p}reach r
+  JOIN {p}ce c ON c.study_id=r.study_id AND c.draw_id=r.draw_id AND c.src=r.node""")
+    step(f"{p}comp", f"""SELECT study_id, draw_id, node row_idx, min(root) component
+ FROM r_{p}reach GROUP BY ALL""")
+    step(f"{p}mem", f"""
+ SELECT * FROM (SELECT c.*, component, count(*) OVER (PARTITION BY c.study_id, c.draw_id, component)
+  size FROM {p}cand c JOIN {p}comp USING (study_id, draw_id, row_idx)) WHERE size >= min_size""")
+    step(f"{p}basis", f"""
+ SELECT m.*, known, joint_score FROM {p}mem m
+ JOIN (SELECT {k}, count(*) FILTER (core) core_size FROM {p}mem GROUP BY ALL) q USING ({k})
+ JOIN joint USING (study_id, row_idx)
+ JOIN (SELECT study_id, row_idx, known FROM cells) c USING (study_id, row_idx)
+ WHERE core_size < 3 OR core""")
+    step(f"{p}reps", f"""
+ SELECT * FROM (SELECT {k}, row_idx, support, row_number() OVER (PARTITION BY {k}
+   ORDER BY known DESC, joint_score DESC, row_idx) rn FROM {p}basis) WHERE rn=1""")
+    step(f"{p}ext", f"""
+ SELECT {k}, greatest(1, least(max(size), product(hi-lo+1))) effective_size FROM (
+  SELECT {k}, dim, min(pos) lo, max(pos) hi, count(*) size FROM {p}mem JOIN long USING (study_id, row_idx)
+  JOIN roles USING (study_id, dim) WHERE role='distance' GROUP BY ALL) GROUP BY ALL""")
+    step(f"{p}summ", f"""
+ SELECT {k}, quantile_cont(m.score,0.1) q10_score, CASE WHEN bool_or(has_forward)
+   THEN count(*) FILTER (ok) / count(*) END validated_frac
+ FROM {p}mem m JOIN (SELECT study_id, row_idx, has_forward FROM cells) c USING (study_id, row_idx)
+ GROUP BY ALL""")
+    step(f"{p}inv", f"""
+ SELECT DISTINCT r.study_id, r.draw_id, r.component FROM {p}reps r JOIN cells c
+  ON c.study_id=r.study_id AND c.row_idx=r.row_idx JOIN inv i ON i.study_id=r.study_id
+ WHERE [c.z0,c.z1,c.z2][i.dim+1]=i.best_is""")
+    step(f"{p}win", f"""
+ SELECT study_id, draw_id, row_idx FROM (SELECT s.study_id, s.draw_id, r.row_idx, row_number() OVER (
+   PARTITION BY s.study_id, s.draw_id ORDER BY greatest(0,q10_score) * ln(1+effective_size)
+   * (0.6+0.4*least(1, ln(1+support)/ln(25))) * (CASE WHEN v.component IS NOT NULL THEN 0.75 ELSE 1 END)
+   * (CASE WHEN validated_frac IS NULL THEN 1 ELSE 0.35+0.65*validated_frac END) DESC, s.component) rk
+  FROM {p}summ s JOIN {p}reps r USING ({k}) JOIN {p}ext USING ({k})
+  LEFT JOIN {p}inv v USING ({k})) WHERE rk = 1""")
+    step(f"{p}tally", f"""
+ SELECT b.study_id, n AS draws, count(w.draw_id) with_plateau, count(m.row_idx) same_region,
+  count(*) FILTER (w.row_idx = b.representative) same_representative, count(w.draw_id)/n plateau_rate,
+  count(m.row_idx)/n region_rate, count(*) FILTER (w.row_idx = b.representative)/n representative_rate
+ FROM (SELECT study_id, component, representative FROM ranked WHERE rank=1) b
+ CROSS JOIN (SELECT count(*) n FROM {p}draws)
+ LEFT JOIN {p}win w ON w.study_id=b.study_id
+ LEFT JOIN members m ON m.study_id=b.study_id AND m.component=b.component AND m.row_idx=w.row_idx
+ GROUP BY b.study_id, n""")

@@ -11,10 +11,7 @@ from .ordering import attach, medians, quantiles, with_ranks
 from .selection import FRAGILITY_SEED, MIN_PAIRS, REVERSE_MASK, selection_fragility  # noqa: F401
 
 # Seeds of the resampling operators.
-THRESHOLD_SEED = 20260920
-GATE_SEED = 20260921
 SHRINK_SEED = 20261014
-PERTURBATION = 0.2
 SHARPE_MIN_TRADES = 30
 MIN_UNITS = 30
 MIN_BLOCKS = 10
@@ -269,151 +266,3 @@ def rank_by_expectation(members: DataFrame, cells: DataFrame, unit_rows: DataFra
     w = Window.partitionBy("study_id").orderBy(F.desc("key"), "component")
     return (p.withColumn("key", key).withColumn("rank", F.row_number().over(w))
             .select("study_id", "component", "expected", "variance", "key", "rank"))
-
-
-# --------------------------------------------------------------------------
-# Perturbation audits
-# --------------------------------------------------------------------------
-KEYS = ("floor_quality", "min_robust", "min_frac_pass", "core_quality", "core_robust",
-        "min_support", "min_size")
-JOINT_DRAWS = 36
-GATE_DRAWS = 24
-
-
-def threshold_draws(spark, base: P.Thresholds = P.Thresholds(), seed: int = THRESHOLD_SEED,
-                    joint: int = JOINT_DRAWS) -> DataFrame:
-    """One row per draw: 14 one-at-a-time moves of 20 % and the joint random moves.
-
-    The pass share moves on its distance to 1, so it can never leave [0, 1].
-    """
-    lo, hi = 1 - PERTURBATION, 1 + PERTURBATION
-    d = F.col("draw_id")
-    n_single = 2 * len(KEYS)
-    cols = []
-    for i, key in enumerate(KEYS):
-        single = (F.when(d == 2 * i, F.lit(lo)).when(d == 2 * i + 1, F.lit(hi)).otherwise(1.0))
-        rnd = lo + 2 * PERTURBATION * uniform(seed, (d - n_single) * len(KEYS) + i + 1)
-        factor = F.when(d < n_single, single).otherwise(rnd)
-        value = float(getattr(base, key))
-        cols.append((1 - (1 - value) * factor if key == "min_frac_pass" else value * factor)
-                    .alias(key))
-    return spark.range(n_single + joint).withColumnRenamed("id", "draw_id").select("draw_id", *cols)
-
-
-def gate_draws(spark, seed: int = GATE_SEED, total: int = GATE_DRAWS) -> DataFrame:
-    """One row per draw of the gate factors (profit factor, drawdown, trades)."""
-    lo, hi = 1 - PERTURBATION, 1 + PERTURBATION
-    d = F.col("draw_id")
-    cols = []
-    for i, name in enumerate(("f_pf", "f_dd", "f_tr")):
-        single = F.when(d == i, F.lit(lo)).when(d == 3 + i, F.lit(hi)).otherwise(1.0)
-        rnd = lo + 2 * PERTURBATION * uniform(seed, (d - 6) * 3 + i + 1)
-        cols.append(F.when(d < 6, single).otherwise(rnd).alias(name))
-    return spark.range(total).withColumnRenamed("id", "draw_id").select("draw_id", *cols)
-
-
-def _winners(stab: DataFrame, thresholds: dict[str, Column], audit, stage,
-             validated: DataFrame) -> DataFrame:
-    """Winning representative of every (study, draw) of perturbed stability rows.
-
-    ``validated``: (study_id, draw_id, row_idx, ok, has_forward) forward flags.
-    """
-    keys = ["study_id", "draw_id"]
-    m = stage(P.plateau_members(stab, audit.edges, stage, keys, thresholds), "draw_members")
-    reps = stage(P.representative_joint(m, audit.cells, audit.joint, keys), "draw_reps")
-    k = [*keys, "component"]
-    q10 = quantiles(m, k, "score", {"q10_score": 0.1})
-    fwd = m.select(*keys, "row_idx", "component").join(validated, [*keys, "row_idx"]).groupBy(*k).agg(
-        F.when(F.max("has_forward"), F.avg(F.col("ok").cast("int"))).alias("validated_frac"))
-    ranked = P.rank_plateaus(
-        q10, reps, m.select(*keys, "row_idx", "support", "robust"),
-        P.extent(m, audit.cells, audit.dims, keys), fwd,
-        P.irregular_span(m, audit.cells, audit.jumps, keys),
-        P.inverted_risk(reps, audit.cells, audit.inversions, keys), audit.rank_forward, keys)
-    return ranked.filter("rank = 1").select(*keys, "representative")
-
-
-def _tally(winners: DataFrame, draws: int, audit) -> DataFrame:
-    """Share of draws that keep a plateau, the region and the representative."""
-    base = audit.plateaus.filter("rank = 1").select("study_id", "component",
-                                                    F.col("representative").alias("_rep"))
-    inside = audit.members.join(base, ["study_id", "component"]).select(
-        "study_id", F.col("row_idx").alias("representative"), F.lit(1).alias("_in"))
-    w = (winners.join(base.select("study_id", "_rep"), "study_id")
-         .join(inside, ["study_id", "representative"], "left"))
-    t = w.groupBy("study_id").agg(
-        F.count(F.lit(1)).alias("with_plateau"), F.sum(F.coalesce("_in", F.lit(0)))
-        .alias("same_region"), F.count_if(F.col("representative") == F.col("_rep"))
-        .alias("same_representative"))
-    out = base.select("study_id").join(t, "study_id", "left")
-    cols = ("with_plateau", "same_region", "same_representative")
-    rate = {"with_plateau": "plateau_rate", "same_region": "region_rate",
-            "same_representative": "representative_rate"}
-    return out.select("study_id", F.lit(draws).alias("draws"), *[
-        F.coalesce(c, F.lit(0)).alias(c) for c in cols], *[
-        (F.coalesce(c, F.lit(0)) / draws).alias(rate[c]) for c in cols])
-
-
-def threshold_stability(audit, stage, joint: int = JOINT_DRAWS) -> DataFrame:
-    """Does the recommendation survive moving our own thresholds by 20 %?"""
-    spark = audit.cells.sparkSession
-    draws = threshold_draws(spark, audit.thresholds, joint=joint)
-    n = 2 * len(KEYS) + joint
-    floor = 1 - PERTURBATION
-    t0 = audit.thresholds
-    # Only rows over the loosest thresholds can be candidates in any draw.
-    loose = audit.stability.filter(
-        F.col("passes") & (F.col("support") >= t0.min_support * floor)
-        & (F.col("q25") >= t0.floor_quality * floor)
-        & (F.col("robust") >= t0.min_robust * floor)
-        & (F.col("frac_pass") >= 1 - (1 - t0.min_frac_pass) * (1 + PERTURBATION)))
-    keep = loose.join(audit.plateaus.select("study_id").distinct(), "study_id", "left_semi")
-    # The draws are a fixed count of rows, carried inside each row and exploded.
-    table = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in draws.columns])
-                      for r in draws.collect()])
-    rows = keep.withColumn("_d", F.explode(table)).select(*keep.columns, "_d.*")
-    ok = (F.col("known") & (F.size("fails_oos") == 0)).alias("ok")
-    val = audit.cells.join(audit.plateaus.select("study_id").distinct(), "study_id", "left_semi")
-    val = val.select("study_id", "row_idx", "has_forward", ok, F.explode(
-        F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("draw_id"))
-    rows = stage(rows, "draw_rows")
-    t = {k: F.col(k) for k in KEYS}
-    return _tally(_winners(rows, t, audit, stage, val), n, audit)
-
-
-def gate_stability(audit, stage, total: int = GATE_DRAWS) -> DataFrame:
-    """Does the recommendation survive moving the user's limits by 20 %?"""
-    from .quality import gate_failures
-    spark = audit.cells.sparkSession
-    found = audit.plateaus.select("study_id").distinct()
-    pol = audit.studies.select("study_id", "require_profit", "min_profit_factor",
-                               "max_drawdown_pct")
-    c = attach(audit.cells.join(found, "study_id", "left_semi"), pol, ["study_id"], "inner",
-               "row_idx")
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()])
-                      for r in gate_draws(spark, total=total).collect()])
-    c = c.withColumn("_d", F.explode(table))
-    pf = 1 + (F.col("min_profit_factor") - 1) * F.col("_d.f_pf")
-    dd = F.col("max_drawdown_pct") * F.col("_d.f_dd")
-    fails = lambda m, tr: F.size(gate_failures(F.col(m), F.col("require_profit"), pf, dd,
-                                               F.col(tr) * F.col("_d.f_tr")))
-    is_ok = (fails("is", "min_trades") == 0) & ~F.col("lost_in_is")
-    oos_ok = F.coalesce(F.col("known") & (fails("oos", "min_trades_oos") == 0), F.lit(False))
-    flags = stage(c.select(
-        "study_id", "row_idx", F.col("_d.draw_id").alias("draw_id"), "score", "has_forward",
-        (is_ok & ((F.col("mode") == "is_then_oos") | ~F.col("has_forward") | oos_ok))
-        .alias("passes"), oos_ok.alias("ok")), "gate_flags")
-    # Quantiles of the neighbours do not depend on the gates: only pass counts move.
-    e = audit.edges.select("study_id", "src", F.col("dst").alias("row_idx")).join(
-        flags.select("study_id", "row_idx", "draw_id", "passes"), ["study_id", "row_idx"])
-    counts = e.groupBy("study_id", "draw_id", F.col("src").alias("row_idx")).agg(
-        F.count_if("passes").alias("pass_count"))
-    keep = audit.stability.select("study_id", "row_idx", "support", "q25", "q10", "median_nb",
-                                  "worst", "cliff", "peak_z")
-    st = flags.drop("ok", "has_forward").join(keep, ["study_id", "row_idx"]).join(
-        counts, ["study_id", "draw_id", "row_idx"], "left")
-    st = st.withColumn("frac_pass", F.col("pass_count") / F.nullif(F.col("support"), F.lit(0)))
-    rows = stage(P.robustness(st, audit.radius), "gate_rows")
-    t = P.threshold_columns(audit.thresholds)
-    val = flags.select("study_id", "draw_id", "row_idx", "ok", "has_forward")
-    return _tally(_winners(rows, t, audit, stage, val), total, audit)

@@ -69,21 +69,33 @@ def local_stability(cells: DataFrame, edges: DataFrame, scale: DataFrame) -> Dat
         F.when(has, (F.col("score") - F.col("median_nb")) / local).alias("peak_z"))
 
 
-def robustness(stab: DataFrame, radius: DataFrame, target: int = TARGET_SUPPORT,
-               min_support: float = 4) -> DataFrame:
-    """0-100 score: own quality, floor and pass share of the surroundings, penalties."""
+def with_goal(stab: DataFrame, radius: DataFrame, target: int = TARGET_SUPPORT,
+              min_support: float = 4) -> DataFrame:
+    """Add ``goal``, the support that counts as enough in the study."""
     r = attach(stab, radius.select("study_id", "median_support"), ["study_id"], "left", "row_idx")
     goal = F.when(F.col("median_support") > 0, F.least(F.lit(float(target)), F.greatest(
         F.lit(float(min_support)), F.col("median_support")))).otherwise(float(target))
+    return r.withColumn("goal", goal).drop("median_support")
+
+
+def robust_value(frac_pass: Column, goal: Column) -> Column:
+    """Score of a passing row from the columns score, q25, cliff, peak_z and support."""
     core = (F.pow(F.greatest(F.lit(0.0), F.col("score")), F.lit(0.3))
             * F.pow(F.greatest(F.lit(0.0), F.col("q25")), F.lit(0.4))
-            * F.pow(F.coalesce("frac_pass", F.lit(0.0)), F.lit(0.3)))
+            * F.pow(F.coalesce(frac_pass, F.lit(0.0)), F.lit(0.3)))
     soften = lambda x, free: 1 / (1 + F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0)) - free))
     value = (100 * core * soften(F.col("cliff"), 1.5) * soften(F.col("peak_z"), 2.0)
              * F.least(F.lit(1.0), F.col("support") / goal))
-    return r.withColumn("robust", F.when(
-        F.col("score").isNotNull() & F.col("q25").isNotNull(),
-        F.when(F.col("passes"), value).otherwise(0.0))).drop("median_support")
+    return F.when(F.col("score").isNotNull() & F.col("q25").isNotNull(), value)
+
+
+def robustness(stab: DataFrame, radius: DataFrame, target: int = TARGET_SUPPORT,
+               min_support: float = 4) -> DataFrame:
+    """0-100 score: own quality, floor and pass share of the surroundings, penalties."""
+    r = with_goal(stab, radius, target, min_support)
+    value = robust_value(F.col("frac_pass"), F.col("goal"))
+    return r.withColumn("robust", F.when(value.isNotNull(), F.when(
+        F.col("passes"), value).otherwise(0.0))).drop("goal")
 
 
 def threshold_columns(t: Thresholds) -> dict[str, Column]:

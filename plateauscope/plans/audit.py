@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bias as B
+from ..operators import perturbation as B
 from ..operators import plateau as P
 from ..operators import quality as Q
 from ..operators import space as S
