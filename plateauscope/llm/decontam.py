@@ -27,10 +27,13 @@ NUM, DEN, WIDTH = 75, 100, 5
 BLOCK_ROWS = 200_000  # of about 100 bytes: 20 MB in each executor
 
 
+def _words():
+    return F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
+
+
 def _shingled(df: DataFrame, width: int, *keep: str) -> DataFrame:
     """(keep..., words, i, h): a row for every ``width``-word window of ``text``."""
-    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
-    at = df.select(*keep, words.alias("words")).filter(F.size("words") >= width)
+    at = df.select(*keep, _words().alias("words")).filter(F.size("words") >= width)
     at = at.select(*keep, "words", F.explode(
         F.sequence(F.lit(0), F.size("words") - width)).alias("i"))
     return at.withColumn("h", F.xxhash64(*(F.get("words", F.col("i") + k) for k in range(width))))
@@ -40,12 +43,16 @@ def _as_text(width: int):
     return F.concat_ws(" ", *(F.get("words", F.col("i") + k) for k in range(width)))
 
 
+def _items(bench: DataFrame) -> DataFrame:
+    """(item_id, item_key, text) of the items, each once."""
+    return (bench.select(F.col("item_id"), F.xxhash64("text").alias("item_key"), "text")
+            .filter("item_id IS NOT NULL AND text IS NOT NULL").distinct())
+
+
 def item_shingles(bench: DataFrame, num: int = NUM, den: int = DEN,
                   width: int = WIDTH) -> DataFrame:
     """(item_id, item_key, h, shingle, q, sketched) of the distinct shingles of every item."""
-    items = (bench.select(F.col("item_id"), F.xxhash64("text").alias("item_key"), "text")
-             .filter("item_id IS NOT NULL AND text IS NOT NULL").distinct())
-    s = (_shingled(items, width, "item_id", "item_key")
+    s = (_shingled(_items(bench), width, "item_id", "item_key")
          .select("item_id", "item_key", "h", _as_text(width).alias("shingle")).distinct())
     # An item is one short text, and a window holds the shingles of one.
     of_item = Window.partitionBy("item_id", "item_key")
@@ -62,13 +69,28 @@ def _blocks(df: DataFrame, block_rows: int) -> Iterator[DataFrame]:
         yield df if n == 1 else df.filter(F.pmod(F.xxhash64("item_id", "item_key"), F.lit(n)) == i)
 
 
+def _short(keyed: DataFrame, bench: DataFrame, width: int, block_rows: int) -> list[DataFrame]:
+    """Leaks of items of fewer than ``width`` words: a frame for each number of words that occurs."""
+    at = _items(bench).withColumn("w", F.size(_words()))
+    at = written(at.filter((F.col("w") > 0) & (F.col("w") < width)), "short_items")
+    out = []
+    for w in sorted(r["w"] for r in at.select("w").distinct().collect()):  # fewer than ``width``
+        items = _shingled(at.filter(F.col("w") == w), w, "item_id", "item_key").select(
+            "item_id", "item_key", "h", _as_text(w).alias("shingle"))
+        rows = _shingled(keyed, w, "doc_id", "text_key")
+        out += [rows.join(F.broadcast(b), "h").filter(F.col("shingle") == _as_text(w))
+                .select("doc_id", "text_key", "item_id", "item_key", F.lit(1).cast("long").alias("q"), "h")
+                .distinct() for b in _blocks(items, block_rows)]
+    return out
+
+
 def leaks(docs: DataFrame, bench: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH,
           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, text_key, item_id, n_shingles, n_shared, containment) of every leak.
 
     ``docs(doc_id, text)`` and ``bench(item_id, text)``; other columns are ignored. Words are
-    runs of letters and digits, lower-cased. Texts that are null or have fewer than ``width``
-    words have no shingles: such an item leaks nowhere, such a document holds nothing. Rows
+    runs of letters and digits, lower-cased. An item of fewer than ``width`` words is one shingle:
+    it leaks where its words stand in a row. Texts that are null or without words are not searched. Rows
     that repeat a doc_id are searched one by one and told apart by ``text_key``; identical
     rows give one. A row without doc_id is searched too and keeps its null. Items without
     item_id are left out; of texts that repeat an item_id the best one counts.
@@ -94,6 +116,7 @@ def leaks(docs: DataFrame, bench: DataFrame, num: int = NUM, den: int = DEN, wid
     held = [near.join(F.broadcast(b.drop("sketched")), "h").filter(same)
             .select("doc_id", "text_key", "item_id", "item_key", "q", "h").distinct()
             for b in _blocks(items, block_rows)]
+    held += _short(keyed, bench, width, block_rows)
     counted = (reduce(DataFrame.unionByName, held).groupBy("doc_id", "text_key", "item_id",
                                                            "item_key")
                .agg(F.first("q").alias("q"), F.count("*").alias("shared"))

@@ -22,10 +22,14 @@ grams AS (SELECT DISTINCT doc_id, unnest({_GRAMS}) AS g FROM words WHERE len(w)
 item_words AS (SELECT item_id, {_words("lower(text)", chr(92).join(['[^', 'p{L}', 'p{N}]+']))} AS w
     FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 items AS (SELECT DISTINCT item_id, unnest({_GRAMS}) AS g FROM item_words WHERE len(w) >= 5),
+short AS (SELECT DISTINCT item_id, len(w) AS n, array_to_string(w, ' ') AS g FROM item_words
+    WHERE len(w) BETWEEN 1 AND 4),
 sizes AS (SELECT item_id, count(*) AS q FROM items GROUP BY item_id)
 SELECT doc_id, item_id, q AS n_shingles, count(*) AS n_shared, count(*) / q AS containment
 FROM grams JOIN items USING (g) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, q HAVING count(*) * 100 >= 75 * q
+UNION ALL SELECT DISTINCT doc_id, item_id, 1, 1, 1.0 FROM words JOIN short ON len(w) >= n AND list_contains(
+    list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')), g)
 """
 
 # Every 200-byte window as hexadecimal text; windows that occur twice, merged per document.

@@ -172,19 +172,24 @@ def test_leaks_equal_brute_force(spark, rows):
     rng = random.Random(9)
     items = [(k, " ".join(rows[6 * k][1].split()[2:2 + 10 + k])) for k in range(8)]
     items += [(50, sentence(rng, 20)), (51, "w1 w2"), (52, None), (53, ""), (None, items[0][1]),
-              (54, rows[0][1]), (55, rows[0][1].upper().replace(" ", ", "))]
+              (54, rows[0][1]), (55, rows[0][1].upper().replace(" ", ", ")), (56, "w7"), (57, "Nowhere!"),
+              (58, ", ".join(rows[1][1].split()[3:7])), (59, "...")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("h", F.lit(1))
 
-    def grams(t):
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        return {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    def words(t):
+        return re.findall(r"[^\W_]+", (t or "").lower())
+
+    def grams(w, n):
+        return {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
 
     want = set()
     for i, t in rows:
         for k, x in items:
-            q = grams(x)
-            if k is not None and q and 100 * len(q & grams(t)) >= 75 * len(q):
-                want.add((str(i), k, len(q), len(q & grams(t))))
+            n = min(5, len(words(x)))  # an item of fewer words is one shingle
+            q = grams(words(x), n) if n else set()
+            if k is not None and q and 100 * len(q & grams(words(t), n)) >= 75 * len(q):
+                want.add((str(i), k, len(q), len(q & grams(words(t), n))))
+    assert {k for _, k, *_ in want} >= {51, 56, 58} and not {k for _, k, *_ in want} & {57, 59}
     for block in (decontam.BLOCK_ROWS, 20):
         found = decontam.leaks(table(spark, rows, True), bench, block_rows=block).collect()
         assert {(str(r.doc_id), r.item_id, r.n_shingles, r.n_shared) for r in found} == want
