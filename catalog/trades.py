@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from plateauscope.operators import montecarlo as M
 from plateauscope.operators import trades as T
 from plateauscope.plans import relations as R
-from plateauscope.plans.stages import memo
+from plateauscope.plans.stages import memo, stage
 
 from .base import register
-from .stats import norm_inv_sql
+from .stats import draw_sql, norm_inv_sql
 
 _D = """WITH d0 AS MATERIALIZED (
  SELECT CAST(l_suppkey % 5 AS INT) report_id, l_shipdate ts, CAST(l_shipdate AS DATE) AS day,
@@ -385,18 +385,92 @@ _volatility("h22_volatility_rank", "rank", """SELECT report_id, t, rank() OVER (
 
 
 def _orders(spark, sf):
-    return M.order_paths(days(spark, sf), sims=500)
+    return memo(spark, (sf, "order_paths"), lambda: _order_tables(spark, sf))
+
+
+def _order_tables(spark, sf):
+    """Paths and equity at the grid points, in one table; point 0 has the path's own figures."""
+    paths, marks = M.order_paths(days(spark, sf), stage=stage)
+    at = M.order_points(marks, T.day_trades(R.deals(spark, sf)))
+    none = F.lit(None).cast("double")
+    return paths.select("report_id", "sim", F.lit(0).cast("long").alias("point"), none.alias("x"),
+                        "total", "fall", "longest").unionByName(at.select(
+                            "report_id", "sim", "point", "x", none.alias("total"), none.alias("fall"),
+                            none.alias("longest")))
+
+
+# Days with trades as summaries, and every path as a running sum over them in the order of its draws.
+_ORDERS = _D + f""", inside AS MATERIALIZED (SELECT report_id, day, net_cents, row_number() OVER w k,
+  sum(net_cents) OVER (w ROWS UNBOUNDED PRECEDING) c,
+  count(*) FILTER (net_cents > 0) OVER (w ROWS UNBOUNDED PRECEDING) g FROM d
+  WINDOW w AS (PARTITION BY report_id, day ORDER BY seq)),
+peaks AS MATERIALIZED (SELECT *, greatest(0, max(c) OVER (PARTITION BY report_id, day ORDER BY k
+  ROWS UNBOUNDED PRECEDING)) p FROM inside),
+runs AS (SELECT report_id, day, g, count(*) FILTER (net_cents < 0) l FROM inside GROUP BY ALL),
+streaks AS (SELECT report_id, day, max(l) longest, max(g) > 0 won, max_by(l, g) tail,
+  coalesce(max(l) FILTER (g = 0), 0) lead FROM runs GROUP BY ALL),
+sums AS MATERIALIZED (SELECT p.report_id, p.day, sum(net_cents) total, max(p) hi, least(0, min(c)) lo,
+  max(p - c) fall, count(*) cnt, any_value(longest) longest, any_value(won) won, any_value(tail) tail,
+  any_value(lead) lead, row_number() OVER (PARTITION BY p.report_id ORDER BY p.day) j
+  FROM peaks p JOIN streaks USING (report_id, day) GROUP BY p.report_id, p.day),
+sizes AS (SELECT report_id, count(*) n, sum(cnt) trades FROM sums GROUP BY 1
+  HAVING sum(cnt) >= {M.MIN_ORDER_TRADES} AND count(*) >= 2),
+orders AS MATERIALIZED (SELECT s.*, sim, CASE WHEN sim >= 0 THEN
+  {draw_sql(str(M.ORDER_SEED), "sim*n + j")} ELSE j END u
+  FROM sums s JOIN sizes USING (report_id), range(-1, 2000) q(sim)),
+"""
+
+_LUCK = _ORDERS + """walk AS MATERIALIZED (SELECT *, sum(total) OVER w - total b,
+  sum(CASE WHEN won THEN 1 ELSE 0 END) OVER w gg FROM orders
+  WINDOW w AS (PARTITION BY report_id, sim ORDER BY u, j ROWS UNBOUNDED PRECEDING)),
+walk2 AS (SELECT *, greatest(0, coalesce(max(b + hi) OVER (PARTITION BY report_id, sim ORDER BY u, j
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) peak,
+  sum(tail) OVER (PARTITION BY report_id, sim, gg ORDER BY u, j ROWS UNBOUNDED PRECEDING) carry FROM walk),
+walk3 AS (SELECT report_id, sim, fall, peak - b - lo drop_, longest, lead, coalesce(lag(carry) OVER (
+   PARTITION BY report_id, sim ORDER BY u, j), 0) carried FROM walk2),
+paths AS MATERIALIZED (SELECT report_id, sim, max(greatest(fall, drop_)) f,
+  max(greatest(longest, carried + lead)) l FROM walk3 GROUP BY ALL),
+real AS (SELECT report_id, f rf, l rl FROM paths WHERE sim < 0)
+"""
+_at = lambda v, p: f"list_sort(list({v}))[1 + CAST(floor(2000*{p}) AS INT)]"
 
 
 @register("h24_order_luck", "report_id:i sims:i real_fall:d real_streak:i fall_p05:d fall_p50:d "
-          "fall_p95:d streak_p50:i streak_p95:i fall_percentile:d worse_share:d")
+          "fall_p95:d streak_p50:i streak_p95:i fall_percentile:d worse_share:d", f"""
+ SELECT report_id, 2000 sims, rf real_fall, rl real_streak, {_at('f', .05)} fall_p05, {_at('f', .5)} fall_p50,
+  {_at('f', .95)} fall_p95, {_at('l', .5)} streak_p50, {_at('l', .95)} streak_p95,
+  (count(*) FILTER (f < rf) + 0.5 * count(*) FILTER (f = rf)) / 2000 fall_percentile,
+  count(*) FILTER (f > rf) / 2000 worse_share
+ FROM paths JOIN real USING (report_id) WHERE sim >= 0 GROUP BY report_id, rf, rl""", _LUCK)
 def h24(spark, sf):
-    return M.order_summary(_orders(spark, sf)[0])
+    return M.order_summary(_orders(spark, sf).filter("point = 0").drop("point", "x"))
+
+
+_POINTS = _ORDERS + f"""grid AS (SELECT report_id, CAST(floor((i + 1) * trades / least(trades, {M.GRID_POINTS})
+   + 0.5) AS BIGINT) - 1 AS g FROM sizes, range(0, {M.GRID_POINTS}) q(i) WHERE i < trades),
+prefix AS (SELECT report_id, sim, day, cnt, sum(cnt) OVER w - cnt start_, sum(total) OVER w - total b
+  FROM orders WINDOW w AS (PARTITION BY report_id, sim ORDER BY u, j ROWS UNBOUNDED PRECEDING)),
+hits AS (SELECT p.report_id, sim, day, g + 1 point, g - start_ + 1 k, b FROM prefix p JOIN grid
+  ON grid.report_id = p.report_id AND g >= start_ AND g < start_ + cnt),
+at_ AS MATERIALIZED (SELECT h.report_id, sim, point, b + c x FROM hits h JOIN inside i
+  ON i.report_id = h.report_id AND i.day = h.day AND i.k = h.k)
+"""
 
 
-@register("h24_order_bands", "report_id:i point:i p05:d p25:d p50:d p75:d p95:d real:d")
+@register("h24_order_bands", "report_id:i point:i p05:d p25:d p50:d p75:d p95:d real:d", f"""
+ SELECT a.report_id, a.point, {', '.join(f"{_at('a.x', p)} p{int(100 * p):02d}" for p in (.05, .25, .5, .75, .95))},
+  any_value(r.x) AS real FROM at_ a JOIN (SELECT report_id, point, x FROM at_ WHERE sim < 0) r
+  ON r.report_id = a.report_id AND r.point = a.point WHERE a.sim >= 0 GROUP BY a.report_id, a.point""", _POINTS)
 def h24b(spark, sf):
-    return M.order_bands(_orders(spark, sf)[1], T.day_trades(R.deals(spark, sf)))
+    return M.order_bands(_orders(spark, sf).filter("point > 0"))
+
+
+@register("h24_sample_curves", "report_id:i sim:i point:i equity:d",
+          "SELECT report_id, sim, point, x equity FROM at_ WHERE sim < 100", _POINTS)
+def h24d(spark, sf):
+    c = M.order_curves(_orders(spark, sf).filter("point > 0"))
+    return c.select("report_id", "sim", F.explode(F.arrays_zip("points", "curve")).alias("p")).select(
+        "report_id", "sim", F.col("p.points").alias("point"), F.col("p.curve").alias("equity"))
 
 
 @register("h24_real_order", "report_id:i real_fall:d real_streak:i", _D + """, e AS MATERIALIZED (SELECT *, sum(net_cents) OVER

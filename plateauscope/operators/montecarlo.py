@@ -318,72 +318,79 @@ def randomised_pit(sample: DataFrame, observed: DataFrame, keys: list[str], v: f
     return j.groupBy(*keys).agg(((below + v * equal) / F.count(F.lit(1))).alias("pit"))
 
 
-def order_paths(days: DataFrame, sims: int = 2000, seed: int = ORDER_SEED,
-                log: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Paths with the trading days in random order, and their points on the trade grid.
+def _order_walk(row, sims: int, seed: int, points: int):
+    """One block of orders: its paths, and where every path meets the points of the trade grid.
 
-    Simulation -1 is the real order. Returns (per path: fall, longest losing streak;
-    per path and grid point: the day that holds it, the offset in it, equity before).
+    Days compose: a prefix of a path is its total, its number of trades, its fall and its losing
+    streak so far, so running sums over the days of all paths of the block place every grid point.
     """
-    def orders(row):
-        d = _day_arrays(row)
-        keep = np.flatnonzero(d["count"] > 0)
-        n, trades = len(keep), int(d["count"].sum())
-        if trades < MIN_ORDER_TRADES or n < 2:
-            return None
-        rows = _block_rows(row, sims)
-        u = uniforms(seed, rows[:, None].astype(np.uint64) * np.uint64(n)
-                     + np.arange(1, n + 1, dtype=np.uint64)[None, :])
-        perm = keep[np.argsort(u, axis=1, kind="stable")]
-        if int(row.block_no) == 0:
-            perm, rows = np.vstack([keep[None, :], perm]), np.concatenate([[-1], rows])
-        return d, perm, rows, trades
+    d = _day_arrays(row)
+    keep = np.flatnonzero(d["count"] > 0)
+    n, trades = len(keep), int(d["count"].sum())
+    if trades < MIN_ORDER_TRADES or n < 2:
+        return None
+    rows = _block_rows(row, sims)
+    u = uniforms(seed, rows[:, None].astype(np.uint64) * np.uint64(n)
+                 + np.arange(1, n + 1, dtype=np.uint64)[None, :])
+    perm = keep[np.argsort(u, axis=1, kind="stable")]
+    if int(row.block_no) == 0:
+        perm, rows = np.vstack([keep[None, :], perm]), np.concatenate([[-1], rows])
+    cum, fall = _walk(perm, d)
+    streak, longest = np.zeros(len(rows)), np.zeros(len(rows))
+    for t in range(n):
+        k = perm[:, t]
+        longest = np.maximum(np.maximum(longest, streak + d["lead"][k]), d["longest"][k])
+        streak = np.where(d["won"][k] > 0, d["tail"][k], streak + d["tail"][k])
+    m = min(points, trades)
+    grid = np.floor((np.arange(m) + 1) * trades / m + 0.5).astype(np.int64) - 1
+    count = d["count"][perm].astype(np.int64)
+    ends = np.cumsum(count, axis=1)
+    # All paths in one search: each has its own stretch of numbers.
+    shift = np.arange(len(rows))[:, None] * (trades + 1)
+    at = np.searchsorted((ends + shift).ravel(), (grid[None, :] + shift).ravel(), side="right")
+    total = d["total"][perm]
+    before = (np.cumsum(total, axis=1) - total).ravel()[at]
+    first = (ends - count).ravel()[at]
+    place = np.tile(grid, len(rows)) - first + 1
+    return rows, cum, fall, longest, grid + 1, perm.ravel()[at], place, before
+
+
+def order_paths(days: DataFrame, sims: int = 2000, seed: int = ORDER_SEED, log: bool = False,
+                points: int = GRID_POINTS, stage=None) -> tuple[DataFrame, DataFrame]:
+    """Paths with the trading days in random order, and their points on the trade grid.
 
+    Simulation -1 is the real order. Returns (per path: total, fall, longest losing streak;
+    per path and grid point: the day that holds it, the place in it, equity before). Both come from one
+    pass; with ``stage`` it is written, so that it runs once.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                found = orders(row)
+                found = _order_walk(row, sims, seed, points)
                 if found is None:
                     continue
-                d, perm, rows, _ = found
-                cum, fall = _walk(perm, d)
-                streak = np.zeros(len(rows))
-                longest = np.zeros(len(rows))
-                for t in range(perm.shape[1]):
-                    k = perm[:, t]
-                    longest = np.maximum(np.maximum(longest, streak + d["lead"][k]),
-                                         d["longest"][k])
-                    streak = np.where(d["won"][k] > 0, d["tail"][k], streak + d["tail"][k])
+                rows, cum, fall, longest, grid, day, place, before = found
                 if log:
                     cum, fall = np.exp(cum) - 1, 1 - np.exp(-fall)
-                yield pd.DataFrame({"report_id": row.report_id, "sim": rows, "total": cum,
-                                    "fall": fall, "longest": longest})
+                yield pd.DataFrame({"report_id": row.report_id, "sim": rows, "point": 0,
+                                    "total": cum, "fall": fall, "longest": longest})
+                yield pd.DataFrame({"report_id": row.report_id, "sim": np.repeat(rows, len(grid)),
+                                    "point": np.tile(grid, len(rows)), "day_idx": day, "k": place,
+                                    "before": before})
 
-    def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                found = orders(row)
-                if found is None:
-                    continue
-                d, perm, rows, trades = found
-                m = min(GRID_POINTS, trades)
-                grid = np.floor((np.arange(m) + 1) * trades / m + 0.5).astype(np.int64) - 1
-                ends = np.cumsum(d["count"][perm], axis=1)
-                before = np.cumsum(d["total"][perm], axis=1) - d["total"][perm]
-                for i, sim in enumerate(rows):
-                    at = np.searchsorted(ends[i], grid, side="right")
-                    first = ends[i][at] - d["count"][perm[i][at]]
-                    yield pd.DataFrame({"report_id": row.report_id, "sim": sim,
-                                        "point": grid + 1, "day_idx": perm[i][at],
-                                        "k": (grid - first + 1).astype(np.int64),
-                                        "before": before[i][at]})
-
-    tasks = _tasks(days, sims)
-    paths = tasks.mapInPandas(run, "report_id int, sim long, total double, fall double, "
-                                   "longest double")
-    marks = tasks.mapInPandas(points, "report_id int, sim long, point long, day_idx long, "
-                                      "k long, before double")
-    return paths, marks
+    columns = {"report_id": "int", "sim": "long", "point": "long", "total": "double", "fall": "double",
+               "longest": "double", "day_idx": "long", "k": "long", "before": "double"}
+
+    def filled(batches):
+        for pdf in run(batches):
+            yield pdf.reindex(columns=list(columns)).astype(
+                {c: "Int64" for c, t in columns.items() if t == "long"})
+
+    both = _tasks(days, sims).mapInPandas(filled, ", ".join(f"{c} {t}" for c, t in columns.items()))
+    if stage is not None:
+        both = stage(both, "order_paths")
+    return (both.filter("point = 0").select(*REPORT, "sim", "total", "fall", "longest"),
+            both.filter("point > 0").select(*REPORT, "sim", "point", "day_idx", "k", "before"))
 
 
 def order_summary(paths: DataFrame) -> DataFrame:
@@ -404,8 +411,8 @@ def order_summary(paths: DataFrame) -> DataFrame:
                     (F.col("_below") + 0.5 * F.col("_same")).alias("fall_percentile"), "worse_share")
 
 
-def order_bands(marks: DataFrame, trades: DataFrame, log: bool = False) -> DataFrame:
-    """p05 to p95 of the equity at each grid point, and the real curve.
+def order_points(marks: DataFrame, trades: DataFrame, log: bool = False) -> DataFrame:
+    """(report, sim, point, x): the equity of every path at its grid points.
 
     The equity inside a day comes from an equi-join on (report, day, place in day).
     """
@@ -413,10 +420,25 @@ def order_bands(marks: DataFrame, trades: DataFrame, log: bool = False) -> DataF
     inside = trades.select(*REPORT, "day_idx", F.row_number().over(w).cast("long").alias("k"),
                            F.sum("inc").over(w).alias("_in"))
     x = F.col("before") + F.col("_in")
-    m = marks.join(inside, [*REPORT, "day_idx", "k"]).withColumn(
-        "x", F.exp(x) - 1 if log else x)
-    g = m.groupBy(*REPORT, "point").agg(
+    return marks.join(inside, [*REPORT, "day_idx", "k"]).select(
+        *REPORT, "sim", "point", (F.exp(x) - 1 if log else x).alias("x"))
+
+
+def order_bands(at: DataFrame) -> DataFrame:
+    """p05 to p95 of the equity at each grid point of :func:`order_points`, and the real curve.
+
+    A group holds one number a path.
+    """
+    g = at.groupBy(*REPORT, "point").agg(
         F.sort_array(F.collect_list(F.when(F.col("sim") >= 0, F.col("x")))).alias("_s"),
         F.max(F.when(F.col("sim") < 0, F.col("x"))).alias("real"))
     return g.select(*REPORT, "point", *[floor_quantile(F.col("_s"), p).alias(
         f"p{int(100 * p):02d}") for p in (.05, .25, .5, .75, .95)], "real")
+
+
+def order_curves(at: DataFrame, curves: int = 100) -> DataFrame:
+    """(report, sim, curve): the first ``curves`` paths as arrays over the grid, and the real one (-1)."""
+    some = at.filter(F.col("sim") < curves)
+    return some.groupBy(*REPORT, "sim").agg(
+        F.array_sort(F.collect_list(F.struct("point", "x"))).alias("_c")).select(
+        *REPORT, "sim", F.col("_c")["point"].alias("points"), F.col("_c")["x"].alias("curve"))
