@@ -117,10 +117,109 @@ FROM words w LEFT JOIN base b USING (r) LEFT JOIN more m USING (r)
 """
 
 
+# crc32 of a list of bytes: the table by its rule, then one step a byte.
+_CRC_TABLE = ("(SELECT list_transform(range(256), lambda n: list_reduce([n::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], "
+              "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS crc)")
+
+
+def _crc(bytes_: str) -> str:
+    return (f"xor(list_reduce([4294967295::UBIGINT] || {bytes_}, "
+            "lambda c, b: xor(crc[1 + (xor(c, b) & 255)::INT], c >> 8)), 4294967295::UBIGINT)")
+
+
+def _utf8(text: str) -> str:
+    """Bytes of a text of code points below 2048."""
+    return (f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN ord(x) < 128 "
+            "THEN [ord(x)::UBIGINT] ELSE [(192 | (ord(x) >> 6))::UBIGINT, (128 | (ord(x) & 63))::UBIGINT] END))")
+
+
+_INITIAL = "left(role, 1)"
+# States 0 nothing, 1 system, 2 user, 3 assistant. Up to three rows inserted, then one edit of a row.
+_CONVERSATIONS = f"""
+WITH RECURSIVE tab AS {_CRC_TABLE},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc(_utf8("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))} % 20 AS fate
+    FROM conversations, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN ''
+    WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM src, range(2) q(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS said FROM dam),
+rows_ AS MATERIALIZED (SELECT conv_id, turn, role, text, i, CASE WHEN said = '' THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag({_INITIAL}) OVER (PARTITION BY conv_id ORDER BY i) || {_INITIAL} AS pair FROM ranked),
+ins(st, mid, more, done, said) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''),
+    (3, 3, 0, '', ''), (0, 2, 2, 'I', 'u'), (1, 2, 2, 'I', 'u'), (3, 2, 2, 'I', 'u'), (2, 3, 2, 'I', 'a'),
+    (0, 3, 4, 'II', 'ua'), (1, 3, 4, 'II', 'ua'), (3, 3, 4, 'II', 'ua'), (2, 2, 4, 'II', 'au'),
+    (0, 2, 6, 'III', 'uau'), (1, 2, 6, 'III', 'uau'), (3, 2, 6, 'III', 'uau'), (2, 3, 6, 'III', 'aua')),
+takes(st, ini, to_) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+opened AS (SELECT st, mid, more, done, replace(replace(said, 'u', chr(10) || 'user:'), 'A',
+    chr(10) || 'assistant:') AS lines FROM (SELECT * REPLACE (replace(said, 'a', 'A') AS said) FROM ins)),
+edits AS MATERIALIZED (SELECT conv_id, i, mid, mid AS to_, 3 AS more, 'D' AS letter, '' AS line
+    FROM rows_, range(4) q(mid)
+  UNION ALL SELECT conv_id, i, st, to_, CASE WHEN fault = 't' THEN 1 ELSE 0 END, 'K', chr(10) || role || ':' || text
+    FROM rows_ JOIN takes ON ini = {_INITIAL} WHERE fault IN ('', 't')
+  UNION ALL SELECT conv_id, i, st, to_, CASE WHEN fault = 't' THEN 3 ELSE 2 END, 'R',
+    chr(10) || CASE WHEN to_ = 2 THEN 'user' ELSE 'assistant' END || ':' || text
+    FROM rows_, takes WHERE ini <> 's' AND fault IN ('', 't')),
+dp AS (SELECT conv_id, 0 AS i, 0 AS st, {{'cost': 0, 'audit': '', 'body': ''}} AS b FROM convs
+  UNION ALL SELECT dp.conv_id, dp.i + 1, e.to_, min({{'cost': b.cost + o.more + e.more,
+    'audit': b.audit || o.done || e.letter, 'body': b.body || o.lines || e.line}})
+  FROM dp JOIN opened o ON o.st = dp.st JOIN edits e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id
+    AND e.i = dp.i + 1 AND e.mid = o.mid GROUP BY dp.conv_id, dp.i, e.to_),
+sizes AS (SELECT c.conv_id, count(r.i) AS n FROM convs c LEFT JOIN rows_ r
+    ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+ends AS (SELECT dp.conv_id, min({{'cost': b.cost + o.more, 'audit': b.audit || o.done,
+    'body': b.body || o.lines}}) AS b FROM dp JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id
+    AND s.n = dp.i JOIN opened o ON o.st = dp.st AND o.mid IN (0, 3) GROUP BY dp.conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.cost::BIGINT AS cost,
+  b.audit AS audit, sha256(substr(b.body, 2)) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+# Near words share the first or the last half of the shorter one, or of one as long less a letter;
+# the edit is then checked: strip the common beginning and end, and a letter at most is left.
+_SPELLING = f"""
+WITH RECURSIVE tab AS {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+low AS (SELECT doc_id, r, count(*) AS n FROM (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS r FROM runs WHERE length(r) >= 5) GROUP BY ALL),
+hit AS (SELECT r, n, {_crc(_utf8("coalesce(doc_id::VARCHAR, '') || ':' || r"))} AS h FROM low, tab),
+words AS MATERIALIZED (SELECT w, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN
+    left(r, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS w FROM hit)
+    WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+halves AS MATERIALIZED (SELECT DISTINCT w, n, side, CASE side WHEN 0 THEN left(w, k) ELSE right(w, k) END AS half
+    FROM (SELECT w, n, side, (length(w) - d) // 2 + side * c AS k FROM words, range(2) s(side), range(2) e(d),
+      range(2) f(c))),
+met AS (SELECT DISTINCT a.w AS a, b.w AS b, a.n, b.n AS m FROM halves a JOIN halves b
+    ON a.side = b.side AND a.half = b.half AND abs(length(a.w) - length(b.w)) <= 1 AND a.w <> b.w),
+same AS (SELECT *, list_sum(list_transform(range(1, least(length(a), length(b)) + 1),
+    lambda i: CASE WHEN left(a, i::INT) = left(b, i::INT) THEN 1 ELSE 0 END)) AS p,
+  list_sum(list_transform(range(1, least(length(a), length(b)) + 1),
+    lambda i: CASE WHEN right(a, i::INT) = right(b, i::INT) THEN 1 ELSE 0 END)) AS q FROM met),
+near AS MATERIALIZED (SELECT a, b, n, m FROM same WHERE least(length(a), length(b)) - least(p + q,
+    least(length(a), length(b))) + abs(length(a) - length(b)) <= 1),
+best AS (SELECT a, count(*) AS c, min({{'m': -m, 'b': b}}) AS f FROM near GROUP BY a),
+forms AS MATERIALIZED (SELECT w, n, coalesce(c, 0) AS c, CASE WHEN -f.m >= 2 * n THEN f.b END AS form,
+    CASE WHEN -f.m >= 2 * n THEN -f.m END AS form_n FROM words LEFT JOIN best ON a = w),
+way AS (SELECT w, w AS at_, form AS next_ FROM forms
+  UNION ALL SELECT y.w, f.w, f.form FROM way y JOIN forms f ON f.w = y.next_)
+SELECT w AS word, form, at_ AS root, n, c AS n_near, form_n FROM forms JOIN way USING (w) WHERE next_ IS NULL
+"""
+
 ORACLES = {
     "op2_decontamination": _LEAKS,
     "op3_suffix_array_dedup": _REPEATS,
     "op5_embedding_near_dedup": _VECTORS,
     "op8_license_scan": _licenses(),
     "op10_ngram_jaccard_join": _JACCARD,
+    "op11_conversation_repair": _CONVERSATIONS,
+    "op12_spelling_variants": _SPELLING,
 }

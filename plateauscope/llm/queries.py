@@ -67,12 +67,12 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.NgramJoin(table(spark, sf_dir, "documents")).components()
 
 
-@register("op11_conversation_repair")
+@register("op11_conversation_repair", ORACLES["op11_conversation_repair"])
 def op11_conversation_repair(spark, sf_dir):
     return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
-@register("op12_spelling_variants")
+@register("op12_spelling_variants", ORACLES["op12_spelling_variants"])
 def op12_spelling_variants(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return spelling.variants(spelling.count_words(docs, spelling.LEAST_LENGTH, damage=97))
