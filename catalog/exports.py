@@ -410,16 +410,37 @@ def a6(spark, sf):
         "study_id", "row_idx", "v.*")
 
 
-@register("a7_text_encodings", "charset:s lines:i", """
- SELECT 'UTF-16BE' charset, count(*) AS lines FROM figs""", _FIG)
+_CHARSETS = ("UTF-8", "UTF-16LE", "UTF-16BE")
+
+
+def _encoded(spark, sf):
+    """Lines of every study in three encodings, with letters whose bytes look like line ends."""
+    def build():
+        path = scratch_path(spark, "encodings")
+        f = _figures(spark, sf).select("study_id", (F.col("row_idx") + 1).alias("line_no"), F.concat_ws(
+            ";", F.lit("Ċ ਅĀ Њ é"), (F.col("row_idx") + 1).cast("string"), F.col("p0").cast("string"))
+            .alias("value"))
+        mark = {"UTF-8": "", "UTF-16LE": "FFFE", "UTF-16BE": "FEFF"}
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))),
+                                         lambda x: F.concat(x["value"], F.lit("\r\n"))), "")
+        whole = f.groupBy("study_id").agg(lines.alias("t"))  # files of a test, of a study's size
+        for c in _CHARSETS:
+            part = whole.select(F.concat(F.unhex(F.lit(mark[c])), F.encode("t", c)).cast("string").alias(
+                "value"), "study_id")
+            part.write.partitionBy("study_id").option("lineSep", " ").text(f"{path}/{c}")
+        return path
+    return memo(spark, (sf, "encoded"), lambda: spark.createDataFrame([(build(),)], "path string"))
+
+
+@register("a7_text_encodings", "charset:s study_id:s line_no:i value:s", f"""
+ SELECT charset, study_id, line_no-1 line_no, 'Ċ ਅĀ Њ é;'||CAST(row_idx+1 AS VARCHAR)||';'||CAST(p0 AS VARCHAR) AS value
+ FROM (SELECT study_id, row_idx, p0, row_number() OVER (PARTITION BY study_id ORDER BY row_idx) line_no FROM passes),
+  (VALUES {', '.join(f"('{c}')" for c in _CHARSETS)}) c(charset)""", chain("passes"))
 def a7(spark, sf):
-    path = scratch_path(spark, "utf16")
-    _figures(spark, sf).select(F.concat_ws("=", "study_id", F.col("row_idx").cast("string"))).repartition(
-        8).write.option("encoding", "UTF-16").csv(path)
-    d = G.decode_files(spark, path + "/*.csv")
-    lines = d.select("charset", F.explode(F.split("content", "\\r?\\n")).alias("l")).filter(
-        F.col("l").rlike("^\\w+=\\d+$"))
-    return lines.groupBy("charset").agg(F.count(F.lit(1)).alias("lines"))
+    path = _encoded(spark, sf).first()["path"]
+    lines = G.read_lines(spark, f"{path}/*/*/*.txt").filter("trim(value) <> ''")
+    return lines.select("charset", _study().alias("study_id"), "line_no",
+                        F.regexp_replace("value", "\\r$", "").alias("value"))
 
 
 @register("a8_file_roles", "study_id:s row_idx:i role:s", """

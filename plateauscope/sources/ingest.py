@@ -1,7 +1,7 @@
 """Readers of sweep exports, declared ranges and back-test reports.
 
-Text tables are read as splittable lines, never as one string per file: the place of
-a row in its file comes from the block offset and the order inside the block.
+Text tables are read as splittable lines in UTF-8 or UTF-16, never as one string per file: the
+place of a row in its file comes from the block offset and the order inside the block.
 """
 
 from __future__ import annotations
@@ -12,21 +12,19 @@ from pyspark.sql import functions as F
 from ..functions.parsing import (REPORT_PATTERN, comma_vote, dot_vote, metric_role,
                                  strip_number, text_to_number, to_number)
 from ..operators.ordering import attach
+from ..plans.stages import stage
 
 HEADER_ROWS = 12
 SET_LINE = r"(?im)^[A-Za-z_][\w]*\s*=\s*.+\|\|.+\|\|.+\|\|.+\|\|[YN]"
 
 
-def read_records(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """(file, line_no, value): the records of every file in file order."""
-    reader = spark.read
-    if separator:
-        reader = reader.option("lineSep", separator)
-    df = reader.text(path).select(
+def read_pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """(file, line_no, b): the bytes between separators, in file order, from splittable reads."""
+    df = spark.read.option("lineSep", separator).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"), "value")
-    return number_records(df)
+        F.monotonically_increasing_id().alias("_mid"), F.col("value").cast("binary").alias("value"))
+    return number_records(df).withColumnRenamed("value", "b")
 
 
 def number_records(df: DataFrame) -> DataFrame:
@@ -40,16 +38,89 @@ def number_records(df: DataFrame) -> DataFrame:
         "file", (F.col("_start") + F.row_number().over(w) - 1).alias("line_no"), "value")
 
 
-def decode_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content): whole small files decoded by their byte-order mark."""
-    b = spark.read.format("binaryFile").load(path)
-    head = F.hex(F.substring("content", 1, 2))
-    charset = F.when(head == "FFFE", "UTF-16LE").when(head == "FEFF", "UTF-16BE").otherwise("UTF-8")
-    text = F.when(charset == "UTF-16LE", F.decode("content", "UTF-16LE")).when(
-        charset == "UTF-16BE", F.decode("content", "UTF-16BE")).otherwise(
-        F.decode("content", "UTF-8"))
-    return b.select(F.col("path").alias("file"), charset.alias("charset"),
-                    F.regexp_replace(text, "^\\x{FEFF}", "").alias("content"))
+def charsets(pieces: DataFrame) -> DataFrame:
+    """(file, charset) by the byte-order mark at the head of each file; UTF-8 without one."""
+    heads = pieces.groupBy("file").agg(F.min_by(F.substring("b", 1, 2), "line_no").alias("_h"))
+    head = F.hex("_h")
+    return heads.select("file", F.when(head == "FFFE", "UTF-16LE").when(
+        head == "FEFF", "UTF-16BE").otherwise("UTF-8").alias("charset"))
+
+
+def text_of(b: Column, charset: Column) -> Column:
+    """Text of whole code units, without a byte-order mark; an odd last byte is dropped."""
+    even = F.substring(b, F.lit(1), (F.octet_length(b) - F.octet_length(b) % 2).cast("int"))
+    text = F.when(charset == "UTF-16LE", F.decode(even, "UTF-16LE")).when(
+        charset == "UTF-16BE", F.decode(even, "UTF-16BE")).otherwise(b.cast("string"))
+    return F.regexp_replace(text, "^\\x{FEFF}", "")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, charset, line_no, value): the lines of text files in UTF-8 or UTF-16, in file order.
+
+    Files are cut at the byte 0A whatever their encoding, so that every file splits. In UTF-16 that
+    byte ends a line only as half of a code unit: with a zero behind it at an even place (little
+    endian) or before it at an odd one (big endian). Places are running sums of lengths, block by block,
+    and pieces that no line end parts are joined again. The encodings are looked up first; lines of
+    UTF-16 files are written on the way, because later steps read them several times.
+    """
+    from ..operators.ordering import row_block, running_totals
+    pieces = read_pieces(spark, path, "\n")
+    known = stage(charsets(pieces), "charsets")
+    p = attach(pieces, known, ["file"], "inner", "line_no")
+    plain = p.filter("charset = 'UTF-8'").select("file", "charset", "line_no",
+                                                 text_of(F.col("b"), F.col("charset")).alias("value"))
+    if known.filter("charset <> 'UTF-8'").isEmpty():
+        return plain
+    wide = (p.filter("charset <> 'UTF-8'").withColumn("_n", F.octet_length("b").cast("long") + 1)
+            .withColumn("_blk", row_block("line_no")))
+    # Behind the byte 0A:
+    wide = stage(running_totals(stage(wide, "pieces"), ["file"], "_blk", ["line_no"], {"_end": "_n"}),
+                 "placed")
+    start, little = F.col("_end") - F.col("_n"), F.col("charset") == "UTF-16LE"
+    zero = lambda at: F.hex(F.substring("b", at, 1)) == "00"
+    # Little endian: a line begins with the second half of the line end before it.
+    begins = little & (start % 2 == 1) & zero(1)
+    ends = ~little & (F.col("_end") % 2 == 0) & zero(-1)
+    wide = wide.withColumn("_begins", begins).withColumn("_cut", (begins | ends).cast("long"))
+    wide = running_totals(wide.withColumn("_ends", ends), ["file"], "_blk", ["line_no"], {"_line": "_cut"})
+    line = F.col("_line") - F.when(F.col("_ends"), 1).otherwise(0)
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "b", "_begins", "_ends")))
+    lines = wide.withColumn("_at", line).groupBy("file", "charset", "_at").agg(parts.alias("_p"))
+    body = F.aggregate(F.slice("_p", 2, F.size("_p")), F.col("_p")[0]["b"], lambda acc, x: F.concat(
+        acc, F.unhex(F.lit("0A")), x["b"]))
+    skip = F.when(F.col("_p")[0]["_begins"], 1).otherwise(0)
+    drop = F.when(F.element_at("_p", -1)["_ends"], 1).otherwise(0)
+    body = F.substring(body, skip + 1, F.octet_length(body) - skip - drop)
+    lines = stage(lines.select("file", "charset", F.col("_at").alias("line_no"),
+                               text_of(body, F.col("charset")).alias("value")), "lines")
+    # What stands behind the last line end is no line if it is empty.
+    last = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
+    lines = attach(lines, last, ["file"], "inner", "line_no").filter(
+        (F.col("line_no") < F.col("_last")) | (F.col("value") != "")).drop("_last")
+    return plain.unionByName(lines)
+
+
+def read_records(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(file, line_no, value): the records of every file in file order, in UTF-8 or UTF-16.
+
+    With ``separator`` (ASCII) a file is cut there, in its own encoding; the path is read once for
+    every encoding that occurs.
+    """
+    if separator is None:
+        return read_lines(spark, path).select(
+            "file", "line_no", F.regexp_replace("value", "\\r$", "").alias("value"))
+    known = stage(charsets(read_pieces(spark, path, "\n")), "charsets")
+    written = {"UTF-8": separator, "UTF-16LE": "".join(c + "\0" for c in separator),
+               "UTF-16BE": "".join("\0" + c for c in separator)}
+    out, kinds = None, [r["charset"] for r in known.select("charset").distinct().collect()]
+    for kind in kinds:  # three at most
+        part = attach(read_pieces(spark, path, written[kind]),
+                      known.filter(F.col("charset") == kind), ["file"], "inner", "line_no")
+        part = part.select("file", "line_no", text_of(F.col("b"), F.col("charset")).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "file string, line_no long, value string")
+    return out if kinds in ([], ["UTF-8"]) else stage(out, "records")
 
 
 def delimiter_of(header: Column) -> Column:
