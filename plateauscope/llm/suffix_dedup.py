@@ -1,8 +1,9 @@
-"""Repeated byte strings: a depth-limited radix sort of all suffixes, groups only.
+"""Repeated byte strings: groups of equal windows, refined digit by digit as a radix sort would.
 
-A suffix matters through its first ``length`` bytes (its window). The sort is by most
-significant digit, and a pass goes on only with groups of more than one member, until equal
-groups have agreed on the whole window:
+A suffix matters through its first ``length`` bytes (its window). Groups are refined by one digit
+after the other, and a pass goes on only with groups of more than one member, until equal
+groups have agreed on the whole window. The digits are hashes of parts of the window and not its
+leading bytes, so suffixes are grouped and not put in order:
 
 1. The first digit of a window is the ``GRAM``-byte string of smallest hash inside it, leftmost
    if several. It depends on the window alone, so equal windows have equal digits, and
