@@ -15,8 +15,9 @@ from conftest import SF
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 SAMPLE = ("a2_delimited_table", "b6_structural_parameters", "c4_period_quality", "d5_conditional_sensitivity",
-          "d9_neighbours", "e2_robustness", "f3_spearman", "h2_fifo_matching", "h22_ljung_box",
-          "j4_attempts", "k3_false_positives")
+          "a7_text_encodings", "d9_neighbours", "d9_sparse_neighbours", "e2_robustness", "e25_threshold_stability",
+          "e26_gate_stability", "f3_spearman", "f6_selection_fragility", "h2_fifo_matching", "h22_ljung_box",
+          "h24_sample_curves", "j4_attempts", "k3_false_positives")
 
 
 def plain(v):
