@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plateauscope.functions import numeric as N
 from plateauscope.operators import bias as B
 from plateauscope.operators import evaluate as V
 from plateauscope.operators import history as H
@@ -378,24 +379,44 @@ def k4(spark, sf):
 _lm = lambda j: (f"(lgamma(n+1)-lgamma(({j})+1)-lgamma(n-({j})+1)+({j})*ln(r)+(n-({j}))*ln(1-r))")
 
 
-@register("k5_binomial_tests", "cell:s test:s p:d", _CAL + f"""
- SELECT cell, test, least(1, sum(CASE WHEN {_lm('j')} <= {_lm('k')} + 1e-7 THEN exp({_lm('j')}) ELSE 0 END)) p FROM (
-  SELECT cell, n, test, k, r, unnest(range(CAST(greatest(0, floor(n*r-40*sqrt(n*r*(1-r))-40)) AS BIGINT),
-   CAST(least(n, ceil(n*r+40*sqrt(n*r*(1-r))+40)) AS BIGINT)+1)) j FROM (
-   SELECT cell, n, 'beyond_p95' test, beyond_p95 k, 0.05 r FROM cal UNION ALL
-   SELECT cell, n, 'beyond_p50', beyond_p50, 0.5 FROM cal UNION ALL SELECT cell, n, 'outside', outside, 0.1 FROM cal))
- GROUP BY ALL""")
+_BINOMIAL = f"""
+ SELECT cell, test, least(1, sum(CASE WHEN {_lm('j')} <= {_lm('k')} + 1e-7 THEN exp({_lm('j')}) ELSE 0 END)) p,
+  any_value(k / n) rate, any_value(NOT k / n BETWEEN lo AND hi) off_band FROM (
+  SELECT cell, n, test, k, r, lo, hi, unnest(range(CAST(greatest(0, floor(n*r-40*sqrt(n*r*(1-r))-40)) AS BIGINT),
+   CAST(least(n, ceil(n*r+40*sqrt(n*r*(1-r))+40)) AS BIGINT)+1)) j FROM (""" + " UNION ALL ".join(
+    f"SELECT cell, n, '{t}' test, {t} k, {r} r, {lo} lo, {hi} hi FROM cal" for t, (r, lo, hi) in V.BANDS.items()) + """))
+ GROUP BY ALL"""
+_DECILES = [f"d{i}" for i in range(10)]
+_T = f"(1/(1+{N.NORM_CDF_P}*sqrt(chi)))"
+_UPPER = (f"{N.NORM_CDF_DENSITY}*exp(-chi/2)*(" + "+".join(
+    f"({b})*pow({_T}, {i + 1})" for i, b in enumerate(N.NORM_CDF_B)) + ")")
+_HOLM = _CAL.rstrip() + f""", chis AS (SELECT cell, {'+'.join(f'pow({d}-n/10, 2)/(n/10)' for d in _DECILES)} chi,
+  {' OR '.join(f'{d}/n NOT BETWEEN {V.DECILE_BAND[0]} AND {V.DECILE_BAND[1]}' for d in _DECILES)} off_band FROM cal),
+tests AS MATERIALIZED (SELECT cell, test, rate, p, off_band FROM ({_BINOMIAL}) UNION ALL
+ SELECT cell, 'pit', chi, CASE WHEN chi <= 0 THEN 1 ELSE 2*{_UPPER} + sqrt(2/3.141592653589793)*exp(-chi/2)
+  *(sqrt(chi)*(1 + chi/3 + chi*chi/15 + chi*chi*chi/105)) END, off_band FROM chis),
+placed AS (SELECT *, row_number() OVER (ORDER BY p, cell, test) place, count(*) OVER () m FROM tests),
+stepped AS (SELECT *, max(CASE WHEN p*(m-place+1) >= {V.ALPHA} THEN 1 ELSE 0 END) OVER (ORDER BY place
+  ROWS UNBOUNDED PRECEDING) = 0 AS significant FROM placed)
+"""
+
+
+@register("k5_binomial_tests", "cell:s test:s p:d", f"SELECT cell, test, p FROM ({_BINOMIAL})", _CAL)
 def k5(spark, sf):
     t = V.calibration_tests(V.interval_calibration(forecasts(spark, sf)))
     return t.filter("test <> 'pit'")
 
 
-@register("k5_calibration_verdict", "cell:s test:s rate:d off_band:b significant:b fails:b")
+@register("k5_calibration_verdict", "cell:s test:s rate:d off_band:b significant:b fails:b",
+          "SELECT *, significant AND off_band fails FROM stepped", _HOLM)
 def k5b(spark, sf):
     return V.calibration_tests(V.interval_calibration(forecasts(spark, sf)))
 
 
-@register("k5_smallest_apt", "horizon:i smallest_days:i")
+@register("k5_smallest_apt", "horizon:i smallest_days:i", """
+ SELECT 126 AS horizon, min(days) FILTER (worst IS NULL OR days > worst) smallest_days FROM (
+  SELECT n - n % 100 AS days, max(CASE WHEN cell IN (SELECT cell FROM stepped WHERE significant AND off_band)
+   THEN n - n % 100 END) OVER () worst FROM cal)""", _HOLM)
 def k5c(spark, sf):
     c = V.interval_calibration(forecasts(spark, sf))
     meta = c.select("cell", F.lit(126).alias("horizon"), (F.col("n") - F.col("n") % 100).alias("days"))

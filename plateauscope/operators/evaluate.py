@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import uniform
-from .ordering import attach, medians, quantiles, with_ranks
+from .ordering import attach, medians, quantiles, value_counts, with_ranks
 
 # Criteria and practical bands of the calibration verdicts.
 POSITIVE = ("moderate", "good", "strong")
@@ -175,14 +175,26 @@ def calibration_tests(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
         share, lambda s: ~s.between(*DECILE_BAND)).alias("off_band"))
     pit = pit.select("cell", "test", "rate", chi_square_p9(F.col("rate")).alias("p"), "off_band")
     t = b.unionByName(pit)
-    order = Window.orderBy("p", "cell", "test")  # a summary table: four rows per cell
-    t = t.withColumn("place", F.row_number().over(order)).withColumn(
-        "m", F.count(F.lit(1)).over(Window.partitionBy()))
-    ok = F.col("p") * (F.col("m") - F.col("place") + 1) >= alpha
-    t = t.withColumn("_stop", F.max(ok.cast("int")).over(
-        order.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.select("cell", "test", "rate", "p", "off_band", (F.col("_stop") == 0)
-                    .alias("significant"), ((F.col("_stop") == 0) & F.col("off_band")).alias("fails"))
+    t = holm(t, alpha)
+    return t.select("cell", "test", "rate", "p", "off_band", "significant",
+                    (F.col("significant") & F.col("off_band")).alias("fails"))
+
+
+def holm(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Add ``significant`` by the step-down of Holm over the column ``p`` of all rows.
+
+    A value fails the step where it, times the tests that are not below it, reaches ``alpha``; of
+    equal values the first has the largest factor, so values stand for their ties. Rows below the
+    smallest failing value are significant. Values are counted with map-side combine and ranked in
+    buckets of their size; no window runs over all tests, and one number comes back to the rows.
+    """
+    at = tests.withColumn("_all", F.lit(0))
+    stop = (value_counts(at, ["_all"], "p")
+            .filter(F.col("v") * (F.col("n") - F.col("before")) >= alpha)
+            .groupBy("_all").agg(F.min("v").alias("_stop")))
+    out = attach(at, stop, ["_all"])
+    return out.withColumn("significant", F.col("_stop").isNull() | (F.col("p") < F.col("_stop"))).drop(
+        "_all", "_stop")
 
 
 def smallest_apt(tests: DataFrame, cells: DataFrame) -> DataFrame:

@@ -58,3 +58,19 @@ def test_number_texts(spark, text, value):
     ("StopLoss", None), ("Profit target", None)])
 def test_metric_roles(spark, header, role):
     assert one(spark, X.metric_role(F.lit(header))) == role
+
+
+def test_step_down_equals_holm(spark):
+    import random
+    from plateauscope.operators import evaluate as V
+    rng = random.Random(12)
+    for case in range(6):
+        ps = [rng.choice([0.0, 1e-9, 0.001, 0.002, 0.004, 0.01, 0.05, 0.2, rng.random() * 0.01])
+              for _ in range(rng.choice([0, 1, 7, 40]))]
+        df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "i int, p double")
+        got = {r.i: r.significant for r in V.holm(df).collect()}
+        want, stopped = {}, False
+        for place, (p, i) in enumerate(sorted((p, i) for i, p in enumerate(ps))):
+            stopped = stopped or p * (len(ps) - place) >= V.ALPHA
+            want[i] = not stopped
+        assert got == want
