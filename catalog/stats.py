@@ -219,7 +219,7 @@ def _expectation(spark, sf):
     a = audit(spark, sf)
     top = a.plateaus.filter("rank <= 3").select(
         "study_id", F.col("representative").alias("row_idx"))
-    return B.expectation(stage(B.units(a.cells, a.edges), "units"), a.coarse, top, reps=200)
+    return B.expectation(stage(B.units(a.cells, a.edges), "units"), a.coarse, top)
 
 
 @register("f13_block_bootstrap", "study_id:s beta:d beta_lo:d beta_hi:d family:d blocks:i reps:i")

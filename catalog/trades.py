@@ -186,12 +186,12 @@ def days(spark, sf):
 @register("h9_stationary_bootstrap", "report_id:i sims:i total_p05:d total_p50:d total_p95:d "
           "fall_p50:d fall_p95:d loss_63:d loss_126:d loss_252:d")
 def h9(spark, sf):
-    return M.bootstrap_summary(M.stationary_bootstrap(days(spark, sf), sims=1000))
+    return M.bootstrap_summary(M.stationary_bootstrap(days(spark, sf)))
 
 
 @register("h10_mean_interval", "report_id:i n:i mean_p05:d mean_p50:d mean_p95:d")
 def h10(spark, sf):
-    return M.mean_interval(M.bootstrap_summary(M.stationary_bootstrap(days(spark, sf), sims=1000)))
+    return M.mean_interval(M.bootstrap_summary(M.stationary_bootstrap(days(spark, sf))))
 
 
 @register("h11_sample_audit", "report_id:i n:i sharpe:d min_track:i reason:s", _D + f"""
@@ -308,13 +308,13 @@ PRED = ("report_id:i sims:i total_p05:d total_p50:d total_p95:d fall_p50:d fall_
 @register("h18_two_stage_forecast", PRED)
 def h18(spark, sf):
     return M.predictive_summary(M.predictive_paths(
-        days(spark, sf), T.block_length(daily(spark, sf)), 126, sims=1000), (1e8,))
+        days(spark, sf), T.block_length(daily(spark, sf)), 126), (1e8,))
 
 
 @register("h19_urn_forecast", PRED)
 def h19(spark, sf):
     return M.predictive_summary(M.predictive_paths(
-        days(spark, sf), T.block_length(daily(spark, sf)), 126, sims=1000, method="bayes"), (1e8,))
+        days(spark, sf), T.block_length(daily(spark, sf)), 126, method="bayes"), (1e8,))
 
 
 @register("h20_calibrated_forecast", "report_id:i horizon:i total_p05:d total_p50:d total_p95:d "
