@@ -87,9 +87,9 @@ def i1(spark, sf):
 @register("i2_repeated_period", "study_id:s row_idx:i repeated:s", """
  SELECT study_id, row_idx, CASE row_idx % 4 WHEN 0 THEN 'is' WHEN 1 THEN CASE WHEN oos_trades > 0 THEN 'oos' END
   WHEN 2 THEN CASE WHEN oos_trades > 0 THEN 'both' END END repeated FROM passes
- WHERE study_id='bump' AND oos_trades > 20 AND is_trades > 2*oos_trades + 50""", chain("passes"))
+ WHERE oos_trades > 20 AND is_trades > 2*oos_trades + 50""", chain("passes"))
 def i2(spark, sf):
-    p = R.sweep(spark, sf).filter("study_id = 'bump'")
+    p = R.sweep(spark, sf)
     i, o, k = F.col("is"), F.col("oos"), F.col("row_idx") % 4
     sel = lambda m: F.when(k == 0, i[m]).when(k == 1, o[m]).when(k == 2, i[m] + o[m]).otherwise(
         i[m] * 3 + 1000)

@@ -174,10 +174,10 @@ def b7(spark, sf):
  SELECT study_id, header, CASE header WHEN 'p0' THEN 11 WHEN 'p1' THEN 9 WHEN 'p2' THEN 5 WHEN 'Mode' THEN 2
   WHEN 'Flag' THEN 2 ELSE n END levels, header <> 'Comment' is_parameter,
   CASE WHEN header='Comment' THEN 'useless_categories' END reason
- FROM (SELECT study_id, count(*) n FROM isr WHERE study_id='solo' GROUP BY 1),
+ FROM (SELECT study_id, count(*) n FROM isr GROUP BY 1),
  (VALUES ('p0'),('p1'),('p2'),('Mode'),('Flag'),('Comment')) h(header)""", _EX)
 def b8(spark, sf):
-    return I.single_table_parameters(cells(spark, sf).filter("study_id = 'solo'")).filter(
+    return I.single_table_parameters(cells(spark, sf).filter("period = 'is'")).filter(
         "reason IS NULL OR reason <> 'metric'")
 
 

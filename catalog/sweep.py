@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plateauscope.operators import plateau as P
 from plateauscope.operators import quality as Q
 from plateauscope.operators import space as S
-from plateauscope.operators.ordering import with_ranks
+from plateauscope.operators.ordering import attach, with_ranks
 from plateauscope.plans import relations as RL
 
 from .base import audit, register
@@ -39,7 +39,7 @@ def c1(spark, sf):
  FROM passes JOIN studies USING (study_id)""", chain("studies"))
 def c2(spark, sf):
     a = audit(spark, sf)
-    r = a.passes.join(F.broadcast(a.studies.select("study_id", "anchors")), "study_id")
+    r = attach(a.passes, a.studies.select("study_id", "anchors"), ["study_id"], "inner", "row_idx")
     s = Q.component_scores(F.col("is"), F.col("anchors"))
     return r.select("study_id", "row_idx", *[v.alias(k) for k, v in s.items()])
 
@@ -51,8 +51,8 @@ def c2(spark, sf):
  FROM passes JOIN studies USING (study_id) WHERE oos_known""", chain("studies"))
 def c3(spark, sf):
     a = audit(spark, sf)
-    r = a.passes.filter("oos_known").join(
-        F.broadcast(a.studies.select("study_id", "period_ratio")), "study_id")
+    r = attach(a.passes.filter("oos_known"), a.studies.select("study_id", "period_ratio"), ["study_id"],
+               "inner", "row_idx")
     m = Q.length_adjust(F.col("oos"), F.col("period_ratio"))
     return r.select("study_id", "row_idx", m["drawdown"].alias("drawdown"),
                     m["recovery_factor"].alias("recovery_factor"))
