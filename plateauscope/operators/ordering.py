@@ -208,3 +208,37 @@ def running_totals(df: DataFrame, keys: Sequence[str], block: str, order: Sequen
             F.col("_peak_0"), F.col(f"_{peak}_0") + F.col("_peak_in")))
     return out.drop(*[f"_{n}{end}" for n in values for end in ("_in", "_0")],
                     *(["_peak_in", "_peak_0"] if peak else []))
+
+
+def running_falls(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str],
+                  values: dict[str, Column], start: float, partitions: int) -> DataFrame:
+    """Greatest falls of running sums from their peak (at least zero): (keys, series, fall, drawdown).
+
+    ``drawdown`` is the greatest fall in percent of ``start`` > 0 plus the peak. Rows travel once, as
+    ``df`` has them, for all ``values``, which are computed where they arrive; ``partitions`` is their
+    number of tasks. A block becomes its stairs: each height its running sum reached first, with the
+    lowest sum before the next one, relative to the beginning of the block. Stairs and what was before the
+    block give its exact falls, so nothing but blocks is put in order over a key.
+    """
+    keys, order = list(keys), list(order)
+    w = (Window.partitionBy(*keys, block).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, 0))
+    t = df.repartition(partitions, *keys, block)
+    t = t.select(*keys, block, *order, *[v.alias(f"_x_{n}") for n, v in values.items()])
+    t = t.select("*", *[F.sum(f"_x_{n}").over(w).alias(f"_s_{n}") for n in values])
+    t = t.select("*", *[F.max(f"_s_{n}").over(w).alias(f"_p_{n}") for n in values])
+    t = t.select(*keys, block, F.explode(F.array(*[F.struct(
+        F.lit(n).alias("series"), F.col(f"_x_{n}").alias("x"), F.col(f"_s_{n}").alias("s"),
+        F.col(f"_p_{n}").alias("p")) for n in values])).alias("e")).select(*keys, block, "e.*")
+    stairs = t.groupBy(*keys, block, "series", "p").agg(F.min("s").alias("low"), F.sum("x").alias("x"))
+    blocks = stairs.groupBy(*keys, block, "series").agg(
+        F.sum("x").alias("x"), F.max("p").alias("top"), F.collect_list(F.struct("p", "low")).alias("stairs"))
+    before = (Window.partitionBy(*keys, "series").orderBy(block)
+              .rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_0", F.coalesce(F.sum("x").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_peak", F.greatest(F.lit(0), F.max(F.col("_0") + F.col("top")).over(before)))
+    at = blocks.select(*keys, "series", "_0", "_peak", F.inline("stairs"))
+    peak = F.greatest(F.col("_peak"), F.col("_0") + F.col("p"))
+    fall = peak - F.col("_0") - F.col("low")
+    return at.groupBy(*keys, "series").agg(
+        F.max(fall).alias("fall"), F.max(100 * fall.cast("double") / (peak + start)).alias("drawdown"))

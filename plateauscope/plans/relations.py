@@ -14,17 +14,18 @@ shipped before 2000 are the optimised period. Six studies share the grid:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import running_totals
+from ..operators.ordering import running_falls, running_totals
 from .stages import memo, stage
 
 METRICS = ("profit", "profit_factor", "recovery_factor", "sharpe", "drawdown", "trades",
            "expected_payoff")
 PARAMS = ("p0", "p1", "p2")
 SPLIT = "2000-01-01"
-ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "pnl")
+ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "px")
+TASK_ROWS = 100_000  # rows of lineitem that a task puts in order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,22 +46,29 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("px"))
 
 
-def _period_metrics(trades: DataFrame, keys: list[str], capital: int) -> DataFrame:
-    """Metrics per (keys, p0, p1, p2, period) of trades with a ``pnl`` in cents."""
+def _period_metrics(lines: DataFrame, keys: list[str], studies: dict[str, Column], rows: int) -> DataFrame:
+    """Metrics per (keys, series, p0, p1, p2, period) of ``studies``: series and its money in cents.
+
+    What has no order is combined where the rows are read; the rows travel once for the falls of all
+    studies. The money of a study is ``px`` and a constant of the group, so ``px`` orders them all.
+    """
     group = [*keys, *PARAMS, "period"]
-    t = running_totals(trades, group, "day", list(ORDER), {"eq": "pnl"}, peak="eq")
-    fall = F.col("eq_peak") - F.col("eq")
-    return t.groupBy(*group).agg(
+    lines = lines.dropna(subset=[*group, "day"])
+    capital = capital_of(rows)
+    series = [*group, "series"]
+    t = lines.select(*group, F.explode(F.array(*[F.struct(
+        F.lit(n).alias("series"), pnl.alias("pnl")) for n, pnl in studies.items()])).alias("v"))
+    sums = t.select(*group, "v.*").groupBy(*series).agg(
         F.count(F.lit(1)).alias("trades"),
         F.sum("pnl").alias("cents"),
         F.sum(F.greatest("pnl", F.lit(0))).alias("won"),
         F.sum(F.least("pnl", F.lit(0))).alias("lost"),
-        F.max(100 * fall.cast("double") / (F.col("eq_peak") + capital)).alias("drawdown"),
-        F.max(fall).alias("fall"),
         F.avg("pnl").alias("mean"),
-        F.stddev_samp("pnl").alias("sd"),
-    ).select(
-        *group,
+        F.stddev_samp("pnl").alias("sd"))
+    falls = running_falls(lines.select(*group, "day", *ORDER), group, "day", ORDER, studies, capital,
+                          max(1, rows // TASK_ROWS))
+    return sums.join(falls, series).select(
+        *series,
         (F.col("cents") / 100).alias("profit"),
         F.coalesce(F.try_divide(F.col("won").cast("double"), -F.col("lost")), F.lit(99.0))
         .alias("profit_factor"),
@@ -73,19 +81,13 @@ def _period_metrics(trades: DataFrame, keys: list[str], capital: int) -> DataFra
         (F.col("mean") / 100).alias("expected_payoff"))
 
 
-def _variants(lines: DataFrame) -> DataFrame:
+def _studies() -> dict[str, Column]:
     ridge = F.greatest(F.lit(0), 6 - F.abs(F.col("p0") - 5) - F.abs(F.col("p1") - 4)
                        - F.abs(F.col("p2") - 2)).cast("long")
     moving = F.greatest(F.lit(0), 6 - F.abs(F.col("p0") - F.when(
         F.col("period") == "is", 3).otherwise(9))).cast("long")
-    return (lines.withColumn("v", F.explode(F.array(
-        F.struct(F.lit("bump").alias("study_id"),
-                 (F.col("px") - 6000000 + 500000 * ridge).alias("pnl")),
-        F.struct(F.lit("noise").alias("study_id"), (F.col("px") - 6000000).alias("pnl")),
-        F.struct(F.lit("flip").alias("study_id"),
-                 (F.col("px") - 6000000 + 600000 * moving).alias("pnl")),
-        F.struct(F.lit("loser").alias("study_id"), (F.col("px") - 9000000).alias("pnl")))))
-        .select("v.*", *[c for c in lines.columns if c != "px"]))
+    return {"bump": F.col("px") - 6000000 + 500000 * ridge, "noise": F.col("px") - 6000000,
+            "flip": F.col("px") - 6000000 + 600000 * moving, "loser": F.col("px") - 9000000}
 
 
 def capital_of(rows: int) -> int:
@@ -100,9 +102,8 @@ def _row_count(spark: SparkSession, sf_dir: str) -> int:
 def sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(study_id, p0, p1, p2, period, seven metrics), one row per pass and period."""
     def build():
-        base = _period_metrics(_variants(_lines(spark, sf_dir)), ["study_id"],
-                               capital_of(_row_count(spark, sf_dir)))
-        base = stage(base, "sweep_base")
+        base = _period_metrics(_lines(spark, sf_dir), [], _studies(), _row_count(spark, sf_dir))
+        base = stage(base.withColumnRenamed("series", "study_id"), "sweep_base")
         bump = base.filter("study_id = 'bump'")
         solo = bump.filter("period = 'is'").withColumn("study_id", F.lit("solo"))
         part = (bump.filter("period = 'is' OR (p0 + p1 + p2) % 3 <> 0")
@@ -142,15 +143,11 @@ def min_trades(spark: SparkSession, sf_dir: str) -> float:
 def sweep_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The planted sweep cut into one study per ship flag and year."""
     def build():
-        lines = _lines(spark, sf_dir)
-        ridge = F.greatest(F.lit(0), 6 - F.abs(F.col("p0") - 5) - F.abs(F.col("p1") - 4)
-                           - F.abs(F.col("p2") - 2)).cast("long")
-        t = lines.select("*", (F.col("px") - 6000000 + 500000 * ridge).alias("pnl"),
-                         F.concat_ws("-", "l_returnflag", "year").alias("study_id"))
+        t = _lines(spark, sf_dir).withColumn("study_id", F.concat_ws("-", "l_returnflag", "year"))
         # Inside a year the first half is optimised and the second half is the forward.
         t = t.withColumn("period", F.when(F.month("day") <= 6, "is").otherwise("oos"))
-        return as_passes(_period_metrics(t, ["study_id"],
-                                         capital_of(_row_count(spark, sf_dir))))
+        return as_passes(_period_metrics(t, ["study_id"], {"bump": _studies()["bump"]},
+                                         _row_count(spark, sf_dir)))
     return memo(spark, (sf_dir, "passes_many"), build)
 
 

@@ -61,3 +61,31 @@ def test_running_totals(spark, both_forms):
             c += v
             p = max(p, c)
             assert (got[k, i]["c"], got[k, i]["c_peak"]) == (c, p)
+
+
+def test_running_falls(spark, both_forms):
+    rng = random.Random(2)
+    data = [(k, i // n, i, rng.randint(-90, 95)) for k, n in ((0, 1), (1, 40), (2, 400)) for i in range(400)]
+    df = spark.createDataFrame(data, "k int, day int, i int, v int").repartition(4)
+    v = F.col("v").cast("long")
+    values = {"plain": v, "moved": v - 20 * F.col("k"), "falling": v - 200}
+    got = {(r.k, r.series): r for r in O.running_falls(
+        df, ["k"], "day", ["i"], values, 1000, 3).collect()}
+    assert len(got) == 9
+    for (k, series), r in got.items():
+        eq = peak = fall = share = 0
+        for _, _, _, x in sorted(d for d in data if d[0] == k):
+            eq += x - {"plain": 0, "moved": 20 * k, "falling": 200}[series]
+            peak = max(peak, eq)
+            fall, share = max(fall, peak - eq), max(share, 100 * float(peak - eq) / (peak + 1000))
+        assert (r.fall, r.drawdown) == (fall, share)
+
+
+def test_rows_of_a_sweep_travel_once(spark):
+    """Not once a study: no exchange lies above the copies but those of combined rows."""
+    from conftest import SF
+    from plateauscope.plans import relations as R
+    df = R._period_metrics(R._lines(spark, SF), [], R._studies(), 600000)
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [line for line in plan if "Exchange hashpartitioning" in line and ", day#" in line]
+    assert len(moved) == 1 and "REPARTITION_BY_NUM" in moved[0]
