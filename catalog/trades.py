@@ -35,12 +35,12 @@ y AS MATERIALIZED (SELECT daily.report_id, day_idx t, pnl_cents-m y, n FROM dail
 
 
 def contracts(spark, sf):
-    return R.deals(spark, sf).select("report_id", "symbol").distinct().withColumn(
+    return R.closed(spark, sf).select("report_id", "symbol").distinct().withColumn(
         "value_per_unit", F.lit(10.0))
 
 
 def daily(spark, sf):
-    return memo(spark, (sf, "daily"), lambda: T.daily_series(R.deals(spark, sf),
+    return memo(spark, (sf, "daily"), lambda: T.daily_series(R.closed(spark, sf),
                                                             contracts(spark, sf)))
 
 
@@ -109,7 +109,7 @@ def h3(spark, sf):
  WHERE d.report_id NOT IN (SELECT report_id FROM d WHERE balance_cents-net_cents <= 0
   OR balance_cents <= 0)""")
 def h4(spark, sf):
-    return T.day_trades(R.deals(spark, sf), log=True)
+    return T.day_trades(R.deals(spark, sf), log=True, daily=daily(spark, sf))
 
 
 @register("h5_contract_values", "report_id:i symbol:s value_per_unit:d median_price:d samples:i "
@@ -180,7 +180,7 @@ def h8(spark, sf):
 
 def days(spark, sf):
     return memo(spark, (sf, "day_arrays"), lambda: M.day_summaries(
-        T.day_trades(R.deals(spark, sf)), daily(spark, sf)))
+        T.day_trades(R.deals(spark, sf), daily=daily(spark, sf)), daily(spark, sf)))
 
 
 @register("h9_stationary_bootstrap", "report_id:i sims:i total_p05:d total_p50:d total_p95:d "
@@ -391,7 +391,7 @@ def _orders(spark, sf):
 def _order_tables(spark, sf):
     """Paths and equity at the grid points, in one table; point 0 has the path's own figures."""
     paths, marks = M.order_paths(days(spark, sf), stage=stage)
-    at = M.order_points(marks, T.day_trades(R.deals(spark, sf)))
+    at = M.order_points(marks, T.day_trades(R.deals(spark, sf), daily=daily(spark, sf)))
     none = F.lit(None).cast("double")
     return paths.select("report_id", "sim", F.lit(0).cast("long").alias("point"), none.alias("x"),
                         "total", "fall", "longest").unionByName(at.select(

@@ -34,6 +34,7 @@ LOSS_HORIZONS = (63, 126, 252)
 MIN_ORDER_TRADES = 30
 SIM_BLOCK = 250
 GRID_POINTS = 120
+TASK_TRADES = 100_000  # trades that a task puts in order
 
 DAY_FIELDS = ("total", "hi", "lo", "fall", "count", "lead", "tail", "longest", "won")
 
@@ -47,27 +48,35 @@ def uniforms(seed: int, n: np.ndarray) -> np.ndarray:
     return ((t ^ (t >> np.uint64(14))) & word) / 4294967296.0
 
 
+def _by_day(df: DataFrame, trades: int) -> DataFrame:
+    """Rows with those of their day, in as many tasks as the number of trades asks for.
+
+    Narrow rows are small as files and several times that in memory, so the size of files does not decide.
+    """
+    return df.repartition(max(1, trades // TASK_TRADES), *REPORT, "day_idx")
+
+
 def day_summaries(trades: DataFrame, daily: DataFrame) -> DataFrame:
     """One array row per report with the summary of every day of its calendar.
 
-    ``trades``: report_id, day_idx, seq, inc. The windows run inside one day.
+    ``trades``: report_id, day_idx, seq, inc. The windows run inside one day; trades are moved and put in
+    order once.
     """
     w = Window.partitionBy(*REPORT, "day_idx").orderBy("seq").rowsBetween(
         Window.unboundedPreceding, 0)
-    t = trades.withColumn("_c", F.sum("inc").over(w))
+    t = _by_day(trades, trades.count()).withColumn("_c", F.sum("inc").over(w))
     t = t.withColumn("_p", F.greatest(F.lit(0.0), F.max("_c").over(w)))
     t = t.withColumn("_wins", F.sum((F.col("inc") > 0).cast("int")).over(w))
-    run = t.groupBy(*REPORT, "day_idx", "_wins").agg(
-        F.count_if(F.col("inc") < 0).alias("_losses"))
-    runs = run.groupBy(*REPORT, "day_idx").agg(
-        F.max("_losses").alias("longest"), F.max("_wins").alias("_lastwin"),
-        F.max_by("_losses", "_wins").alias("tail"),
+    runs = t.groupBy(*REPORT, "day_idx", "_wins").agg(
+        F.count_if(F.col("inc") < 0).alias("_losses"), F.sum("inc").alias("total"), F.max("_p").alias("hi"),
+        F.min("_c").alias("lo"), F.max(F.col("_p") - F.col("_c")).alias("fall"),
+        F.count(F.lit(1)).alias("count"))
+    per = runs.groupBy(*REPORT, "day_idx").agg(
+        F.sum("total").alias("total"), F.max("hi").alias("hi"),
+        F.least(F.lit(0.0), F.min("lo")).alias("lo"), F.max("fall").alias("fall"),
+        F.sum("count").alias("count"), F.max("_losses").alias("longest"),
+        (F.max("_wins") > 0).alias("won"), F.max_by("_losses", "_wins").alias("tail"),
         F.coalesce(F.max(F.when(F.col("_wins") == 0, F.col("_losses"))), F.lit(0)).alias("lead"))
-    per = t.groupBy(*REPORT, "day_idx").agg(
-        F.sum("inc").alias("total"), F.max("_p").alias("hi"),
-        F.least(F.lit(0.0), F.min("_c")).alias("lo"),
-        F.max(F.col("_p") - F.col("_c")).alias("fall"), F.count(F.lit(1)).alias("count"))
-    per = per.join(runs, [*REPORT, "day_idx"]).withColumn("won", F.col("_lastwin") > 0)
     full = daily.select(*REPORT, "day_idx").join(per, [*REPORT, "day_idx"], "left")
     zero = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in DAY_FIELDS]
     packed = full.select(*REPORT, F.struct("day_idx", *zero).alias("d"))
@@ -414,13 +423,15 @@ def order_summary(paths: DataFrame) -> DataFrame:
 def order_points(marks: DataFrame, trades: DataFrame, log: bool = False) -> DataFrame:
     """(report, sim, point, x): the equity of every path at its grid points.
 
-    The equity inside a day comes from an equi-join on (report, day, place in day).
+    The equity inside a day comes from an equi-join on (report, day, place in day). Trades and points go
+    to their day once.
     """
+    size = trades.count()
     w = Window.partitionBy(*REPORT, "day_idx").orderBy("seq")
-    inside = trades.select(*REPORT, "day_idx", F.row_number().over(w).cast("long").alias("k"),
+    inside = _by_day(trades, size).select(*REPORT, "day_idx", F.row_number().over(w).cast("long").alias("k"),
                            F.sum("inc").over(w).alias("_in"))
     x = F.col("before") + F.col("_in")
-    return marks.join(inside, [*REPORT, "day_idx", "k"]).select(
+    return _by_day(marks, size).join(inside, [*REPORT, "day_idx", "k"]).select(
         *REPORT, "sim", "point", (F.exp(x) - 1 if log else x).alias("x"))
 
 

@@ -154,25 +154,29 @@ def _with_calendar(days: DataFrame) -> DataFrame:
     return full
 
 
-def _usable(deals: DataFrame) -> DataFrame:
-    """Drop the reports with an unreadable date: the series is all or nothing."""
-    bad = deals.filter("day IS NULL").select(*REPORT).distinct()
-    return deals.join(bad, REPORT, "left_anti")
-
-
 def daily_series(deals: DataFrame, contracts: DataFrame | None = None) -> DataFrame:
-    """Daily sums with weekday fill: report_id, day, day_idx, pnl, volume, trades, notional."""
-    d = _usable(deals)
+    """Daily sums with weekday fill: report_id, day, day_idx, pnl, volume, trades, notional.
+
+    Deals are summed per symbol and day where they are read; what follows sees days only. A report with
+    an unreadable date has no rows: the series is all or nothing.
+    """
+    keys = [*REPORT, "day"]
+    sums = lambda by, *more: deals.groupBy(*by).agg(
+        F.sum("net_cents").alias("pnl_cents"), F.sum("volume").alias("volume"),
+        F.count(F.lit(1)).alias("trades"), *more)
     if contracts is None:
-        d = d.withColumn("_notional", F.lit(None).cast("double"))
+        days = sums(keys).withColumn("notional", F.lit(None).cast("double")).withColumn(
+            "_unknown", F.col("trades"))
     else:
-        d = attach(d, contracts.select(*REPORT, "symbol", "value_per_unit"),
-                   [*REPORT, "symbol"], "left", "seq").withColumn(
-            "_notional", F.col("price") * F.col("volume") * F.col("value_per_unit"))
-    days = d.groupBy(*REPORT, "day").agg(
-        F.sum("net_cents").alias("pnl_cents"), F.sum("volume").alias("volume"),
-        F.count(F.lit(1)).alias("trades"), F.sum("_notional").alias("notional"),
-        F.count_if(F.col("_notional").isNull()).alias("_unknown"))
+        traded = F.col("price") * F.col("volume")
+        d = sums([*keys, "symbol"], F.sum(traded).alias("_traded"), F.count_if(traded.isNull()).alias("_open"))
+        d = d.join(contracts.select(*REPORT, "symbol", "value_per_unit"), [*REPORT, "symbol"], "left")
+        value = F.col("value_per_unit")
+        days = d.groupBy(*keys).agg(
+            *[F.sum(c).alias(c) for c in ("pnl_cents", "volume", "trades")],
+            F.sum(F.col("_traded") * value).alias("notional"),
+            F.sum(F.when(value.isNull(), F.col("trades")).otherwise(F.col("_open"))).alias("_unknown"))
+    days = days.join(days.filter("day IS NULL").select(*REPORT), REPORT, "left_anti")
     known = days.groupBy(*REPORT).agg((F.sum("_unknown") == 0).alias("_known"))
     full = _with_calendar(days).join(known, REPORT)
     w = Window.partitionBy(*REPORT).orderBy("day")  # a calendar: a few thousand rows
@@ -184,19 +188,22 @@ def daily_series(deals: DataFrame, contracts: DataFrame | None = None) -> DataFr
         F.when(F.col("_known"), F.coalesce("notional", F.lit(0.0))).alias("notional"))
 
 
-def day_trades(deals: DataFrame, log: bool = False) -> DataFrame:
-    """Ordered increments per day (money in cents, or log return on the balance before)."""
-    d = _usable(deals)
+def day_trades(deals: DataFrame, log: bool = False, daily: DataFrame | None = None) -> DataFrame:
+    """Ordered increments per day (money in cents, or log return on the balance before).
+
+    ``daily`` is the series of the same deals where it is at hand. Reports that are left out are taken
+    from the series, so that deals meet a few days only and are not moved for it.
+    """
+    idx = (daily_series(deals) if daily is None else daily).select(*REPORT, "day", "day_idx")
     if log:
         before = F.col("balance_cents") - F.col("net_cents")
         ok = (before > 0) & (1 + F.col("net_cents") / before > 0)
-        bad = d.filter(~F.coalesce(ok, F.lit(False))).select(*REPORT).distinct()
-        d = d.join(bad, REPORT, "left_anti").withColumn(
-            "inc", F.log1p(F.col("net_cents") / before))
+        bad = deals.filter(~F.coalesce(ok, F.lit(False))).select(*REPORT).distinct()
+        idx = idx.join(bad, REPORT, "left_anti")
+        inc = F.log1p(F.col("net_cents") / before)
     else:
-        d = d.withColumn("inc", F.col("net_cents").cast("double"))
-    idx = daily_series(deals).select(*REPORT, "day", "day_idx")
-    return d.join(idx, [*REPORT, "day"]).select(*REPORT, "day_idx", "seq", "inc")
+        inc = F.col("net_cents").cast("double")
+    return deals.join(idx, [*REPORT, "day"]).select(*REPORT, "day_idx", "seq", inc.alias("inc"))
 
 
 def contract_values(closes: DataFrame) -> DataFrame:

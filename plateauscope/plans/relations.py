@@ -14,10 +14,10 @@ shipped before 2000 are the optimised period. Six studies share the grid:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import running_falls, running_totals
+from ..operators.ordering import running_falls
 from .stages import memo, stage
 
 METRICS = ("profit", "profit_factor", "recovery_factor", "sharpe", "drawdown", "trades",
@@ -151,30 +151,51 @@ def sweep_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memo(spark, (sf_dir, "passes_many"), build)
 
 
+DEAL_ORDER = ("ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "net_cents")
+
+
+def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed trades per report without an order, as they are read."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_suppkey") % 5).cast("int").alias("report_id"),
+        F.col("l_shipdate").alias("ts"), F.to_date("l_shipdate").alias("day"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("volume"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        (F.round(F.col("l_extendedprice") * 100).cast("long") - 5100000).alias("net_cents"),
+        (-F.col("l_linenumber")).cast("long").alias("commission_cents"),
+        F.lit(0).cast("long").alias("swap_cents")).dropna(subset=["report_id", "day"])
+
+
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed trades per report (money in cents), ordered by ``seq`` in each report."""
+    """Closed trades per report (money in cents), ordered by ``seq`` in each report.
+
+    Rows go to their day once, with what they were read from; days are counted where rows are read.
+    """
     def build():
-        li = table(spark, sf_dir, "lineitem")
-        base = li.select(
-            (F.col("l_suppkey") % 5).cast("int").alias("report_id"),
-            F.col("l_shipdate").alias("ts"), F.to_date("l_shipdate").alias("day"),
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-            F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("volume"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-            (F.round(F.col("l_extendedprice") * 100).cast("long") - 5100000).alias("net_cents"),
-            (-F.col("l_linenumber")).cast("long").alias("commission_cents"),
-            F.lit(0).cast("long").alias("swap_cents"))
-        order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "net_cents"]
-        t = base.withColumn("one", F.lit(1).cast("long"))
-        t = running_totals(t, ["report_id"], "day", order,
-                           {"cum": "net_cents", "seq": "one"})
-        return t.select(
-            "report_id", "seq", "ts", "day", "symbol", "volume", "price", "net_cents",
-            "commission_cents", "swap_cents",
-            (F.col("net_cents") - F.col("commission_cents") - F.col("swap_cents"))
-            .alias("profit_cents"),
-            (F.lit(1000000000).cast("long") + F.col("cum")).alias("balance_cents"))
-    return memo(spark, (sf_dir, "deals"), build)
+        base = closed(spark, sf_dir)
+        days = base.groupBy("report_id", "day").agg(
+            F.count(F.lit(1)).alias("_n"), F.sum("net_cents").alias("_net"))
+        prior = Window.partitionBy("report_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        heads = stage(days.select("report_id", "day", *[
+            F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(f"{c}_0") for c in ("_n", "_net")]), "deal_days")
+        tasks = max(1, _row_count(spark, sf_dir) // TASK_ROWS)
+        w = Window.partitionBy("report_id", "day").orderBy(*DEAL_ORDER).rowsBetween(
+            Window.unboundedPreceding, 0)
+        t = base.drop("commission_cents", "swap_cents").repartition(tasks, "report_id", "day")
+        t = t.select("*", F.row_number().over(w).alias("_in"), F.sum("net_cents").over(w).alias("_cum"))
+        return t.join(heads, ["report_id", "day"]).select(
+            "report_id", (F.col("_n_0") + F.col("_in")).alias("seq"), "ts", "symbol", "volume", "price",
+            "net_cents", (-F.col("l_linenumber")).cast("long").alias("commission_cents"),
+            (F.lit(1000000000).cast("long") + F.col("_net_0") + F.col("_cum"))
+            .alias("balance_cents"))
+    kept = memo(spark, (sf_dir, "deals"), build)
+    swap = F.lit(0).cast("long")
+    return kept.select(
+        "report_id", "seq", "ts", F.to_date("ts").alias("day"), "symbol", "volume", "price", "net_cents",
+        "commission_cents", swap.alias("swap_cents"),
+        (F.col("net_cents") - F.col("commission_cents") - swap).alias("profit_cents"), "balance_cents")
 
 
 SPARSE_LEVELS = (11, 9, 5, 7, 4, 7, 7, 5, 5, 6)

@@ -123,3 +123,31 @@ def test_day_summaries_compose_like_the_trades(spark):
     fall = max(fall, 0)
     assert (real.total, real.fall, real.longest) == (cum, fall, longest)
     assert np.isfinite(real.total)
+
+
+def moves(df):
+    """The exchanges of a plan before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [line for line in plan if "Exchange hashpartitioning" in line]
+
+
+def test_deals_are_moved_once(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(M, "TASK_TRADES", 2)
+    d = deals(spark, [(dt.date(2024, 1, 5), 100), (dt.date(2024, 1, 5), -30), (dt.date(2024, 1, 10), 5),
+                      (dt.date(2024, 1, 12), 7), (dt.date(2024, 1, 12), -1), (dt.date(2024, 1, 12), 3)])
+    T.daily_series(d).write.parquet(str(tmp_path / "daily"))
+    daily = spark.read.parquet(str(tmp_path / "daily"))
+    trades = T.day_trades(d, daily=daily)
+    assert moves(trades) == []
+    assert sorted(r.inc for r in trades.collect()) == [-30.0, -1.0, 3.0, 5.0, 7.0, 100.0]
+    found = M.day_summaries(trades, daily)
+    assert len([line for line in moves(found) if "REPARTITION_BY_NUM" in line and ", 3)" in line]) == 1
+    r = found.collect()[0]
+    assert list(r.total) == [70.0, 0.0, 0.0, 5.0, 0.0, 9.0] and list(r.fall) == [30.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_unreadable_day_drops_the_report(spark):
+    d = deals(spark, [(dt.date(2024, 1, 5), 100), (None, 5)]).unionByName(
+        deals(spark, [(dt.date(2024, 1, 8), 3)]).withColumn("report_id", F.lit(2)))
+    assert [(r.report_id, r.pnl_cents) for r in T.daily_series(d).collect()] == [(2, 3)]
+    assert [r.report_id for r in T.day_trades(d).collect()] == [2]
