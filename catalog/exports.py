@@ -493,7 +493,7 @@ def _reports(spark, sf):
             F.lit("0.00"), F.lit("0.00"), F.round("l_extendedprice", 2).cast("decimal(20,2)").cast("string"),
             F.lit("100 000.00")))
         g = li.groupBy(F.col("l_suppkey").alias("report_id")).agg(
-            F.concat_ws("\n", F.array_sort(F.collect_list(deal))).alias("d"),
+            F.concat_ws("\n", F.sort_array(F.collect_list(deal))).alias("d"),
             F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c"),
             F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
         day = lambda c: F.date_format(c, "yyyy.MM.dd")

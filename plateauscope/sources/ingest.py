@@ -308,17 +308,22 @@ def report_rows(reports: DataFrame) -> DataFrame:
     rows = F.regexp_extract_all("html", F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     r = reports.select("report_id", F.posexplode(rows).alias("row_no", "_r"))
     cells = F.regexp_extract_all("_r", F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
-    clean = F.transform(cells, lambda c: F.trim(_entities(F.regexp_replace(c, "<[^>]+>", ""))))
+    # Most cells are plain numbers, without a tag or a reference to replace.
+    clean = F.transform(cells, lambda c: F.trim(F.when(
+        c.contains("<") | c.contains("&"), _entities(F.regexp_replace(c, "<[^>]+>", ""))).otherwise(c)))
     return r.select("report_id", "row_no", clean.alias("cells"))
 
 
 def report_figures(rows: DataFrame) -> DataFrame:
     """Labelled values of each report: a cell that ends in ':' labels the next filled cell."""
-    flat = rows.select("report_id", "row_no", F.posexplode("cells").alias("c", "text")).filter(
-        "text <> ''")
-    # Labels and values share a row of the report; the next cell is found inside it.
-    w = Window.partitionBy("report_id", "row_no").orderBy("c")
-    pair = flat.withColumn("value", F.lead("text").over(w)).filter(
+    # Labels and values share a row of the report, so the next cell is found inside the row and only
+    # labels go on. An element is a label with its place and value.
+    filled = F.filter(F.transform("cells", lambda x, i: F.struct(i.alias("c"), x.alias("text"))),
+                      lambda x: x["text"] != "")
+    pairs = F.zip_with("_f", F.slice(F.col("_f"), 2, F.greatest(F.size("_f"), F.lit(1))), lambda x, y: F.struct(
+        x["c"].alias("c"), x["text"].alias("text"), y["text"].alias("value")))
+    labelled = rows.filter(F.exists("cells", lambda x: x.endswith(":"))).withColumn("_f", filled)
+    pair = labelled.select("report_id", "row_no", F.inline(pairs)).filter(
         F.col("text").endswith(":") & F.col("value").isNotNull()).withColumn(
         "label", F.trim(F.regexp_replace("text", ":$", "")))
     first = lambda k: F.min_by("value", F.when(F.col("label").rlike(REPORT_LABELS[k]), F.struct(
@@ -338,13 +343,15 @@ def report_inputs(rows: DataFrame) -> DataFrame:
     head = F.get("cells", F.lit(0))
     start = rows.filter(head.rlike("(?i)par[aá]metros\\s*de\\s*entrada|^inputs\\s*:?$")).groupBy(
         "report_id").agg(F.min("row_no").alias("_s"))
-    r = rows.join(start, "report_id").filter(F.col("row_no") >= F.col("_s"))
-    stop = r.filter((F.col("row_no") > F.col("_s")) & (F.coalesce(F.trim(head), F.lit("")) != ""))
+    line = F.get(F.filter(F.slice("cells", 2, 1000), lambda x: x.contains("=")), F.lit(0))
+    # A row goes on with its first input only, and without one as a place where the block may end.
+    r = rows.select("report_id", "row_no", line.alias("l"),
+                    (F.coalesce(F.trim(head), F.lit("")) != "").alias("_ends"))
+    r = r.filter("l IS NOT NULL OR _ends").join(start, "report_id").filter(F.col("row_no") >= F.col("_s"))
+    stop = r.filter((F.col("row_no") > F.col("_s")) & F.col("_ends"))
     stop = stop.groupBy("report_id").agg(F.min("row_no").alias("_e"))
-    r = r.join(stop, "report_id", "left").filter(
+    r = r.filter("l IS NOT NULL").join(stop, "report_id", "left").filter(
         F.col("_e").isNull() | (F.col("row_no") < F.col("_e")))
-    line = F.get(F.filter(F.slice("cells", 2, 1000), lambda x: x.contains("=")), F.lit(0))
-    r = r.select("report_id", "row_no", line.alias("l")).filter("l IS NOT NULL")
     pat = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*)$"
     r = r.filter(F.col("l").rlike(pat)).select(
         "report_id", "row_no", F.regexp_extract("l", pat, 1).alias("name"),

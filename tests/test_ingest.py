@@ -68,3 +68,19 @@ def test_no_files_and_empty_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"")
     (tmp_path / "b.csv").write_bytes(b"\xff\xfe")
     assert G.read_lines(spark, str(tmp_path)).count() == 0
+
+
+def test_report_cells_stay_in_their_row(spark):
+    """Labels are paired inside a row: the cells of the deals are never moved."""
+    html = ("<table><tr><td>Symbol:</td><td></td><td><b>EUR&amp;USD</b></td><td>Total Trades:</td><td>2</td></tr>"
+            "<tr><td>Symbol:</td><td>late</td></tr><tr><td>Profit Factor:</td></tr>"
+            "<tr><td>Inputs:</td><td>a=1</td></tr><tr><td></td><td>b=2</td></tr><tr><td> </td><td>x</td></tr>"
+            "<tr><td>Deals</td><td>c=3</td></tr><tr><td></td><td>d=4</td></tr></table>")
+    rows = G.report_rows(spark.createDataFrame([(1, html)], "report_id int, html string"))
+    figures = G.report_figures(rows)
+    plan = figures._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "row_no" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line)
+    r = figures.collect()[0]
+    assert (r.symbol, r.trades, r.profit_factor) == ("EUR&USD", 2.0, None)
+    assert {(x.name, x.text) for x in G.report_inputs(rows).collect()} == {("a", "1"), ("b", "2")}
