@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
@@ -34,6 +35,8 @@ NEIGHBOURS = 15
 BLOCK = 64  # examples of a block
 COMMON = 0.1  # share of the examples above which a term is common
 BATCH = 128  # queries searched at once
+POSTINGS = 1 << 20  # postings of rare terms that are held at once, if one query has no more
+SLICE_BYTES = 8 << 20  # text of a batch that is scored at once, if one text has no more
 CUT = 0.7
 PRIOR = 0.5  # weight of the base rate among the votes
 PREFIX = 0.25  # weight of a prefix against that of a word
@@ -195,9 +198,17 @@ class Index:
         q[query[common], term[common] - self.common] = weight[common]
         query, term, weight = query[~common], term[~common], weight[~common]
         count = self.start[term + 1] - self.start[term]
-        at = np.arange(int(count.sum())) + np.repeat(self.start[term] - (np.cumsum(count) - count), count)
-        rare = np.bincount(np.repeat(query * size, count) + self.example[at],
-                           np.repeat(weight, count) * self.weight[at], m * size).reshape(m, size)
+        # Whole queries at a time, so that a sum does not depend on the others of its batch.
+        to = np.searchsorted(query, np.arange(m + 1))
+        held = np.concatenate([[0], np.cumsum(count)])[to]
+        rare = np.zeros((m, size))
+        for lo, hi in T.chunks(held, POSTINGS):
+            part = slice(to[lo], to[hi])
+            n, first = count[part], self.start[term[part]]
+            at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+            rare[lo:hi] = np.bincount(np.repeat((query[part] - lo) * size, n) + self.example[at],
+                                      np.repeat(weight[part], n) * self.weight[at],
+                                      (hi - lo) * size).reshape(hi - lo, size)
         if without is not None:
             rare[np.arange(m), without] = -np.inf
         bound = q @ self.most + rare.reshape(m, self.blocks, BLOCK).max(2) + 1e-9
@@ -272,7 +283,7 @@ class Toxicity:
     of at most ``EXAMPLE_CHARS`` code points. A text that is null, empty or shares no term with an
     example has no neighbours; its vote is the base rate of the examples. Without labelled rows the base rate is 0
     and every score is the same. Rows that repeat a doc_id, or have none, are scored one by one;
-    equal texts of a batch are searched once. Labels, lang, source and doc_id are no part of a
+    equal texts of a slice are searched once. Labels, lang, source and doc_id are no part of a
     score. Only the examples' terms reach the driver and are broadcast.
     """
 
@@ -316,34 +327,40 @@ class Toxicity:
         return learnt(np.array(ids, np.int64), np.array(y, float), size,
                       joined(term, np.uint64), joined(n, np.int32))
 
-    def _scored(self, rows: DataFrame, leave_out: bool = False) -> DataFrame:
+    def _scored(self, rows: DataFrame, leave_out: bool = False, with_text: bool = False) -> DataFrame:
         index, k, base = self.index, self.k, self.base
-        keep = [c for c in rows.columns if c != "text"]
+        keep = [c for c in rows.columns if with_text or c != "text"]
         schema = (rows.select(*keep).schema.add("raw", "double")
                   .add("evidence", ArrayType(LongType())).add("cosines", ArrayType(DoubleType())))
 
         def run(batches):
             ix = Index(index.value)
             for batch in batches:
-                texts, at = batch.column("text").fill_null(""), None
-                ids = batch.column("doc_id").to_pylist() if leave_out else None
-                if not leave_out:
-                    coded = texts.dictionary_encode()
-                    texts, at = coded.dictionary, coded.indices
-                raw = np.full(len(texts), base)
-                near, sims = [[]] * len(texts), [[]] * len(texts)
-                for lo, hi, values, row, place, n in _ranges(texts):
-                    found = ix.nearest(*ix.weighted(hi - lo, values, row, place, n), k,
-                                       ids[lo:hi] if leave_out else None)
-                    for i, best, cosine in found:
-                        raw[lo + i] = vote(ix.y[best], cosine, base)
-                        near[lo + i], sims[lo + i] = ix.ids[best].tolist(), cosine.tolist()
-                out = [pa.array(np.clip(raw, 1e-6, 1 - 1e-6)), pa.array(near, pa.list_(pa.int64())),
-                       pa.array(sims, pa.list_(pa.float64()))]
-                if at is not None:
-                    out = [x.take(at) for x in out]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out],
-                                                 names=[*keep, "raw", "evidence", "cosines"])
+                size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+                bounds = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+                for first, end in T.chunks(bounds, SLICE_BYTES):
+                    yield scored(ix, batch.slice(first, end - first))
+
+        def scored(ix, batch):
+            texts, at = batch.column("text").fill_null(""), None
+            ids = batch.column("doc_id").to_pylist() if leave_out else None
+            if not leave_out:
+                coded = texts.dictionary_encode()
+                texts, at = coded.dictionary, coded.indices
+            raw = np.full(len(texts), base)
+            near, sims = [[]] * len(texts), [[]] * len(texts)
+            for lo, hi, values, row, place, n in _ranges(texts):
+                found = ix.nearest(*ix.weighted(hi - lo, values, row, place, n), k,
+                                   ids[lo:hi] if leave_out else None)
+                for i, best, cosine in found:
+                    raw[lo + i] = vote(ix.y[best], cosine, base)
+                    near[lo + i], sims[lo + i] = ix.ids[best].tolist(), cosine.tolist()
+            out = [pa.array(np.clip(raw, 1e-6, 1 - 1e-6)), pa.array(near, pa.list_(pa.int64())),
+                   pa.array(sims, pa.list_(pa.float64()))]
+            if at is not None:
+                out = [x.take(at) for x in out]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out],
+                                              names=[*keep, "raw", "evidence", "cosines"])
 
         return rows.mapInArrow(run, schema)
 
@@ -363,8 +380,8 @@ class Toxicity:
         """``docs``, all columns, without the rows whose text is scored ``cut`` or more."""
         names = docs.columns
         slope, offset = self.curve
-        rows = self._scored(docs.select(F.col("doc_id").alias("doc_id"),
-                                        F.struct(*map(F.col, names)).alias("_row"), "text"))
+        others = [c for c in names if c.lower() != "text"]
+        rows = self._scored(docs.select(F.struct(*map(F.col, others)).alias("_row"), "text"), with_text=True)
         logit = F.log("raw") - F.log1p(-F.col("raw"))
         kept = rows.filter(1 / (1 + F.exp(-(logit * slope + offset))) < self.cut)
-        return kept.select(*(F.col("_row")[c].alias(c) for c in names))
+        return kept.select(*((F.col("_row")[c] if c in others else F.col("text")).alias(c) for c in names))

@@ -3,12 +3,13 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from plateauscope.llm import bpe, main_text, pii, tokens
+from plateauscope.llm import bpe, main_text, pii, tokens, toxicity
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -123,3 +124,29 @@ CASES = {
 @pytest.mark.parametrize("html", list(CASES))
 def test_main_text(html):
     assert main_text.main_text(html) == CASES[html]
+
+
+def test_postings_of_many_queries_are_summed_piece_by_piece(monkeypatch):
+    rng = np.random.default_rng(3)
+    held = [np.sort(rng.choice(20_000, 400, replace=False)).astype(np.uint64) * np.uint64(2) for _ in range(512)]
+    size = np.full(512, 400)
+    parts = toxicity.learnt(np.arange(512), rng.integers(0, 2, 512).astype(float), size,
+                            np.concatenate(held), np.ones(512 * 400, np.int32))
+    asked = [np.sort(rng.choice(20_000, 2_000, replace=False)) for _ in range(128)]
+    values, place = np.arange(20_000, dtype=np.uint64) * np.uint64(2), np.concatenate(asked)
+    row, n = np.repeat(np.arange(128), 2_000), np.ones(len(place), np.int64)
+
+    def found():
+        ix = toxicity.Index(parts)
+        query = ix.weighted(128, values, row, place, n)
+        tracemalloc.start()
+        got = [(i, best.tolist(), cosine.tolist()) for i, best, cosine in ix.nearest(*query, 5)]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+
+    whole, _ = found()
+    monkeypatch.setattr(toxicity, "POSTINGS", 1 << 14, raising=False)
+    pieces, most = found()
+    assert pieces == whole and len(whole) == 128
+    assert most < 30e6, most
