@@ -88,7 +88,7 @@ fifo AS MATERIALIZED (SELECT u.report_id, u.symbol, u.seq, u.ts, u.price, u.volu
 
 
 def fifo(spark, sf):
-    return memo(spark, (sf, "fifo"), lambda: T.match_fifo(fills(spark, sf)))
+    return memo(spark, (sf, "fifo"), lambda: T.match_fifo(fills(spark, sf), stage))
 
 
 @register("h2_fifo_matching", "report_id:i seq:i position_side:s closed_volume:d matched:d "

@@ -77,17 +77,18 @@ def split_reversals(fills: DataFrame) -> DataFrame:
     return r.filter("part_volume > 1e-12")
 
 
-def match_fifo(fills: DataFrame) -> DataFrame:
+def match_fifo(fills: DataFrame, stage=lambda df, label: df) -> DataFrame:
     """First-in first-out matching per report, symbol and side, as an interval join.
 
     On the axis of volume opened so far, opening i covers an interval, and what is
     still queued after each fill is the running flow reflected at zero. A close
     consumes the next stretch of that axis, so matching is an overlap join. Both
     sides are cut into buckets of the mean volume: a key of the join holds a few
-    intervals, whatever the length of the report.
+    intervals, whatever the length of the report. ``stage`` keeps what several joins read: a relation
+    that is not kept is built again, with its shuffles, for each of them.
     """
     q = ["report_id", "symbol", "queue"]
-    legs = split_reversals(fills)
+    legs = stage(split_reversals(fills).select(*q, "seq", "ts", "price", "leg", "kind", "part_volume"), "legs")
     opens = F.col("kind") == "open"
     legs = (legs.withColumn("_blk", row_block("seq"))
             .withColumn("_in", F.when(opens, F.col("part_volume")).otherwise(0.0))
@@ -98,6 +99,7 @@ def match_fifo(fills: DataFrame) -> DataFrame:
     # queued after = reflected flow; consumed = opened - queued.
     legs = legs.withColumn("queued", F.round(F.col("net_peak") - F.col("net"), 9))
     legs = legs.withColumn("c1", F.round(F.col("opened") - F.col("queued"), 9))
+    legs = stage(legs.drop("_flow", "net", "net_peak", "queued"), "queues")
     width = legs.groupBy(*q).agg(F.avg("part_volume").alias("_w"))
     legs = attach(legs, width, q, "inner", "seq")
     o = legs.filter(opens).select(
@@ -106,7 +108,8 @@ def match_fifo(fills: DataFrame) -> DataFrame:
         F.round(F.col("opened"), 9).alias("o1"))
     # A close starts where consumption stood: its own queue before it was served.
     c = legs.filter(~opens)
-    c = _with_consumed_before(c, q)
+    c = stage(_with_consumed_before(c, q).select(
+        *q, "seq", "leg", "kind", "ts", "price", "part_volume", "c0", "c1", "_w"), "closes")
     cells = lambda a, b: F.explode(F.sequence(
         F.floor(a / F.col("_w")).cast("long"),
         F.greatest(F.floor(a / F.col("_w")), F.ceil(b / F.col("_w")) - 1).cast("long")))

@@ -72,6 +72,28 @@ def test_fifo_with_reversals(spark, both_forms):
     check_fifo(spark, fills)
 
 
+def test_fifo_keeps_what_several_joins_read(spark):
+    from plateauscope.plans.stages import stage
+    rng, kept = random.Random(6), []
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame(
+        [(1, s, rng.choice("AB"), t0 + dt.timedelta(minutes=s), rng.choice(["buy", "sell"]),
+          rng.choice(["in", "out"]), float(rng.randint(1, 9)), float(rng.randint(90, 110))) for s in range(200)],
+        "report_id int, seq long, symbol string, ts timestamp, side string, direction string, "
+        "volume double, price double")
+
+    def keep(frame, label):
+        kept.append(label)
+        return stage(frame, label)
+
+    got = T.match_fifo(df, keep)
+    assert kept == ["legs", "queues", "closes"]
+    assert got.dtypes == T.match_fifo(df).dtypes
+    rows = lambda x: sorted(((r.seq, r.symbol, r.position_side, round(r.matched, 6), r.open_ts,
+                              r.open_price and round(r.open_price, 6)) for r in x.collect()), key=str)
+    assert str(rows(got)) == str(rows(T.match_fifo(df)))
+
+
 def deals(spark, rows):
     return spark.createDataFrame(
         [(1, i + 1, d, n, 1.0, 100000 + sum(x for _, x in rows[:i + 1])) for i, (d, n) in enumerate(rows)],
